@@ -9,6 +9,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .ngram_join import ngram_components
 from .packing import pack
 from .substring_dedup import substring_dedup
 from .warc import warc_round_trip
@@ -45,6 +46,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_packing": op3_packing,
@@ -52,6 +57,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op5_line_dedup": op5_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 ORACLES = {
