@@ -11,7 +11,9 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .ngram_join import ngram_components
 from .packing import pack
+from .quality import quality_scores
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .warc import warc_round_trip
 
 
@@ -19,6 +21,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.coalesce(F.aggregate(F.transform("spans", lambda s: s.stop - s.start), F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0).cast("long"))
+    return suffix_dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -50,14 +57,20 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op6_bpe": op6_bpe,
     "op5_line_dedup": op5_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
