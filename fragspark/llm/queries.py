@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
+from .hilbert_ann import nearest
 from .line_dedup import line_dedup
 from .ngram_join import ngram_components
 from .packing import pack
@@ -49,6 +50,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op6_bpe": op6_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op7_hilbert_ann": op7_hilbert_ann,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
