@@ -174,3 +174,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return arrow_map(rows, score, "doc_id long, held_out boolean, score double").withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores `threshold` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, sample_rows))
+
+    def keep(batches):
+        codes, m = WordCodes(), sent.value
+        for b in batches:
+            at, column = 0, b.column(b.schema.names.index("text"))
+            while at < b.num_rows:
+                texts, held = [], 0
+                while at + len(texts) < b.num_rows and held < BLOCK_WORDS * 4:
+                    texts.append(column[at + len(texts)].as_py() or "")
+                    held += len(texts[-1])
+                got = m.score(texts, codes) if isinstance(m, Model) else np.full(len(texts), m)
+                yield b.slice(at, len(texts)).filter(pa.array(got >= threshold))
+                at += len(texts)
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -30,7 +30,6 @@ ANCHORS = pa.schema([("kh", pa.int64()), ("ch", pa.int64()), ("key", pa.int64())
 RUNS = pa.schema([("bucket", pa.int32()), ("run", pa.binary())])
 MATCHES = pa.schema([("key", pa.int64()), ("pos", pa.int64()), ("l", pa.int32()), ("r", pa.int32())])
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-CLEAN = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", SPAN), ("kept", pa.binary())])
 
 
 class Roll:
@@ -241,18 +240,19 @@ def union_of(matches, n: int, gram: int, length: int) -> list[tuple[int, int]]:
     return spans
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, carry: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (maximal runs of removed bytes), kept (the other bytes, put together).
 
     A byte goes if a string of `length` bytes over it also starts anywhere else, in the same document or another,
     overlapping or not; strings are judged on the input and never cross documents. Texts are their UTF-8 bytes, null is
     empty, texts under `length` bytes keep all. Rows that repeat are documents of their own: they are repeats of each
-    other. A null doc_id is a document like any other. Very long texts are hashed in blocks.
+    other. A null doc_id is a document like any other. Very long texts are hashed in blocks. With carry the other columns
+    come along in a struct `row` in place of doc_id, and kept is text without the bytes of letters cut in two.
     """
     gram = gram or length // 2
     side = length - gram
     buckets = max(16, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body")).withColumn("key", F.xxhash64("doc_id", "body"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), *([F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("row")] if carry else [])).withColumn("key", F.xxhash64("doc_id", "body"))
 
     def find(batches):
         roll = Roll(gram)
@@ -302,19 +302,30 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None)
     whole = shared.join(contexts.where("n > 1").select("kh", "ch"), ["kh", "ch"]).select("key", "pos", F.lit(side).alias("l"), F.lit(length).alias("r"))
     matches = once.union(whole).groupBy("key").agg(F.collect_set(F.struct("pos", "l", "r")).alias("matches"))
 
+    kept_type = "binary" if not carry else "string"
+
     def clean(batches):
         for b in batches:
-            out, held = [], 0
-            for doc_id, body, own in zip(*(b.column(k).to_pylist() for k in ("doc_id", "body", "matches")), strict=True):
-                spans = union_of([(x["pos"], x["l"], x["r"]) for x in own or ()], len(body), gram, length)
-                ends = [0, *(x for s in spans for x in s), len(body)]
-                kept = b"".join(body[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2))
-                out.append((doc_id, len(body), [{"start": s, "stop": e} for s, e in spans], kept))
-                held += len(body)
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CLEAN, strict=True)], schema=CLEAN)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CLEAN, strict=True)], schema=CLEAN)
-
-    return arrow_map(texts.join(matches, "key", "left").select("doc_id", "body", "matches"), clean, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+            at = 0
+            while at < b.num_rows:
+                out, held, begin = [], 0, at
+                while at < b.num_rows and held < 8 << 20:
+                    body = b.column(1)[at].as_py()
+                    spans = union_of([(x["pos"], x["l"], x["r"]) for x in b.column(2)[at].as_py() or ()], len(body), gram, length)
+                    ends = [0, *(x for s in spans for x in s), len(body)]
+                    kept = b"".join(body[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2))
+                    out.append((len(body), [{"start": s, "stop": e} for s, e in spans], kept.decode("utf-8", "ignore") if carry else kept))
+                    held += len(body)
+                    at += 1
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, at - begin), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), SPAN, pa.string() if carry else pa.binary()), strict=True))], names=[b.schema.names[0], "n_bytes", "spans", "kept"])
+
+    joined = texts.join(matches, "key", "left").select("row" if carry else "doc_id", "body", "matches")
+    first = joined.select("row").schema.simpleString()[7:-1].replace("row:", "row ", 1) if carry else "doc_id long"
+    return arrow_map(joined, clean, f"{first}, n_bytes long, spans array<struct<start: long, stop: long>>, kept {kept_type}")
+
+
+def cleaned_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of docs with what suffix_dedup removes taken out of their texts; bytes of letters cut in two go too; n_chars, if there, follows."""
+    got = suffix_dedup(docs, length, carry=True)
+    out = got.select(*(F.col("kept").alias(c) if c == "text" else F.char_length("kept").cast(t).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c, t in docs.dtypes))
+    return out
