@@ -8,11 +8,13 @@ it does not hold are merged exactly. A worker keeps the ids of words it has seen
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import mmap
 import struct
 import tempfile
+import uuid
 from collections import Counter
 from itertools import chain, pairwise
 
@@ -49,7 +51,7 @@ def words_of(text: str) -> list[str]:
 
 DOUBLE_WHITE = regex.compile(r"\s\s").search
 SAFE_CUT = regex.compile(r"(?<=[^\s]) (?=[\p{L}])")
-LEXICON_WORDS, LONGEST_WORD, MEMO_WORDS, TEXT_BLOCK = 50_000, 64, 400_000, 1 << 20
+LEXICON_WORDS, LONGEST_WORD, MEMO_WORDS, TEXT_BLOCK = 50_000, 64, 200_000, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -231,24 +233,32 @@ class Lexicon:
         return None if o == 0xFFFFFFFF else (*found, *self.flat[o + 1 : o + 1 + self.flat[o]])
 
 
-class Memo(dict):
-    """The ids of pieces of text, each with `before` in front: from the lexicon, else by exact merging. Pieces seen are kept, up to a bound."""
+class WordIds(dict):
+    """The ids of words: from the lexicon, else by exact merging. Words seen are kept, up to a bound."""
 
-    def __init__(self, encoder: Encoder, before: str, most: int):
-        self.encoder, self.before, self.most = encoder, before, most
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
+        self.vocabulary, self.lexicon = vocabulary, lexicon
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        full = self.before + piece
-        lexicon = self.encoder.lexicon
-        raw = full.encode() if len(full) <= LONGEST_WORD else b""
-        ids = lexicon.get(raw) if raw and lexicon else None
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        raw = word.encode()
+        ids = self.lexicon.get(raw) if self.lexicon and len(raw) <= LONGEST_WORD else None
         if ids is None:
-            words = words_of(full)
-            if len(words) == 1 and not self.before:
-                ids = self.encoder.vocabulary.merge(raw or full.encode())
-            else:
-                ids = tuple(chain.from_iterable(map(self.encoder.bare.__getitem__, words)))
-        if len(piece) <= LONGEST_WORD and len(self) < self.most:
+            ids = self.vocabulary.merge(raw)
+        if len(self) < MEMO_WORDS and len(raw) <= LONGEST_WORD:
+            self[word] = ids
+        return ids
+
+
+class PieceIds(dict):
+    """The ids of pieces between single white-space letters, each after a space."""
+
+    def __init__(self, ids: WordIds):
+        self.ids = ids
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        words = words_of(" " + piece)
+        ids = self.ids[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(self.ids.__getitem__, words)))
+        if len(self) < MEMO_WORDS // 2 and len(piece) <= LONGEST_WORD:
             self[piece] = ids
         return ids
 
@@ -256,8 +266,8 @@ class Memo(dict):
 class Encoder:
     def __init__(self, path: str, image: bytes | None = None):
         self.vocabulary = Vocabulary(path)
-        self.lexicon = Lexicon(image) if image else None
-        self.bare, self.spaced = Memo(self, "", MEMO_WORDS), Memo(self, " ", MEMO_WORDS // 2)
+        self.ids = WordIds(self.vocabulary, Lexicon(image) if image else None)
+        self.spaced = PieceIds(self.ids)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.vocabulary.special)) + ")").split if self.vocabulary.special else lambda text: [text]
         self.marks = tuple(self.vocabulary.special)
 
@@ -275,14 +285,14 @@ class Encoder:
     def ids_of(self, block: str):
         """The ids of a block. Where no two white-space letters meet, each stands alone: a space joins the piece after it, and pieces end there."""
         if DOUBLE_WHITE(block):
-            return map(self.bare.__getitem__, words_of(block))
-        found, bare, spaced = [], self.bare, self.spaced.__getitem__
+            return map(self.ids.__getitem__, words_of(block))
+        found, ids, spaced = [], self.ids, self.spaced.__getitem__
         for number, line in enumerate(block.split("\n")):
             pieces = line.split(" ")
             if number:
-                found.append(bare["\n"])
+                found.append(ids["\n"])
             if pieces[0]:
-                found.append(bare[pieces[0]])
+                found.extend(map(ids.__getitem__, words_of(pieces[0])))
             found.extend(map(spaced, pieces[1:]))
         return found
 
@@ -304,6 +314,8 @@ def encoder_of(path: str, key: str = "", image=None) -> Encoder:
     if (path, key) not in _held:
         _held.clear()
         _held[path, key] = Encoder(path, image() if image else None)
+        gc.freeze()  # the tables live as long as the worker: no need to walk them again and again
+        gc.set_threshold(100_000, 50, 100)
     return _held[path, key]
 
 
@@ -343,43 +355,53 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:
     """The image of the transducer of the `words` most frequent words of docs (ties by the word), each alone and after a space."""
     top = word_counts(docs).orderBy(F.desc("n"), "word").limit(words).collect()
-    encoder = Encoder(path)
-    return compile_lexicon({(before + r.word).encode(): memo[r.word] for r in top for before, memo in (("", encoder.bare), (" ", encoder.spaced))})
+    merge = Vocabulary(path).merge
+    return compile_lexicon({w.encode(): merge(w.encode()) for w in {w for r in top for before in ("", " ") for w in words_of(before + r.word)}})
+
+
+def encoded(batches, path: str, key: str = "", image=None):
+    """Batches of (doc_id, text) as batches of (doc_id, ids)."""
+    encoder = encoder_of(path, key, image)
+    for b in batches:
+        ids, found, n = [], [], 0
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            ids.append(doc_id)
+            found.append(encoder.encode(text.as_py()))
+            n += len(found[-1])
+            if n > 1 << 19:
+                yield id_lists(ids, found)
+                ids, found, n = [], [], 0
+        if ids:
+            yield id_lists(ids, found)
+
 
+def decoded(batches, path: str, key: str = "", image=None):
+    """Batches of (doc_id, ids) with the texts that the ids stand for."""
+    vocabulary = encoder_of(path, key, image).vocabulary
+    for b in batches:
+        texts = [vocabulary.decode(x.values.to_numpy().tolist()) for x in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], schema=TEXTS)
 
-def bpe_encode(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """doc_id and ids of each row of docs, exactly as the tokenizers library encodes with add_special_tokens=False.
+
+def bpe_encode(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS, decode: bool = False) -> DataFrame:
+    """doc_id and ids of each row of docs, exactly as the tokenizers library encodes with add_special_tokens=False; with decode also the decoded text.
 
     The strings of special tokens are special tokens. A null text is empty and has no ids. Rows that repeat give rows
     that repeat, a null doc_id stays null, other columns are not read. Texts of any length go in blocks of TEXT_BLOCK
     letters where no word crosses a border. An empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path, lexicon_words))
+    key = uuid.uuid4().hex
 
     def encode(batches):
-        encoder = encoder_of(path, str(held.id if hasattr(held, "id") else id(held)), lambda: held.value)
-        for b in batches:
-            ids, found, n = [], [], 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(doc_id)
-                found.append(encoder.encode(text))
-                n += len(found[-1])
-                if n > 1 << 20:
-                    yield id_lists(ids, found)
-                    ids, found, n = [], [], 0
-            if ids:
-                yield id_lists(ids, found)
+        found = encoded(batches, path, key, lambda: held.value)
+        return decoded(found, path, key, lambda: held.value) if decode else found
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), encode, "doc_id long, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return arrow_map(rows, encode, "doc_id long, ids array<int>" + ", decoded string" * decode)
 
 
-def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
+def bpe_decode(encoded_rows: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, and decoded: the text that the ids stand for, special tokens included. Null ids are none."""
-
-    def decode(batches):
-        vocabulary = encoder_of(path).vocabulary
-        for b in batches:
-            texts = [vocabulary.decode(x) for x in (b.column(1)[i].values.to_numpy().tolist() for i in range(b.num_rows))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], schema=TEXTS)
-
-    return arrow_map(encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")), decode, "doc_id long, ids array<int>, decoded string")
+    rows = encoded_rows.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return arrow_map(rows, lambda batches: decoded(batches, path), "doc_id long, ids array<int>, decoded string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
 from .hilbert_ann import nearest
@@ -46,7 +46,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = bpe_decode(bpe_encode(read(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
+    back = bpe_encode(read(spark, sf_dir, "documents"), tokenizer_path(), decode=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
