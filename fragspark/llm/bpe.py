@@ -39,6 +39,7 @@ NEWER = (
 #: Fixed value: the pattern that splits text into words before the merges, as the vocabulary's README gives it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PLAIN = regex.compile(PATTERN).findall
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 HAS_NEWER = regex.compile(f"[{NEWER}]").search
 WITHOUT_NEWER = regex.compile(
     "(?V1)" + PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{NEWER}])").replace(r"?\p{L}", rf"?[\p{{L}}--[{NEWER}]]").replace(r"?\p{N}", rf"?[\p{{N}}--[{NEWER}]]")
@@ -51,7 +52,7 @@ def words_of(text: str) -> list[str]:
 
 DOUBLE_WHITE = regex.compile(r"\s\s").search
 SAFE_CUT = regex.compile(r"(?<=[^\s]) (?=[\p{L}])")
-LEXICON_WORDS, LONGEST_WORD, MEMO_WORDS, TEXT_BLOCK = 50_000, 64, 200_000, 1 << 20
+LEXICON_WORDS, LONGEST_WORD, MEMO_WORDS, TEXT_BLOCK = 50_000, 64, 600_000, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -256,8 +257,13 @@ class PieceIds(dict):
         self.ids = ids
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        words = words_of(" " + piece)
-        ids = self.ids[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(self.ids.__getitem__, words)))
+        core = piece.rstrip(MARKS)
+        if core.isalpha():  # letters, then marks: two words at most, without the pattern
+            ids = self.ids[" " + core]
+            if len(core) < len(piece):
+                ids += self.ids[piece[len(core) :]]
+        else:
+            ids = tuple(chain.from_iterable(map(self.ids.__getitem__, words_of(" " + piece))))
         if len(self) < MEMO_WORDS // 2 and len(piece) <= LONGEST_WORD:
             self[piece] = ids
         return ids
