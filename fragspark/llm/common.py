@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,7 +46,20 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """mapInArrow; at a task's end the worker gives its free memory back, as it may stay idle beside other stages."""
+
+    def run(batches):
+        yield from fn(batches)
+        released()
+
+    return df.mapInArrow(run, schema)
+
+
+def released() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -32,7 +32,7 @@ from .common import arrow_map, written
 from .components import components
 
 SHINGLE, PERCENT, RARE, HOT_IN_BATCH = 5, 75, 64, 64
-BATCH_SHINGLES, TILE_SHINGLES, MEMO_WORDS = 2 << 20, 4 << 20, 200_000
+BATCH_SHINGLES, TILE_SHINGLES, MEMO_WORDS = 1 << 20, 2 << 20, 150_000
 BITS = 48  # of a shingle's hash that travel
 ODD, HOT = np.uint64(0x9E3779B97F4A7C15), 0xFFFFFFFF
 BLOCKS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
@@ -341,4 +341,4 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 def near_deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component; rows with a null doc_id stay, and so do rows that repeat the id that stays."""
     kept = ngram_components(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))

@@ -287,7 +287,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None,
                     p = x["pos"]
                     rows.setdefault(x["kh"] % buckets, []).append((body[p : p + length], body[max(0, p - side) : p][::-1], x["n"], key, p))
                     held += 1
-                if held > 100_000:
+                if held > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([front_coded(r) for r in rows.values()], pa.binary())], schema=RUNS)
                     rows, held = {}, 0
         if rows:
