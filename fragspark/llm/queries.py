@@ -113,6 +113,26 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS pa
        CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
 FROM q
+""",
+    "op9_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS x FROM w
+), n AS (
+  SELECT w.doc_id, count(x) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), lab(v, c) USING KEY (v) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT m.v, min(m.c) FROM (SELECT ways.b AS v, lab.c FROM lab JOIN ways ON ways.a = lab.v) m JOIN recurring.lab AS old ON old.v = m.v WHERE m.c < old.c GROUP BY m.v
+)
+SELECT n.doc_id, n.n AS n_shingles, lab.c AS component_id FROM n JOIN lab ON n.doc_id = lab.v
 """,
     "op8_exact_dedup": r"""
 WITH d AS (
