@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schema import EDGE_SQL
 from .graph import both_ways, degrees, vertices_of
+from .kernels import Union
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -23,9 +27,27 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _stars(batches):
+    """Of each batch of edges the components' least vertices tied to the others: as connected, and at most one edge per vertex."""
+    for b in batches:
+        parts = []
+        for network, g in b.groupby("network"):
+            ids, flat = np.unique(g[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
+            union = Union(len(ids))
+            for x, y in flat.reshape(-1, 2).tolist():
+                union.join(x, y)
+            roots = np.array([union.find(i) for i in range(len(ids))])
+            least = np.full(len(ids), len(ids))
+            np.minimum.at(least, roots, np.arange(len(ids)))
+            root = least[roots]
+            tied = root != np.arange(len(ids))
+            parts.append(pd.DataFrame({"network": network, "src": ids[root[tied]], "dst": ids[tied]}))
+        yield pd.concat(parts) if parts else b
+
+
 def components(edges: DataFrame, vertices: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
-    """network, v, component (its least vertex): least label of neighbours, then labels of labels, so long paths halve."""
-    ways = settled(both_ways(edges))
+    """network, v, component (its least vertex): batches of edges shrink to stars, then least labels of neighbours and labels of labels, so long paths halve."""
+    ways = settled(both_ways(edges.select("network", "src", "dst").mapInPandas(_stars, EDGE_SQL)).distinct())
     labels = settled((vertices if vertices is not None else vertices_of(edges)).select("network", "v", F.col("v").alias("component")))
     for _ in range(most_rounds):
         near = ways.join(labels.withColumnRenamed("v", "dst"), ["network", "dst"]).groupBy("network", F.col("src").alias("v")).agg(F.min("component").alias("near"))
