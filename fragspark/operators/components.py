@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def settled(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='fragspark-')}"
+        own = tempfile.mkdtemp(prefix="fragspark-")
+        atexit.register(shutil.rmtree, own, True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
