@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='fragspark-')}"
+        own = tempfile.mkdtemp(prefix="fragspark-")
+        atexit.register(shutil.rmtree, own, True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 

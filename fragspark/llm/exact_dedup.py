@@ -61,5 +61,9 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of docs that exact_dedup keeps, with all their columns; rows that repeat a kept id and text stay once."""
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     verdict = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_key_id"), F.unhex("text_sha256").alias("_key_sha"))
+    times = verdict.groupBy("_key_id", "_key_sha").agg(F.count(F.lit(1)).alias("_times"))
     keyed = docs.withColumns({"_key_id": ident, "_key_sha": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
-    return keyed.join(verdict, ["_key_id", "_key_sha"], "left_semi").dropDuplicates(["_key_id", "_key_sha"]).drop("_key_id", "_key_sha")
+    # The keys are hashed, a partition's share of them at a time; the texts stream past and are not sorted.
+    kept = keyed.join(times.hint("shuffle_hash"), ["_key_id", "_key_sha"])
+    again = kept.where("_times > 1").dropDuplicates(["_key_id", "_key_sha"])
+    return kept.where("_times = 1").unionByName(again).drop("_key_id", "_key_sha", "_times")
