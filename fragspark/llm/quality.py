@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 PASSAGE, SHAPES, FORMS, HIDDEN, GATE = 48, 256, 128, 16, 8
-SAMPLE_ROWS, STEPS, RATE, THRESHOLD = 4000, 450, 0.01, 0.3
+SAMPLE_ROWS, STEPS, RATE, THRESHOLD = 3000, 450, 0.01, 0.3
 WIDTH, MEMO_WORDS, BLOCK_WORDS = SHAPES + FORMS + 2, 200_000, 1 << 17
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 RUNS = re.compile(r"(.)\1+", re.S)
@@ -193,4 +193,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
                 yield b.slice(at, len(texts)).filter(pa.array(got >= threshold))
                 at += len(texts)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return arrow_map(docs, keep, docs.schema)
