@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, written
 
 #: Letters and numbers that this regex module knows and the tokenizers library, with Unicode 16, does not.
 NEWER = (
@@ -359,8 +359,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:
-    """The image of the transducer of the `words` most frequent words of docs (ties by the word), each alone and after a space."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(words).collect()
+    """The image of the transducer of the most frequent words of docs that come twice or more, at most `words`, each alone and after a space."""
+    counts = written(word_counts(docs).where("n > 1"), "words")
+    # A histogram of the counts in steps of a sixteenth of a factor of two tells from which count on `words` words are left: the driver gets no more.
+    step = F.floor(F.log2("n") * 16)
+    held, least = 0, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("step")).collect():
+        held += r.k
+        if held > words:
+            break
+        least = r.step
+    top = [] if least is None else counts.where(step >= least).select("word").collect()
     merge = Vocabulary(path).merge
     return compile_lexicon({w.encode(): merge(w.encode()) for w in {w for r in top for before in ("", " ") for w in words_of(before + r.word)}})
 
