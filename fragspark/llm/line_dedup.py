@@ -3,7 +3,8 @@
 Lines (white space at their ends does not count, empty ones are left out) are hashed; every k consecutive line hashes
 give a gram hash; of every `window` consecutive grams the least (rightmost of equals) is a fingerprint, so any run of
 window + k - 1 equal lines shares one. Each fingerprint's later occurrences meet its first one; the match grows both
-ways over equal lines, and the later run goes. First is the smallest (doc_id, line number).
+ways over equal lines, and the later run goes. First is the smallest (doc_id, line number). A line of `long_words` words
+or more is a whole of its own: its later occurrences go, whatever stands around them.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, batch, written
 
 STRIPPED = " \t\r"
-LINES = pa.schema([("doc_id", pa.int64()), ("lines", pa.binary()), ("prints", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+LINES = pa.schema([("doc_id", pa.int64()), ("lines", pa.binary()), ("prints", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("wholes", pa.binary())])
+PLACES = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -28,6 +30,13 @@ def line_hashes(text: str) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64)
 
 
+def whole_lines(text: str, long_words: int) -> np.ndarray:
+    """Rows (high, low half of a 128-bit hash, line number) of the lines of long_words words or more."""
+    own = [s for x in text.split("\n") if (s := x.strip(STRIPPED))]
+    found = [(*divmod(xxhash.xxh3_128_intdigest(x), 1 << 64), i) for i, x in enumerate(own) if len(x.split()) >= long_words]
+    return np.array(found, np.uint64).reshape(-1, 3)
+
+
 def fingerprints(lines: np.ndarray, k: int, window: int) -> np.ndarray:
     """(position, gram hash) of the window minima; a text with fewer than `window` grams gives its least gram."""
     n = len(lines) - k + 1
@@ -58,10 +67,10 @@ def matched_run(a: np.ndarray, i: int, b: np.ndarray, j: int, k: int, same: bool
     return i - left, i + right
 
 
-def line_dedup(docs: DataFrame, k: int = 2, window: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, k: int = 2, window: int = 2, long_words: int = 20) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, kept_text.
 
-    A null text is empty. Texts of fewer than k lines keep all. Rows with a null doc_id have no place in the order of
+    A null text is empty. Texts of fewer than k lines keep all but lines of long_words words or more that came before. Rows with a null doc_id have no place in the order of
     occurrences: they are returned as they are. Rows with one doc_id are taken as one document, that of the largest
     array of line hashes; the removed line numbers go from each of them. No more than the first occurrence of a
     fingerprint is a source, so a fingerprint of n occurrences gives n - 1 matches.
@@ -73,11 +82,22 @@ def line_dedup(docs: DataFrame, k: int = 2, window: int = 2) -> DataFrame:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 lines = line_hashes(text)
                 at, prints = fingerprints(lines, k, window)
-                if len(at):
-                    out.append((doc_id, lines.tobytes(), prints.view(np.int64), at.astype(np.int32)))
+                wholes = whole_lines(text, long_words)
+                if len(at) or len(wholes):
+                    out.append((doc_id, lines.tobytes(), prints.view(np.int64), at.astype(np.int32), wholes.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True), LINES, strict=True)], schema=LINES)
 
+    def places(batches):
+        for b in batches:
+            out = []
+            for doc_id, wholes in zip(b.column("doc_id").to_pylist(), b.column("wholes").to_pylist(), strict=True):
+                w = np.frombuffer(wholes, np.uint64).reshape(-1, 3)
+                out.append((w[:, 0], w[:, 1], np.full(len(w), doc_id), w[:, 2], w[:, 2] + np.uint64(1)))
+            if out:
+                hi, lo, ids, start, stop = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield batch(PLACES, hi.view(np.int64), lo.view(np.int64), ids, start.astype(np.int32), stop.astype(np.int32))
+
     def grow(batches):
         for b in batches:
             out = []
@@ -111,15 +131,19 @@ def line_dedup(docs: DataFrame, k: int = 2, window: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True), KEPT, strict=True)], schema=KEPT)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    arrays = written(arrow_map(rows.where("doc_id is not null"), lines_of, "doc_id long, lines binary, prints array<long>, at array<int>"), "lines")
+    arrays = written(arrow_map(rows.where("doc_id is not null"), lines_of, "doc_id long, lines binary, prints array<long>, at array<int>, wholes binary"), "lines")
     prints = arrays.select("doc_id", F.explode(F.arrays_zip("prints", "at")).alias("p")).select("doc_id", F.col("p.prints").alias("print"), F.col("p.at").alias("pos"))
     first = prints.groupBy("print").agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = (
         prints.join(first, "print").where("struct(doc_id, pos) != src")
         .groupBy("doc_id", F.col("src.doc_id").alias("src")).agg(F.collect_list(F.struct("pos", F.col("src.pos").alias("src_pos"))).alias("pairs"))
     )
-    one = arrays.groupBy("doc_id").agg(F.max("lines").alias("lines"))
+    each = arrays.groupBy("doc_id").agg(F.max(F.struct("lines", "wholes")).alias("x")).select("doc_id", "x.lines", "x.wholes")
+    one = each.select("doc_id", "lines")
     matches = pairs.join(one, "doc_id").join(one.select(F.col("doc_id").alias("src"), F.col("lines").alias("src_lines")), "src")
-    runs = arrow_map(matches, grow, "doc_id long, start int, stop int").groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    spots = written(arrow_map(each.select("doc_id", "wholes"), places, "hi long, lo long, doc_id long, start int, stop int"), "places")
+    least = spots.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = spots.join(least, ["hi", "lo"]).where("struct(doc_id, start) != first").select("doc_id", "start", "stop")
+    runs = arrow_map(matches, grow, "doc_id long, start int, stop int").unionByName(again).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
     joined = rows.join(runs.withColumnRenamed("doc_id", "run_id"), F.col("doc_id") == F.col("run_id"), "left").select("doc_id", "text", "runs")
     return arrow_map(joined, remove, "doc_id long, n_lines long, n_removed long, kept_text string")

@@ -124,3 +124,11 @@ def test_lines(spark):
     # A run of window + k - 1 lines that came before loses lines, and documents without repeats keep their text.
     assert got[93].n_removed >= 3 and got[94].n_removed >= 12 - 1
     assert got[90].kept_text == "" and line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_lines_go_alone(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    texts = [f"a\n{long}\nb", f"c\n {long}\t\nd", long, "short line", "short line", f"{long}\ne\n{long}", f"{long} x"]
+    rows = [(i + 1, t) for i, t in enumerate(texts)] + [(None, long), (3, long)]
+    got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id)
+    assert got == [(1, 0, texts[0]), (2, 1, "c\nd"), (3, 1, ""), (3, 1, ""), (4, 0, texts[3]), (5, 0, texts[4]), (6, 2, "e"), (7, 0, texts[6])]
