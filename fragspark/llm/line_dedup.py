@@ -3,7 +3,9 @@
 Lines (white space at their ends does not count, empty ones are left out) are hashed; every k consecutive line hashes
 give a gram hash; of every `window` consecutive grams the least (rightmost of equals) is a fingerprint, so any run of
 window + k - 1 equal lines shares one. Each fingerprint's later occurrences meet its first one; the match grows both
-ways over equal lines, and the later run goes. First is the smallest (doc_id, line number). A line of `long_words` words
+ways over equal lines, and the later run goes. A fingerprint's other occurrences may share more lines than its first:
+its surroundings, every window + k - 1 lines around it, have first places of their own, and later occurrences of these
+go too. A longer run that came before is the union of such surroundings, so none is missed. First is the smallest (doc_id, line number). A line of `long_words` words
 or more is a whole of its own: its later occurrences go, whatever stands around them.
 """
 
@@ -22,7 +24,7 @@ LINES = pa.schema([("doc_id", pa.int64()), ("lines", pa.binary()), ("prints", pa
 PLACES = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
-ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def line_hashes(text: str) -> np.ndarray:
@@ -37,6 +39,16 @@ def whole_lines(text: str, long_words: int) -> np.ndarray:
     return np.array(found, np.uint64).reshape(-1, 3)
 
 
+def surroundings(lines: np.ndarray, n: int) -> np.ndarray:
+    """Rows (high, low half of a hash) of every n consecutive lines: each holds a fingerprint, as it is one window of grams."""
+    out = np.zeros((max(0, len(lines) - n + 1), 2), np.uint64)
+    for j in range(n):
+        for half, odd in enumerate((ODD, OTHER)):
+            out[:, half] = (out[:, half] ^ lines[j : j + len(out)]) * odd
+            out[:, half] ^= out[:, half] >> np.uint64(29 + 3 * half)
+    return out
+
+
 def fingerprints(lines: np.ndarray, k: int, window: int) -> np.ndarray:
     """(position, gram hash) of the window minima; a text with fewer than `window` grams gives its least gram."""
     n = len(lines) - k + 1
@@ -72,10 +84,13 @@ def line_dedup(docs: DataFrame, k: int = 2, window: int = 2, long_words: int = 2
 
     A null text is empty. Texts of fewer than k lines keep all but lines of long_words words or more that came before. Rows with a null doc_id have no place in the order of
     occurrences: they are returned as they are. Rows with one doc_id are taken as one document, that of the largest
-    array of line hashes; the removed line numbers go from each of them. No more than the first occurrence of a
-    fingerprint is a source, so a fingerprint of n occurrences gives n - 1 matches.
+    array of line hashes; the removed line numbers go from each of them. Only the first occurrence of a fingerprint is
+    grown from, so a fingerprint of n occurrences gives n - 1 matches; any run of window + k - 1 lines or more that
+    came before goes wherever it came.
     """
 
+    run = window + k - 1
+
     def lines_of(batches):
         for b in batches:
             out = []
@@ -91,9 +106,12 @@ def line_dedup(docs: DataFrame, k: int = 2, window: int = 2, long_words: int = 2
     def places(batches):
         for b in batches:
             out = []
-            for doc_id, wholes in zip(b.column("doc_id").to_pylist(), b.column("wholes").to_pylist(), strict=True):
+            for doc_id, lines, wholes in zip(*(b.column(x).to_pylist() for x in ("doc_id", "lines", "wholes")), strict=True):
                 w = np.frombuffer(wholes, np.uint64).reshape(-1, 3)
                 out.append((w[:, 0], w[:, 1], np.full(len(w), doc_id), w[:, 2], w[:, 2] + np.uint64(1)))
+                around = surroundings(np.frombuffer(lines, np.uint64), run)
+                at = np.arange(len(around), dtype=np.uint64)
+                out.append((around[:, 0], around[:, 1], np.full(len(at), doc_id), at, at + np.uint64(run)))
             if out:
                 hi, lo, ids, start, stop = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield batch(PLACES, hi.view(np.int64), lo.view(np.int64), ids, start.astype(np.int32), stop.astype(np.int32))
@@ -107,11 +125,11 @@ def line_dedup(docs: DataFrame, k: int = 2, window: int = 2, long_words: int = 2
                 for p in sorted((p["pos"], p["src_pos"]) for p in pairs):
                     if p in done:
                         continue
-                    run = matched_run(own, *p[:1], theirs, p[1], k, doc_id == src)
-                    if run:
-                        out.append((doc_id, *run))
+                    found = matched_run(own, *p[:1], theirs, p[1], k, doc_id == src)
+                    if found:
+                        out.append((doc_id, *found))
                         shift = p[1] - p[0]
-                        done.update((x, x + shift) for x in range(run[0], run[1] - k + 1))
+                        done.update((x, x + shift) for x in range(found[0], found[1] - k + 1))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True), RUNS, strict=True)], schema=RUNS)
 
@@ -141,7 +159,7 @@ def line_dedup(docs: DataFrame, k: int = 2, window: int = 2, long_words: int = 2
     each = arrays.groupBy("doc_id").agg(F.max(F.struct("lines", "wholes")).alias("x")).select("doc_id", "x.lines", "x.wholes")
     one = each.select("doc_id", "lines")
     matches = pairs.join(one, "doc_id").join(one.select(F.col("doc_id").alias("src"), F.col("lines").alias("src_lines")), "src")
-    spots = written(arrow_map(each.select("doc_id", "wholes"), places, "hi long, lo long, doc_id long, start int, stop int"), "places")
+    spots = written(arrow_map(each, places, "hi long, lo long, doc_id long, start int, stop int"), "places")
     least = spots.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = spots.join(least, ["hi", "lo"]).where("struct(doc_id, start) != first").select("doc_id", "start", "stop")
     runs = arrow_map(matches, grow, "doc_id long, start int, stop int").unionByName(again).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))

@@ -132,3 +132,19 @@ def test_long_lines_go_alone(spark):
     rows = [(i + 1, t) for i, t in enumerate(texts)] + [(None, long), (3, long)]
     got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id)
     assert got == [(1, 0, texts[0]), (2, 1, "c\nd"), (3, 1, ""), (3, 1, ""), (4, 0, texts[3]), (5, 0, texts[4]), (6, 2, "e"), (7, 0, texts[6])]
+
+
+def test_runs_of_three_equal_brute_force_over_all_earlier_ones(spark):
+    rnd = random.Random(5)
+    texts = ["p\nq", "x\na\nb\ny", "1\na\nb\nc\n2", "3\na\nb\nc\n4"] + ["\n".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(0, 12))) for _ in range(120)]
+    got = {r.doc_id: r.kept_text.split("\n") for r in line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[3] == ["3", "4"]
+    seen = set()
+    for d, t in enumerate(texts):
+        own, gone = t.split("\n"), set()
+        for i in range(len(own) - 2):
+            if (key := tuple(own[i : i + 3])) in seen:
+                gone.update(range(i, i + 3))
+            seen.add(key)
+        left = iter([x for i, x in enumerate(own) if i not in gone])
+        assert all(x in left for x in got[d] if x)  # what is kept, in order, is no more than brute force keeps
