@@ -11,7 +11,8 @@ the end of the last sequence.
 from __future__ import annotations
 
 from bisect import bisect_right
-from math import gcd
+from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,54 +44,63 @@ def fast_encoder(path: str):
     return _held[path]
 
 
-def fluid(totals: list[int], weights: list[int] | None = None) -> list[tuple[int, list[int], list[int], int]]:
-    """Phases of the round-robin: (tokens given out before, numerators given per queue, active weights, denominator).
+class Phase(NamedTuple):
+    """From `given` tokens given out on; of these `done` belong to queues that are empty, and the active queues share the others by weight."""
 
-    Within a phase, at N tokens given out, queue q has had (num[q] + (N - start) * weight[q] * scale) / den tokens; a
-    phase ends as a queue runs empty. All numbers are whole, so every task works out the same places.
-    """
-    weights = list(totals if weights is None else weights)
-    left, phases, start = [(t, 1) for t in totals], [], (0, 1)
-    while True:
-        active = [w if left[q][0] > 0 else 0 for q, w in enumerate(weights)]
-        if not sum(active):
-            active = [int(left[q][0] > 0) for q in range(len(totals))]  # queues without a share come last
-        total = sum(active)
-        phases.append((start, left, active, total))
-        if not total:
-            return phases
-        # tokens until the first active queue is empty: left / weight * total
-        step = min(((n * total, d * w) for (n, d), w in zip(left, active, strict=True) if w), key=lambda x: _Ratio(*x))
-        start = _add(start, step)
-        left = [_add(x, _neg((step[0] * w, step[1] * total))) for x, w in zip(left, active, strict=True)]
-
-
-class _Ratio:
-    def __init__(self, n: int, d: int):
-        self.n, self.d = n, d
-
-    def __lt__(self, other):
-        return self.n * other.d < other.n * self.d
+    given: tuple[int, int]  # numerator, denominator
+    done: int
+    weight: int
 
 
-def _neg(x):
-    return -x[0], x[1]
+def fluid(totals: np.ndarray, weights: np.ndarray | None = None) -> tuple[list[Phase], np.ndarray, np.ndarray, np.ndarray]:
+    """Phases of the round-robin, and of each queue its weight and the phases in which it is active: from the first up to the last, without that.
 
-
-def _add(a, b):
-    n, d = a[0] * b[1] + b[0] * a[1], a[1] * b[1]
-    g = gcd(n, d) or 1
-    return n // g, d // g
+    A phase ends as queues run empty; queues without a weight come last, each with weight 1. At N tokens given out an
+    active queue has had weight * (N - done) / phase's weight tokens. All numbers are whole, so every task works out
+    the same places.
+    """
+    own = np.array(totals if weights is None else weights, np.int64)
+    late = own <= 0
+    own[late] = 1
+    begin, end = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    phases, done = [], 0
+    for stage in (~late, late):
+        queues = np.flatnonzero(stage & (totals > 0)).tolist()
+        queues.sort(key=lambda q: Fraction(int(totals[q]), int(own[q])))
+        weight, given, at = int(own[queues].sum()) if queues else 0, (done, 1), 0
+        begin[stage] = end[stage] = len(phases)
+        while at < len(queues):
+            phases.append(Phase(given, done, weight))
+            n, d = int(totals[queues[at]]), int(own[queues[at]])
+            given = (done * d + n * weight, d)
+            while at < len(queues) and int(totals[queues[at]]) * d == n * int(own[queues[at]]):
+                q, at = queues[at], at + 1
+                end[q] = len(phases)
+                done, weight = done + int(totals[q]), weight - int(own[q])
+    return phases, own, begin, end
 
 
 class Places:
     """Where each queue's tokens go. cum(k, N): tokens of queues 0 to k-1 among the first N tokens given out."""
 
-    def __init__(self, totals: list[int], window: int, weights: list[int] | None = None):
-        self.totals, self.window, self.all = totals, window, sum(totals)
-        self.phases = fluid(totals, weights)
-        self.starts = [s[0] / s[1] for s, *_ in self.phases]
+    def __init__(self, totals, window: int, weights=None):
+        self.totals, self.window = np.asarray(totals, np.int64), window
+        self.all = int(self.totals.sum())
+        self.phases, self.weights, self.begin, self.end = fluid(self.totals, weights)
+        self.starts = [p.given[0] / p.given[1] for p in self.phases]
+        self.ahead = np.concatenate([[0], np.cumsum(self.totals)])
         self.memo: dict = {}
+        self.sums: dict = {}
+
+    def before(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each k, of the queues 0 to k-1 in phase i: the tokens of the empty ones, and the weight of the active ones."""
+        if (got := self.sums.get(i)) is None:
+            gone, active = self.end <= i, (self.begin <= i) & (self.end > i)
+            got = tuple(np.concatenate([[0], np.cumsum(np.where(x, y, 0))]) for x, y in ((gone, self.totals), (active, self.weights)))
+            if (len(self.sums) + 1) * len(self.totals) > 2_000_000:
+                self.sums.clear()
+            self.sums[i] = got
+        return got
 
     def cum(self, k: int, n: int) -> int:
         """A whole number: the sum of the fluid amounts, rounded down; the fractions left are the deficits carried on."""
@@ -100,19 +110,13 @@ class Places:
             return min(n, self.all)
         if (got := self.memo.get((k, n))) is None:
             if n >= self.all:
-                got = sum(self.totals[:k])
+                got = int(self.ahead[k])
             else:
                 i = min(bisect_right(self.starts, n), len(self.phases)) - 1
-                while i and self.phases[i][0][0] > n * self.phases[i][0][1]:
+                while i and self.phases[i].given[0] > n * self.phases[i].given[1]:
                     i -= 1
-                start, left, active, total = self.phases[i]
-                amount = (0, 1)
-                if i:
-                    for q in range(k):
-                        amount = _add(amount, _add((self.totals[q], 1), _neg(left[q])))
-                share = sum(active[:k])
-                amount = _add(amount, (share * (n * start[1] - start[0]), start[1] * total)) if total else amount
-                got = amount[0] // amount[1]
+                gone, active = self.before(i)
+                got = int(gone[k]) + int(active[k]) * (n - self.phases[i].done) // self.phases[i].weight
             if len(self.memo) > 500_000:
                 self.memo.clear()
             self.memo[k, n] = got
@@ -125,7 +129,7 @@ class Places:
     def first_window(self, q: int, t: int) -> int:
         """The window that holds token t of queue q."""
         low, high = 0, -(-self.all // self.window)
-        guess = min(high - 1, t * self.all // max(1, self.totals[q]) // self.window)
+        guess = min(high - 1, t * self.all // max(1, int(self.totals[q])) // self.window)
         if self.given(q, guess) <= t:
             low = guess
             if self.given(q, guess + 1) > t:
@@ -183,22 +187,25 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, window_sequences:
 
     A document is its ids and id 0 at the end; a null text is empty and gives the 0 alone; a null source is the queue "".
     shares: whole-number weights of the sources; without them each window mixes the sources as the corpus does, and a
-    source that shares leave out waits until the others are empty. More sources than `queues` share queues by a hash, so
-    what the driver and the tasks hold of them is bounded. Rows that repeat are packed as often as they come; null ids
+    source that shares leave out waits until the others are empty. Each source is a queue at every number of sources: the
+    driver holds their names and totals, a task the totals and sums of these. Beyond `queues` sources their numbers come
+    to the tasks by a join, not as a dictionary of names. Rows that repeat are packed as often as they come; null ids
     stay null. Each token lies in exactly one piece, sequences are full but the last, an empty table gives no rows.
     """
     rows = written(tokenised(docs, path), "tokens")
     sums = rows.groupBy("queue", "task").agg(F.sum("n").alias("n"))
-    names = [r[0] for r in sums.select("queue").distinct().limit(queues + 1).collect()]
-    of = (lambda c: F.col(c)) if len(names) <= queues else lambda c: F.pmod(F.xxhash64(c), F.lit(queues)).cast("string")
-    # Sources that share a queue follow each other within a task, so the order is by (task, queue).
-    ahead = F.sum("n").over(Window.partitionBy("lane").orderBy("task", "queue").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sums.withColumn("lane", of("queue")).withColumn("base", F.coalesce(ahead, F.lit(0)))
-    totals = {r.lane: r.n for r in sums.withColumn("lane", of("queue")).groupBy("lane").agg(F.sum("n").alias("n")).collect()}
-    lanes = sorted(totals)
-    number = {x: i for i, x in enumerate(lanes)}
-    counts = [totals[x] for x in lanes]
-    weights = None if shares is None else [int(shares.get(x, 0)) for x in lanes]
+    ahead = F.sum("n").over(Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sums.withColumn("base", F.coalesce(ahead, F.lit(0)))
+    totals = sorted((r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())
+    lanes = [x for x, _ in totals]
+    counts = np.array([n for _, n in totals], np.int64)
+    weights = None if shares is None else np.array([int(shares.get(x, 0)) for x in lanes], np.int64)
+    number = {x: i for i, x in enumerate(lanes)} if len(lanes) <= queues else None
+    if number is None:
+        numbers = docs.sparkSession.createDataFrame(pa.table({"queue": pa.array(lanes, pa.string()), "lane": np.arange(len(lanes))}))
+        bases = bases.join(numbers, "queue")
+    else:
+        bases = bases.withColumn("lane", F.col("queue"))
     window = window_sequences * sequence
 
     def cut(batches):
@@ -207,7 +214,7 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, window_sequences:
             out, held = [], 0
             for doc_id, lane, at, n, raw in zip(*(b.column(k).to_pylist() for k in ("doc_id", "lane", "at", "n", "ids")), strict=True):
                 ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
-                for start, m, place in places.cuts(number[lane], at, n, sequence):
+                for start, m, place in places.cuts(number[lane] if number else lane, at, n, sequence):
                     out.append((doc_id, start, m, n, place // sequence, place % sequence, ids[start : start + m].tobytes()))
                 held += n
                 if held > 1 << 20:

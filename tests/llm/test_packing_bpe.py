@@ -81,3 +81,28 @@ def test_digest_columns(spark, library):
     a, b = op6_bpe(spark, path).first(), op3_packing(spark, path).first()
     assert a.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and a.n_tokens == len(ids)
     assert b.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*ids, 0]))
+
+
+def test_each_of_many_sources_keeps_its_share(spark):
+    rows = [(i, "the cat sat on the mat " * 8, f"s{i % 40}", 1) for i in range(1200)]
+    length = len(Tokenizer.from_file(PATH).encode(rows[0][1], add_special_tokens=False).ids) + 1
+    mixed = pack(docs(spark, rows), PATH, 20, 40, None, 8).collect()  # windows of 800 tokens, 20 of each source
+    shared = pack(docs(spark, rows), PATH, 20, 40, {"s7": 3, "s11": 1}, 8).collect()
+    count: dict = {}
+    for p in mixed:
+        key = p.doc_id % 40, p.sequence_id // 40
+        count[key] = count.get(key, 0) + p.length
+    last = max(w for _, w in count)
+    assert {n for (_, w), n in count.items() if w < last} == {20} and len(count) == 40 * last + len({q for q, w in count if w == last})
+    for w in range(2):  # the shares hold as long as both sources last
+        own = {s: sum(p.length for p in shared if p.doc_id % 40 == s and p.sequence_id // 40 == w) for s in (7, 11)}
+        assert own == {7: 600, 11: 200}
+    assert 30 * length >= 2 * 600 and sum(p.length for p in shared) == 1200 * length
+
+
+def test_places_of_a_hundred_thousand_queues():
+    places = Places([10 + q % 7 for q in range(100_000)], 1_300, [q % 5 for q in range(100_000)])
+    cuts = [(p, m) for q in (0, 1, 4, 50_003, 99_999) for _, m, p in places.cuts(q, 0, 10 + q % 7, 64)]
+    assert sum(m for _, m in cuts) == sum(10 + q % 7 for q in (0, 1, 4, 50_003, 99_999)) and len(cuts) == len(set(cuts))
+    w = [places.cum(100_000, n * 1_300) for n in range(5)]
+    assert w == [0, 1300, 2600, 3900, 5200]
