@@ -94,7 +94,7 @@ def k_core(edges: DataFrame, k: int = 2, most_rounds: int = 10_000) -> DataFrame
     raise RuntimeError("no fixpoint")
 
 
-def coreness(edges: DataFrame, normalise: bool = False, most_rounds: int = 1000) -> DataFrame:
+def coreness(edges: DataFrame, normalise: bool = False, most_rounds: int = 10_000) -> DataFrame:
     """network, v, core: each vertex's value falls to the h-index of its neighbours' values until none moves; all k at once."""
     ways = settled(both_ways(edges))
     now = settled(degrees(edges).select("network", "v", F.col("degree").alias("core")))
@@ -106,6 +106,8 @@ def coreness(edges: DataFrame, normalise: bool = False, most_rounds: int = 1000)
         now = new.select("network", "v", "core")
         if new.where("was != core").isEmpty():
             break
+    else:
+        raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
     if normalise:
         now = now.join(now.groupBy("network").agg(F.max("core").alias("top")), "network").select("network", "v", (F.col("core") / F.col("top")).alias("core"))
     return now

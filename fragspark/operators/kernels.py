@@ -412,12 +412,18 @@ def explosive_immunization(graph: Graph, stop: int, sigma: int, candidates: int
     return sorted(out, key=lambda v: (-degree[v], v))
 
 
-def min_sum_decycling(graph: Graph, depth: int = 20, rounds: int = 300, force: float = 1e-3, damp: float = 0.1, noise: float = 1e-4, seed: int = 0) -> list[int]:
+#: Rounds in which the pull of min-sum's reinforcement grows to its full force.
+RAMP = 300
+
+
+def min_sum_decycling(graph: Graph, depth: int = 20, rounds: int = 10_000, force: float = 1e-3, damp: float = 0.1, noise: float = 1e-4, seed: int = 0, settled: int = 30, tolerance: float = 1e-5) -> list[int]:
     """A small set whose removal leaves no cycle, by reinforced min-sum.
 
     Each vertex has a time: 0 for removed (cost 1), else the round in which it falls as a leaf, when at most one
     neighbour has its time or a later one. before[e, t]: least cost behind edge e = (i, j) when i has time t and j an
-    earlier one; after[e, t]: when j is the one neighbour with the same or a later time. All edges are updated at once.
+    earlier one; after[e, t]: when j is the one neighbour with the same or a later time. All edges are updated at once,
+    until no message moves by more than tolerance or no vertex changed its time in `settled` rounds and the removed
+    ones leave no cycle, for `rounds` rounds at most.
     """
     core = Live(graph).core()
     ids = sorted(core)
@@ -433,7 +439,7 @@ def min_sum_decycling(graph: Graph, depth: int = 20, rounds: int = 300, force: f
     field[:, 0] += 1
     bias = np.zeros((n, t))
     before, after = np.zeros((m, t)), np.zeros((m, t))
-    total = field
+    total, times_now, still = field, np.full(n, -1), 0
     for r in range(rounds):
         into_b, into_a = before[back], after[back]  # messages k -> i on the slot of edge (i, k)
         zero = np.minimum(into_b[:, 0], into_b[:, 1:].min(1))
@@ -461,12 +467,22 @@ def min_sum_decycling(graph: Graph, depth: int = 20, rounds: int = 300, force: f
         fresh_before = fresh_after + other
         fresh_after[:, 0] = fresh_before[:, 0] = field[src, 0] + bias[src, 0] + zeros[src] - zero
         low = np.minimum(fresh_before.min(1), fresh_after.min(1))[:, None]
-        before = damp * before + (1 - damp) * (fresh_before - low)
-        after = damp * after + (1 - damp) * (fresh_after - low)
+        fresh_before = damp * before + (1 - damp) * (fresh_before - low)
+        fresh_after = damp * after + (1 - damp) * (fresh_after - low)
+        moved = max(np.abs(fresh_before - before).max(), np.abs(fresh_after - after).max())
+        before, after = fresh_before, fresh_after
         total = field + bias + sums + first
         total[:, 0] = field[:, 0] + bias[:, 0] + zeros
-        bias += force * r * (total - total.min(1, keepdims=True)) / max(1, rounds)
+        bias += force * r * (total - total.min(1, keepdims=True)) / RAMP
         bias = np.minimum(bias, 50)
+        was, times_now = times_now, total.argmin(1)
+        still = still + 1 if np.array_equal(was, times_now) else 0
+        if moved <= tolerance:
+            break
+        if still >= settled:
+            if _acyclic(graph, {ids[i] for i in np.flatnonzero(times_now == 0)}):
+                break
+            still = 0
     chosen = {ids[i] for i in np.flatnonzero(total.argmin(1) == 0)}
     live = Live(graph)
     for v in sorted(chosen):

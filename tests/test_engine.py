@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -8,6 +9,7 @@ from fragspark.functions import scalar as S
 from fragspark.operators import centrality as C
 from fragspark.operators import components as P
 from fragspark.operators import graph as G
+from fragspark.operators import kernels as K
 from fragspark.operators import methods as M
 from fragspark.operators import replay as R
 from fragspark.plans import report as Q
@@ -195,3 +197,21 @@ def test_entry_without_the_subpackage():
 
     code = "import sys; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e\nassert 'degree_rank' in e.queries() and not any(k.startswith('op') for k in e.queries()) and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
+
+
+def test_coreness_raises_without_a_fixpoint(spark):
+    chain = edges(spark, [(i, i + 1) for i in range(12)])
+    with pytest.raises(RuntimeError):
+        P.coreness(chain, most_rounds=2)
+    assert {r.core for r in P.coreness(chain).collect()} == {1}
+
+
+def test_ensemble_takes_the_least_of_a_thousand_seeds(spark):
+    rnd = random.Random(1)
+    pairs = sorted({tuple(sorted(rnd.sample(range(18), 2))) for _ in range(30)})
+    g = K.Graph([a for a, _ in pairs], [b for _, b in pairs])
+    stop = 3
+    sets = [K.generalized_dismantling(g, stop, s) for s in range(1, 1001)]
+    best = min(sets, key=len)
+    got = [r.v for r in M.get_EGND(edges(spark, pairs), stop / g.n - 1e-9).orderBy(F.desc("score")).collect()]
+    assert got == g.ids[best].tolist() and len(best) < min(map(len, sets[:8]))

@@ -109,6 +109,15 @@ def test_min_sum_is_small_on_cycles():
     assert len(K.min_sum_decycling(graph(BRIDGED))) == 2
 
 
+def test_min_sum_goes_on_until_it_settles():
+    rnd = random.Random(3)
+    n = rnd.randrange(20, 60)
+    g = graph(sorted({tuple(sorted(rnd.sample(range(n), 2))) for _ in range(int(n * 1.8))}))
+    settled = K.min_sum_decycling(g)
+    assert len(settled) == 6 and K._acyclic(g, set(settled))  # 7 after 300 rounds
+    assert settled == K.min_sum_decycling(g, rounds=20_000)
+
+
 def test_entropies():
     g = graph(BRIDGED)
     got = K.network_entanglement(g, 0.9, [2])
