@@ -215,3 +215,33 @@ def test_ensemble_takes_the_least_of_a_thousand_seeds(spark):
     best = min(sets, key=len)
     got = [r.v for r in M.get_EGND(edges(spark, pairs), stop / g.n - 1e-9).orderBy(F.desc("score")).collect()]
     assert got == g.ids[best].tolist() and len(best) < min(map(len, sets[:8]))
+
+
+def test_whole_graphs_equal_brute_force(spark, tmp_path):
+    from fragspark.queries import ORACLES, QUERIES, Whole, graph
+
+    rnd = random.Random(8)
+    line = [(rnd.randrange(12), rnd.randrange(15), rnd.randrange(6), float(rnd.choice((1, 20, 46, 48, 50)))) for _ in range(60)]
+    orders = [(i, rnd.randrange(5), rnd.choice(("1-URGENT", "3-MEDIUM")), 1000.0 * i) for i in range(12)]
+    events = [(i, f"2026-01-01 00:00:{i * 7 % 40:02d}", rnd.randrange(6), rnd.choice(("purchase", "view"))) for i in range(40)]
+    spark.createDataFrame(line, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    in_order = [u for _, _, u in sorted((t, i, u) for i, t, u, _ in events)]
+    pairs = {
+        "sp50": [(s * 2, p * 2 + 1) for _, p, s, _ in line],
+        "partco": [(x[1], y[1]) for x in line for y in line if x[0] == y[0]],
+        "custsupp": [(o[1] * 2, x[2] * 2 + 1) for o in orders for x in line if o[0] == x[0]],
+        "useq": list(zip(in_order, in_order[1:], strict=False)),
+    }
+    for name, own in pairs.items():
+        want = {(min(x), max(x)) for x in own if x[0] != x[1]}
+        assert {(r.src, r.dst) for r in graph(spark, Whole(tmp_path), name).collect()} == want
+        part = {(r.src, r.dst) for r in graph(spark, str(tmp_path), name).collect()}
+        assert part != want if name == "useq" else part < want
+    want = {v: sum(v in e for e in {tuple(sorted(x)) for x in pairs["partco"] if x[0] != x[1]}) for x in pairs["partco"] for v in x}
+    assert {r.v: r.degree for r in QUERIES["whole_graph_degree"](spark, str(tmp_path)).collect()} == {v: n for v, n in want.items() if n}
+    runs = {(o[2][0], f"m{o[1] % 7}") for o in orders}
+    missing = {h: len({n for n, _ in runs}) - sum(x == h for _, x in runs) for _, h in runs}
+    assert {r.heuristic: r.missing for r in QUERIES["whole_nan_census"](spark, str(tmp_path)).collect()} == missing and any(missing.values())
+    assert not [x for x in ORACLES if x.startswith("whole_") and x != "whole_nan_census"]
