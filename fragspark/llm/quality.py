@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 PASSAGE, SHAPES, FORMS, HIDDEN, GATE = 48, 256, 128, 16, 8
-SAMPLE_ROWS, STEPS, RATE, THRESHOLD = 3000, 450, 0.01, 0.3
+SAMPLE_ROWS, STEPS, RATE, THRESHOLD = 4000, 450, 0.01, 0.3
 WIDTH, MEMO_WORDS, BLOCK_WORDS = SHAPES + FORMS + 2, 200_000, 1 << 17
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 RUNS = re.compile(r"(.)\1+", re.S)
@@ -114,16 +114,22 @@ class Model:
 
     def fit(self, texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 64, seed: int = 7) -> Model:
         y = np.array(labels, np.float32)
-        x, bags = passages(texts, WordCodes())
-        at, g = np.cumsum(bags) - bags, np.random.default_rng(seed)
+        codes, held = WordCodes(), []
+        for text in texts:  # the passages of a text without their zeros
+            x, _ = passages([text], codes)
+            at = np.flatnonzero(x)
+            held.append((len(x), at.astype(np.uint32), x.ravel()[at]))
+        bags, g = np.array([n for n, *_ in held]), np.random.default_rng(seed)
         m, v, order = {k: 0 * a for k, a in self.w.items()}, {k: 0 * a for k, a in self.w.items()}, np.empty(0, np.int64)
         for step in range(1, steps + 1):
             if len(order) < batch:
                 order = np.concatenate([order, g.permutation(len(y))])
             own, order = order[:batch], order[batch:]
-            rows = np.concatenate([np.arange(at[j], at[j] + bags[j]) for j in own])
+            x = np.zeros((bags[own].sum(), WIDTH), np.float32)
+            for j, start in zip(own, np.cumsum(bags[own]) - bags[own], strict=True):
+                x[start : start + bags[j]].ravel()[held[j][1]] = held[j][2]
             rate = RATE * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k, grad in self.gradients(x[rows], bags[own], y[own]).items():
+            for k, grad in self.gradients(x, bags[own], y[own]).items():
                 m[k] = 0.9 * m[k] + 0.1 * (grad + 1e-5 * self.w[k])
                 v[k] = 0.999 * v[k] + 0.001 * grad * grad
                 self.w[k] = (self.w[k] - rate * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)

@@ -62,3 +62,16 @@ def test_held_out_accuracy_on_the_test_data():
     held = [(texts[d], q) for d, q in rows if not zlib.crc32(str(d).encode()) % 5]
     scores = Model().fit([t for t, _ in seen], [q for _, q in seen]).score([t for t, _ in held], WordCodes())
     assert np.mean([(s >= 0.3) == bool(q) for s, (_, q) in zip(scores, held, strict=True)]) >= 0.9
+
+
+def test_fit_holds_no_dense_passages():
+    import tracemalloc
+
+    from fragspark.llm.quality import SAMPLE_ROWS, WIDTH, Model
+
+    texts = [" ".join(f"word{(i * j) % 97}" for j in range(480)) for i in range(300)]
+    tracemalloc.start()
+    Model().fit(texts, [i % 2 for i in range(300)], steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert SAMPLE_ROWS == 4000 and peak < 300 * 10 * WIDTH * 4
