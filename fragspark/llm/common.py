@@ -11,7 +11,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A folder that the driver and all executors see: spark.checkpoint.dir; on one machine, where that is unset, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="fragspark-")
         atexit.register(shutil.rmtree, own, True)
         at = f"file://{own}"
@@ -42,7 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once as Parquet in the shared folder and reread: lineage ends here, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -68,3 +82,28 @@ def released() -> None:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def crammed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, by byte planes, compressed."""
+    n, pack, parts = len(columns[0]), zstandard.ZstdCompressor(level=1).compress, []
+    for c in columns:
+        planes = np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(n, 8).T
+        used = max((i + 1 for i in range(8) if planes[i].any()), default=0)
+        parts += [bytes([used]), planes[:used].tobytes()]
+    return n.to_bytes(4, "little") + pack(b"".join(parts))
+
+
+def uncrammed(body: bytes, columns: int) -> list[np.ndarray]:
+    n, raw, at, out = int.from_bytes(body[:4], "little"), zstandard.ZstdDecompressor().decompress(body[4:]), 0, []
+    for _ in range(columns):
+        used = raw[at]
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :used] = np.frombuffer(raw, np.uint8, used * n, at + 1).reshape(used, n).T
+        out.append(full.reshape(-1).view("<u8"))
+        at += 1 + used * n
+    return out
+
+
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)

@@ -23,12 +23,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, crammed, table_of, uncrammed, written
 from .components import components
 
 SHINGLE, PERCENT, RARE, HOT_IN_BATCH = 5, 75, 64, 64
@@ -65,31 +64,6 @@ def shingles(text: str, size: int, word_hash: WordHash) -> np.ndarray:
     return np.unique(h)
 
 
-def crammed(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers, by byte planes, compressed."""
-    n, pack, parts = len(columns[0]), zstandard.ZstdCompressor(level=1).compress, []
-    for c in columns:
-        planes = np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(n, 8).T
-        used = max((i + 1 for i in range(8) if planes[i].any()), default=0)
-        parts += [bytes([used]), planes[:used].tobytes()]
-    return n.to_bytes(4, "little") + pack(b"".join(parts))
-
-
-def uncrammed(body: bytes, columns: int) -> list[np.ndarray]:
-    n, raw, at, out = int.from_bytes(body[:4], "little"), zstandard.ZstdDecompressor().decompress(body[4:]), 0, []
-    for _ in range(columns):
-        used = raw[at]
-        full = np.zeros((n, 8), np.uint8)
-        full[:, :used] = np.frombuffer(raw, np.uint8, used * n, at + 1).reshape(used, n).T
-        out.append(full.reshape(-1).view("<u8"))
-        at += 1 + used * n
-    return out
-
-
-def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-
 def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 

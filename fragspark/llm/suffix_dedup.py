@@ -2,33 +2,50 @@
 
 Which suffixes. A string of `length` bytes holds window minima of the hashes of its `gram`-byte substrings; they depend
 on its bytes alone, so both places of a repeat have an anchor at the same offset. Only suffixes at anchors whose gram
-comes again are sorted, cut at `length` bytes, each with the length - gram bytes before it. Places with equal context on
-both sides are repeats over the whole of it and go in as one suffix.
-
-How. A task sorts its suffixes and front-codes them (common prefix with the one before, then the rest); runs travel to
-the bucket of their gram. There a loser tree merges the runs: each head carries its common prefix with the last suffix
-put out, which front coding and earlier matches give for free, heads of different prefixes are ordered by that number
-alone, and equal ones are compared behind it, so no known prefix is read again. Out come the suffix array and its LCP
-array. Intervals of the LCP array, from deep to shallow, and the order of the left contexts give each place its maximal
-matches (left bytes, right bytes) with any other; those of `length` bytes or more are removed.
+comes again are sorted, cut at `length` bytes, each with the length - gram bytes before it (its context).
+
+How. A batch of documents sends each of its grams once, with a count; the grams that come again go back to it. It sorts
+their suffixes, those of one context as one entry, and front-codes them (common prefix with the one before, then the
+rest); runs travel to the bucket of their gram. There a loser tree merges the runs: each head carries its common prefix
+with the last suffix put out, which front coding and earlier matches give for free, heads of different prefixes are
+ordered by that number alone, and equal ones are compared behind it, so no known prefix is read again. Out come the
+suffix array and its LCP array. Intervals of the LCP array, from deep to shallow, and the order of the left contexts
+give each entry its maximal matches (left bytes, right bytes), which go back to its batch. Every match rests on a
+comparison of bytes.
+
+Hot grams. A common passage is one entry per batch, however often it comes. A gram with more than `hot` contexts is cut
+into nodes: node (a, b) holds the windows that begin a to b bytes before the anchor, and its places meet by the hash of
+the bytes that all of these share. Nodes split until they have at most `hot` contexts, or are one window: its places
+are then equal by a hash of all its bytes, and no bytes are gathered.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, batch, crammed, discard, table_of, uncrammed, written
 
-LENGTH, BLOCK = 400, 1 << 19
+#: PASSAGE: the least bytes of a passage of over 50 words, with room: 51 words of the test languages take 246 or more.
+LENGTH, PASSAGE, BLOCK = 400, 240, 1 << 19
+HOT, FAN, SIGN = 50_000, 8, 8
+BATCH_PLACES, BATCH_ENTRIES, BUCKET_BYTES = 200_000, 50_000, 32 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
-ANCHORS = pa.schema([("kh", pa.int64()), ("ch", pa.int64()), ("key", pa.int64()), ("pos", pa.int64())])
-RUNS = pa.schema([("bucket", pa.int32()), ("run", pa.binary())])
-MATCHES = pa.schema([("key", pa.int64()), ("pos", pa.int64()), ("l", pa.int32()), ("r", pa.int32())])
+SIGNED_SQL = "kind int, batch long, sign long, n long, contexts long, d long, key long, pos long, body binary"
+SIGNED = pa.schema([(k, pa.int32() if k == "kind" else pa.int64()) for k in ("kind", "batch", "sign", "n", "contexts", "d", "key", "pos")] + [("body", pa.binary())])
+ASKED_SQL = "key long, times long, cold binary, hot binary, spans binary"
+ASKED = pa.schema([("key", pa.int64()), ("times", pa.int64()), *((k, pa.binary()) for k in ("cold", "hot", "spans"))])
+CUT_SQL = "kind int, bucket int, batch long, body binary"
+CUT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("batch", pa.int64()), ("body", pa.binary())])
+TOLD = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("body", pa.binary())])
+SPANS = pa.schema([("key", pa.int64()), ("spans", pa.binary())])
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
@@ -94,16 +111,16 @@ def common(a: bytes, b: bytes, at: int = 0) -> int:
     return n
 
 
-def front_coded(rows: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
-    """A run of sorted (suffix, left context backwards, count, key, position)."""
+def front_coded(rows: list[tuple]) -> bytes:
+    """A run of sorted (sign and suffix, left context backwards, alone, entry, first place)."""
     rows.sort(key=lambda r: r[0])
     shared, last = [], b""
     for r in rows:
         shared.append(common(last, r[0]))
         last = r[0]
     parts = [
-        np.array([len(rows)], "<u4").tobytes(), np.array([(c, len(r[0]) - c, len(r[1]), min(r[2], 2)) for c, r in zip(shared, rows, strict=True)], "<u4").tobytes(),
-        np.array([(r[3], r[4]) for r in rows], "<i8").tobytes(), *(r[0][c:] for c, r in zip(shared, rows, strict=True)), *(r[1] for r in rows),
+        np.array([len(rows)], "<u4").tobytes(), np.array([(c, len(r[0]) - c, len(r[1]), r[2]) for c, r in zip(shared, rows, strict=True)], "<u4").tobytes(),
+        np.array([(r[3], *r[4]) for r in rows], "<i8").tobytes(), *(r[0][c:] for c, r in zip(shared, rows, strict=True)), *(r[1] for r in rows),
     ]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
@@ -111,12 +128,12 @@ def front_coded(rows: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
 class Run:
     """Reads a front-coded run: head, and its common prefix with the suffix before it in the run."""
 
-    def __init__(self, body: bytes):
+    def __init__(self, batch: int, body: bytes):
         raw = zstandard.ZstdDecompressor().decompress(body)
-        self.n = int(np.frombuffer(raw, "<u4", 1)[0])
+        self.batch, self.n = batch, int(np.frombuffer(raw, "<u4", 1)[0])
         self.facts = np.frombuffer(raw, "<u4", 4 * self.n, 4).reshape(-1, 4).tolist()
-        self.places = np.frombuffer(raw, "<i8", 2 * self.n, 4 + 16 * self.n).reshape(-1, 2).tolist()
-        self.raw, self.at, self.i, self.head = raw, 4 + 32 * self.n, -1, b""
+        self.places = np.frombuffer(raw, "<i8", 4 * self.n, 4 + 16 * self.n).reshape(-1, 4).tolist()
+        self.raw, self.at, self.i, self.head = raw, 4 + 48 * self.n, -1, b""
         self.left_at = self.at + sum(f[1] for f in self.facts)
 
     def next(self) -> int:
@@ -124,7 +141,7 @@ class Run:
         self.i += 1
         if self.i >= self.n:
             return -1
-        shared, rest, left, self.count = self.facts[self.i]
+        shared, rest, left, self.alone = self.facts[self.i]
         self.head = self.head[:shared] + self.raw[self.at : self.at + rest]
         self.at += rest
         self.left = self.raw[self.left_at : self.left_at + left]
@@ -135,7 +152,7 @@ class Run:
 def merged(runs: list[Run]):
     """(run, common prefix with the one before) for each suffix of the runs in order, by a loser tree of prefix lengths."""
     size = 1 << max(0, (len(runs) - 1).bit_length())
-    known = [r.next() for r in runs] + [-1] * (size - len(runs))  # common prefix with the last suffix put out
+    known = [0 if r.next() >= 0 else -1 for r in runs] + [-1] * (size - len(runs))  # common prefix with the last suffix put out
 
     def beats(a: int, b: int) -> bool:
         """Does the head of run a go before that of run b? The one that goes later learns its common prefix with the other."""
@@ -150,11 +167,7 @@ def merged(runs: list[Run]):
         known[b if first else a] = m
         return first
 
-    losers = [0] * size
-    winners = list(range(size))
-    known = [0 if k >= 0 else -1 for k in known]
-    level = winners
-    base = size
+    losers, level, base = [0] * size, list(range(size)), size
     while len(level) > 1:
         base //= 2
         ahead = []
@@ -177,13 +190,36 @@ def merged(runs: list[Run]):
         top = now
 
 
-def maximal(rights: list[int], lefts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """For each suffix of a block the maximal matches (left, right) of at least `length` bytes with any other of the block.
-
-    rights[i]: common prefix of suffixes i and i + 1. Intervals of the LCP array are joined from deep to shallow; within
-    each the nearest left contexts are neighbours in their order.
+def nearest_earlier(times: list[int], gaps: list[int]) -> list[int]:
+    """For each item the largest common left context with an item of smaller time; gaps[i] is that of items i and i + 1."""
+    n = len(times)
+    best = [-1] * n
+    for way in (1, -1):
+        stack: list[tuple[int, int]] = []  # time, common context with the item below in the stack
+        i = 0 if way > 0 else n - 1
+        while 0 <= i < n:
+            near = gaps[i - 1 if way > 0 else i] if stack else 0
+            while stack and stack[-1][0] > times[i]:
+                near = min(near, stack.pop()[1])
+            if stack:
+                best[i] = max(best[i], near)
+            stack.append((times[i], near))
+            i += way
+    return best
+
+
+def maximal(rights: list[int], lefts: list[bytes], length: int, times: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """For each suffix of a block the maximal matches (left, right) of at least `length` bytes with any other of the block, with times only with those of smaller time.
+
+    rights[i]: common prefix of suffixes i and i + 1. Intervals of the LCP array are joined from deep to shallow, all of
+    one depth at once; within each the nearest left contexts are neighbours in their order.
     """
-    m, found = len(lefts), [[] for _ in lefts]
+    m = len(lefts)
+    if m == 2:
+        own = [(common(lefts[0], lefts[1]), rights[0])] if rights[0] + min(len(lefts[0]), len(lefts[1])) >= length else []
+        own = [x for x in own if sum(x) >= length]
+        return [own, own] if times is None else [own if times[0] > times[1] else [], own if times[1] > times[0] else []]
+    found: list[list[tuple[int, int]]] = [[] for _ in lefts]
     order = sorted(range(m), key=lefts.__getitem__)
     near = np.array([common(lefts[a], lefts[b]) for a, b in zip(order, order[1:], strict=False)] + [0], np.int64)
     rank = np.empty(m, np.int64)
@@ -192,45 +228,77 @@ def maximal(rights: list[int], lefts: list[bytes], length: int) -> list[list[tup
     best = np.full(m, -1, np.int64)
     parts = {i: rank[i : i + 1] for i in range(m)}  # by first suffix of the interval
     begin = list(range(m))
-    for depth, i in sorted(((r, i) for i, r in enumerate(rights)), reverse=True):
-        a = i
+
+    def root(a: int) -> int:
         while begin[a] != a:
             begin[a] = begin[begin[a]]
             a = begin[a]
-        both = np.sort(np.concatenate([parts.pop(a), parts.pop(i + 1)]))
-        begin[i + 1], parts[a] = a, both
+        return a
+
+    def joined(first: int, others: list[int], depth: int):
+        both = np.sort(np.concatenate([parts.pop(x) for x in (first, *others)]))
+        parts[first] = both
+        for x in others:
+            begin[x] = first
         gap = np.minimum.reduceat(near, both)[:-1]
-        left = np.maximum(np.concatenate([[-1], gap]), np.concatenate([gap, [-1]]))
         who = owner[both]
+        if times is None:
+            left = np.maximum(np.concatenate([[-1], gap]), np.concatenate([gap, [-1]]))
+        else:
+            left = np.array(nearest_earlier([times[x] for x in who.tolist()], gap.tolist()))
         better = (left > best[who]) & (left + depth >= length)
         for x, v in zip(who[better].tolist(), left[better].tolist(), strict=True):
             found[x].append((v, depth))
         best[who] = np.maximum(best[who], left)
+
+    levels: dict[int, list[int]] = {}
+    for i, r in enumerate(rights):
+        levels.setdefault(r, []).append(i)
+    for depth in sorted(levels, reverse=True):
+        first, others = -1, []
+        for i in levels[depth]:
+            a = root(i)
+            if others and a == others[-1]:
+                others.append(i + 1)
+            else:
+                if others:
+                    joined(first, others, depth)
+                first, others = a, [i + 1]
+        joined(first, others, depth)
     return found
 
 
-def span_matches(table_runs: list[bytes], gram: int, length: int):
-    """(key, position, left, right) of the matches of the suffixes that come once, from the runs of one bucket."""
+def block_matches(runs: list[Run], length: int, keep_first: bool) -> dict[int, list[tuple[int, int, int]]]:
+    """batch -> (entry, left, right) of the matches that the entries of a bucket's blocks still need."""
+    found: dict[int, list[tuple[int, int, int]]] = {}
     block, depths = [], []
 
     def close():
-        if len(block) > 1:
-            for (_, count, key, pos), own in zip(block, maximal(depths[1:], [b[0] for b in block], length), strict=True):
-                if count == 1:
-                    yield from ((key, pos, le, r) for le, r in own)
-
-    for run, shared in merged([Run(r) for r in table_runs]):
-        if shared < gram:
-            yield from close()
+        if len(block) < 2:
+            return
+        times = None
+        if keep_first:
+            times = [0] * len(block)
+            for t, i in enumerate(sorted(range(len(block)), key=lambda i: block[i][3][1:])):
+                times[i] = t
+        for (_, batch, alone, place), own in zip(block, maximal(depths[1:], [b[0] for b in block], length, times), strict=True):
+            if alone or keep_first:
+                found.setdefault(batch, []).extend((place[0], le, r) for le, r in own)
+
+    for run, shared in merged(runs):
+        if shared < SIGN:
+            close()
             block, depths = [], []
-        block.append((run.left, run.count, *run.places[run.i]))
-        depths.append(shared)
-    yield from close()
+        block.append((run.left, run.batch, run.alone, run.places[run.i]))
+        depths.append(shared - SIGN)
+    close()
+    return found
 
 
-def union_of(matches, n: int, gram: int, length: int) -> list[tuple[int, int]]:
+def union_of(matches, n: int, length: int) -> list[tuple[int, int]]:
+    """Maximal runs of the matches (start, stop) of at least `length` bytes."""
     spans: list[tuple[int, int]] = []
-    for start, stop in sorted((max(0, p - le), min(n, p + r)) for p, le, r in matches):
+    for start, stop in sorted((max(0, s), min(n, e)) for s, e in matches):
         if stop - start < length:
             continue
         if spans and start <= spans[-1][1]:
@@ -240,67 +308,252 @@ def union_of(matches, n: int, gram: int, length: int) -> list[tuple[int, int]]:
     return spans
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, carry: bool = False) -> DataFrame:
+class Places:
+    """The places of a batch of documents: who has which sign where."""
+
+    def __init__(self, task: int):
+        self.task, self.number = task, 0
+        self.clear()
+
+    def clear(self):
+        self.slots: dict[int, int] = {}
+        self.docs: list[int] = []
+        self.times: list[int] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, doc_id: int | None, key: int, found) -> None:
+        """found() -> signs, contexts, positions, and the node (a, b) of each."""
+        if key in self.slots:
+            self.times[self.slots[key]] += 1
+            return
+        slot = self.slots[key] = len(self.slots)
+        self.docs.append(-(2**63) if doc_id is None else doc_id)
+        self.times.append(1)
+        sign, context, pos, a, b = found()
+        self.parts.append((sign, context, np.full(len(sign), slot), pos, a, b))
+        self.held += len(sign) + 1
+
+    def rows(self):
+        """One row for each sign (its places, contexts and first place), then the batch itself."""
+        batch_id, self.number = (self.task << 24) + self.number, self.number + 1
+        sign, context, slot, pos, a, b = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        keys, docs, times = np.array(list(self.slots), np.int64), np.array(self.docs, np.int64), np.array(self.times, np.int64)
+        order = np.lexsort((pos, keys[slot], docs[slot], sign)) if len(sign) and (a == b).any() else np.argsort(sign, kind="stable")
+        by_context = np.lexsort((context, sign))
+        s, c = sign[by_context], context[by_context]
+        fresh = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])] if len(s) else np.empty(0, bool)
+        sign, slot, pos, a, b = (x[order] for x in (sign, slot, pos, a, b))
+        first = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]]) if len(sign) else np.empty(0, np.int64)
+        if len(first):
+            leaf = pa.array(a[first] != b[first])  # no first place is needed there
+            place = lambda x: pa.array(x[first], pa.int64(), mask=leaf.to_numpy(False))
+            yield batch(
+                SIGNED, np.zeros(len(first), np.int32), np.full(len(first), batch_id), sign[first], np.add.reduceat(times[slot], first), np.add.reduceat(fresh.astype(np.int64), first),
+                place(docs[slot]), place(keys[slot]), place(pos), pa.nulls(len(first), pa.binary()),
+            )
+            body = [crammed(sign, slot, pos, a, b), crammed(keys, docs, times)]
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([batch_id]), *[pa.nulls(1, f.type) for f in list(SIGNED)[2:-1]], pa.array([len(body[0]).to_bytes(8, "little") + b"".join(body)], pa.binary())], schema=SIGNED)
+        self.clear()
+
+
+def node_sign(body: bytes, p: int, a: int, b: int, length: int) -> int | None:
+    """Hash of the bytes that all windows of `length` bytes beginning a to b bytes before p share; None where no such window lies in body."""
+    if p < a or p - b + length > len(body):
+        return None
+    return xxhash.xxh3_64_intdigest(body[p - a : p - b + length], a * 65_537 + b)
+
+
+def split_node(a: int, b: int) -> list[tuple[int, int]]:
+    cuts = np.unique(np.linspace(a, b + 1, min(FAN, b - a + 1) + 1).astype(int)).tolist()
+    return [(x, y - 1) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, carry: bool = False, keep_first: bool = False, hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (maximal runs of removed bytes), kept (the other bytes, put together).
 
     A byte goes if a string of `length` bytes over it also starts anywhere else, in the same document or another,
-    overlapping or not; strings are judged on the input and never cross documents. Texts are their UTF-8 bytes, null is
-    empty, texts under `length` bytes keep all. Rows that repeat are documents of their own: they are repeats of each
-    other. A null doc_id is a document like any other. Very long texts are hashed in blocks. With carry the other columns
-    come along in a struct `row` in place of doc_id, and kept is text without the bytes of letters cut in two.
+    overlapping or not; with keep_first only if it also starts at an earlier place, by (doc_id, hash of id and text,
+    position). Strings are judged on the input and never cross documents. Texts are their UTF-8 bytes, null is empty,
+    texts under `length` bytes keep all. Rows that repeat are documents of their own, and repeats of each other; with
+    keep_first they are one document. A null doc_id is a document like any other, before all others. Two texts under
+    one doc_id are two documents. Very long texts are hashed in blocks. An empty table gives no rows. Of the other
+    columns none is read, so clashing names don't matter; with carry they come along in a struct `row` in place of
+    doc_id, and kept is text without the bytes of letters cut in two.
     """
+    spark = docs.sparkSession
     gram = gram or length // 2
     side = length - gram
-    buckets = max(16, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), *([F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("row")] if carry else [])).withColumn("key", F.xxhash64("doc_id", "body"))
-
-    def find(batches):
-        roll = Roll(gram)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")] if carry else [])).withColumn("key", F.xxhash64("doc_id", "body"))
+    long_enough = texts.where(F.length("body") >= length).select("doc_id", "key", "body")
+
+    def signs_of(level: int):
+        def run(batches):
+            roll, held = Roll(gram), Places(TaskContext.get().partitionId())
+            for b in batches:
+                for doc_id, key, body, nodes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist() if level else [None] * b.num_rows, strict=True):
+                    body = body.as_py()
+
+                    def grams(body=body):
+                        at, kh = anchors(np.frombuffer(body, np.uint8), roll, length)
+                        context = np.array([xxhash.xxh3_64_intdigest(body[max(0, p - side) : p + length], min(p, side)) for p in at.tolist()], np.uint64)
+                        return kh.view(np.int64), context.view(np.int64), at, np.zeros(len(at), np.int64), np.full(len(at), side)
+
+                    def children(body=body, nodes=nodes):
+                        out = []
+                        for p, a, z in zip(*(x.tolist() for x in uncrammed(nodes, 3)), strict=True):
+                            context = xxhash.xxh3_64_intdigest(body[max(0, p - side) : p + length], min(p, side)) - (1 << 63)
+                            out += [(sign - (1 << 63), context, p, x, y) for x, y in split_node(a, z) if (sign := node_sign(body, p, x, y, length)) is not None]
+                        return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 5
+
+                    held.add(doc_id, key, children if level else grams)
+                    if held.held > BATCH_PLACES:
+                        yield from held.rows()
+            if held.parts:
+                yield from held.rows()
+
+        return run
+
+    def ask(batches):
         for b in batches:
-            out, held = [], 0
-            for key, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, kh = anchors(np.frombuffer(body, np.uint8), roll, length)
-                ch = [xxhash.xxh3_64_intdigest(body[max(0, p - side) : p + length], min(p, side)) for p in at.tolist()]
-                out.append((kh.view(np.int64), np.array(ch, np.uint64).view(np.int64), np.full(len(at), key, np.int64), at))
-                held += len(at)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=ANCHORS)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=ANCHORS)
-
-    places = arrow_map(texts.where(F.length("body") >= length).select("key", "body"), find, "kh long, ch long, key long, pos long")
-    again = places.groupBy("kh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kh")
-    shared = written(places.join(again, "kh"), "anchors")
-    # One row for each context of a gram; the place of a context that comes once is its only one.
-    contexts = shared.groupBy("kh", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("at"))
-    contexts = written(contexts, "contexts")
-    various = contexts.groupBy("kh").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("kh")
-    asked = contexts.join(various, "kh").groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "n", "kh")).alias("asked"))
+            for body, back in zip(b.column(0), b.column(1), strict=True):
+                body, back = body.as_py(), back.values
+                n = int.from_bytes(body[:8], "little")
+                sign, slot, pos, a, z = (x.view(np.int64) for x in uncrammed(body[8 : 8 + n], 5))
+                keys, docs_of, times = (x.view(np.int64) for x in uncrammed(body[8 + n :], 3))
+                told = back.field("sign").to_numpy()
+                order = np.argsort(told)
+                at = order[np.minimum(np.searchsorted(told[order], sign), len(told) - 1)]
+                here = told[at] == sign
+                many = back.field("hot").to_numpy(zero_copy_only=False)[at]
+                alike = here & many & (a == z)
+                if keep_first:
+                    first = [back.field(x).fill_null(0).to_numpy()[at] for x in ("d", "key", "pos")]
+                    alike &= (first[0] != docs_of[slot]) | (first[1] != keys[slot]) | (first[2] != pos)
+                kinds = (here & ~many, here & many & (a < z), alike)
+                rows = []
+                by_slot = np.argsort(slot, kind="stable")
+                bounds = np.searchsorted(slot[by_slot], np.arange(len(keys) + 1))
+                for i, key in enumerate(keys.tolist()):
+                    own = by_slot[bounds[i] : bounds[i + 1]]
+                    cold, warm, gone = (own[k[own]] for k in kinds)
+                    if len(cold) + len(warm) + len(gone):
+                        rows.append((key, int(times[i]), crammed(pos[cold], sign[cold]) if len(cold) else None, crammed(pos[warm], a[warm], z[warm]) if len(warm) else None, crammed(pos[gone] - a[gone], pos[gone] - a[gone] + length) if len(gone) else None))
+                if rows:
+                    yield batch(ASKED, *map(list, zip(*rows, strict=True)))
+
+    # Level 0: all anchors; the levels after it: the nodes of hot grams.
+    levels, entries, level, hot_docs, spent = [], 0, 0, long_enough, []
+    while True:
+        table = written(arrow_map(hot_docs, signs_of(level), SIGNED_SQL), "signs")
+        known = table.where("kind = 0").groupBy("sign").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"), F.min(F.struct("d", "key", "pos")).alias("first")).where("n > 1")
+        known = written(known.select("sign", (F.col("contexts") > hot).alias("hot"), "contexts", "first.*"), "known")
+        sums = known.agg(F.sum(F.when(~F.col("hot"), F.col("contexts"))).alias("cold"), F.max("hot").alias("hot")).first()
+        entries += sums.cold or 0
+        back = table.where("kind = 0").select("batch", "sign").join(known.drop("contexts"), "sign").groupBy("batch").agg(F.collect_list(F.struct("sign", "hot", "d", "key", "pos")).alias("back"))
+        asked = written(arrow_map(table.where("kind = 1").select("batch", "body").join(back, "batch").select("body", "back"), ask, ASKED_SQL), "asked")
+        levels.append(asked.withColumn("level", F.lit(level)))
+        spent += [table, known]
+        if not sums.hot:
+            break
+        warm = asked.where("hot is not null").groupBy("key").agg(F.max("hot").alias("nodes"))
+        hot_docs = long_enough.join(warm, "key").select("doc_id", "key", "body", "nodes")
+        level += 1
+    whole = reduce(DataFrame.union, levels)
+    buckets = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries * (length + side) // BUCKET_BYTES))
 
     def cut(batches):
-        rows: dict[int, list] = {}
-        held = 0
+        task, number = TaskContext.get().partitionId(), 0
+        entry: dict[tuple, int] = {}
+        facts, members, keys, docs_of = [], [], [], []
+
+        def flush():
+            nonlocal number
+            batch_id, number = (task << 24) + number, number + 1
+            count = [0] * len(facts)
+            for e, _, _, times in members:
+                count[e] += times
+            first: list = [None] * len(facts)
+            if keep_first:
+                for e, slot, p, _ in members:
+                    place = (docs_of[slot], keys[slot], p)
+                    if first[e] is None or place < first[e]:
+                        first[e] = place
+            runs: dict[int, list] = {}
+            for (sign, suffix, left), e in entry.items():
+                runs.setdefault(sign % buckets, []).append((sign.to_bytes(SIGN, "big", signed=True) + suffix, left, int(count[e] == 1), e, first[e] or (0, 0, 0)))
+            own = [crammed(*(np.array(x, np.int64) for x in zip(*(m[:3] for m in members), strict=True))), crammed(np.array(keys, np.int64), np.array(docs_of, np.int64)), crammed(np.array(facts, np.int64)[:, 0], np.array(facts, np.int64)[:, 1], np.array(count))]
+            told = b"".join(len(x).to_bytes(8, "little") + x for x in own)
+            out = [(0, bucket, batch_id, front_coded(r)) for bucket, r in runs.items()] + [(1, None, batch_id, told)]
+            for x in (entry, facts, members, keys, docs_of):
+                x.clear()
+            return batch(CUT, *map(list, zip(*out, strict=True)))
+
         for b in batches:
-            for key, body, own in zip(*(b.column(k).to_pylist() for k in ("key", "body", "asked")), strict=True):
-                for x in own:
-                    p = x["pos"]
-                    rows.setdefault(x["kh"] % buckets, []).append((body[p : p + length], body[max(0, p - side) : p][::-1], x["n"], key, p))
-                    held += 1
-                if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([front_coded(r) for r in rows.values()], pa.binary())], schema=RUNS)
-                    rows, held = {}, 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([front_coded(r) for r in rows.values()], pa.binary())], schema=RUNS)
+            for doc_id, key, body, colds, times in zip(*(b.column(i) for i in range(5)), strict=True):
+                body, slot = body.as_py(), len(keys)
+                keys.append(key.as_py())
+                docs_of.append(-(2**63) if doc_id.as_py() is None else doc_id.as_py())
+                often = 1 if keep_first else min(2, times.as_py())
+                for cold in colds.as_py():
+                    pos, sign = uncrammed(cold, 2)
+                    for p, s in zip(pos.tolist(), sign.view(np.int64).tolist(), strict=True):
+                        x = (s, body[p : p + length], body[max(0, p - side) : p][::-1])
+                        e = entry.setdefault(x, len(facts))
+                        if e == len(facts):
+                            facts.append((len(x[2]), len(x[1])))
+                        members.append((e, slot, p, often))
+                if len(facts) > BATCH_ENTRIES or len(members) > 8 * BATCH_ENTRIES:
+                    yield flush()
+        if members:
+            yield flush()
+
+    asked_of = whole.where("cold is not null").groupBy("key").agg(F.collect_set("cold").alias("colds"), F.sum(F.when(F.col("level") == 0, F.col("times")).otherwise(0)).alias("zero"), F.max("times").alias("some")).select("key", "colds", F.greatest("zero", "some").alias("times"))
+    pieces = written(arrow_map(long_enough.join(asked_of, "key").dropDuplicates(["key"]).select("doc_id", "key", "body", "colds", "times"), cut, CUT_SQL), "suffixes")
 
     def merge(table: pa.Table) -> pa.Table:
-        found = list(span_matches(table.column("run").to_pylist(), gram, length))
-        return pa.Table.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(MATCHES)], schema=MATCHES)
-
-    runs = arrow_map(texts.join(asked, "key").dropDuplicates(["key"]).select("key", "body", "asked"), cut, "bucket int, run binary")
-    once = runs.groupBy("bucket").applyInArrow(merge, "key long, pos long, l int, r int")
-    whole = shared.join(contexts.where("n > 1").select("kh", "ch"), ["kh", "ch"]).select("key", "pos", F.lit(side).alias("l"), F.lit(length).alias("r"))
-    matches = once.union(whole).groupBy("key").agg(F.collect_set(F.struct("pos", "l", "r")).alias("matches"))
+        found = block_matches([Run(n, body) for n, body in zip(table.column("batch").to_pylist(), table.column("body").to_pylist(), strict=True)], length, keep_first)
+        return table_of([(0, n, crammed(*(np.array(x, np.int64) for x in zip(*own, strict=True)))) for n, own in found.items() if own], TOLD)
+
+    def resolve(table: pa.Table) -> pa.Table:
+        """The removed strings of the documents of a batch."""
+        extra, told = {}, None
+        for kind, body in zip(table.column("kind").to_pylist(), table.column("body").to_pylist(), strict=True):
+            if kind:
+                told = body
+            else:
+                for e, le, r in zip(*(x.tolist() for x in uncrammed(body, 3)), strict=True):
+                    extra.setdefault(e, []).append((le, r))
+        parts, at = [], 0
+        while at < len(told):
+            n = int.from_bytes(told[at : at + 8], "little")
+            parts.append(told[at + 8 : at + 8 + n])
+            at += 8 + n
+        of, slot, pos = (x.view(np.int64) for x in uncrammed(parts[0], 3))
+        keys, docs_of = (x.view(np.int64) for x in uncrammed(parts[1], 2))
+        left, right, count = (x.view(np.int64) for x in uncrammed(parts[2], 3))
+        full = count[of] > 1
+        if keep_first:
+            order = np.lexsort((pos, keys[slot], docs_of[slot], of))
+            lead = order[np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])]
+            full[lead] = False
+        full &= left[of] + right[of] >= length
+        whose, start, stop = [slot[full]], [(pos - left[of])[full]], [(pos + right[of])[full]]
+        single = np.flatnonzero(~full)
+        more = [(slot[i], pos[i] - le, pos[i] + r) for i, e in zip(single.tolist(), of[single].tolist(), strict=True) for le, r in extra.get(e, ())]
+        if more:
+            for held, x in zip((whose, start, stop), zip(*more, strict=True), strict=True):
+                held.append(np.array(x, np.int64))
+        whose, start, stop = (np.concatenate(x) for x in (whose, start, stop))
+        order = np.argsort(whose, kind="stable")
+        bounds = np.searchsorted(whose[order], np.arange(len(keys) + 1))
+        rows = [(key, crammed(start[own], stop[own])) for i, key in enumerate(keys.tolist()) if len(own := order[bounds[i] : bounds[i + 1]])]
+        return table_of(rows, SPANS)
+
+    told = pieces.where("kind = 0").groupBy("bucket").applyInArrow(merge, "kind int, batch long, body binary").union(pieces.where("kind = 1").select("kind", "batch", "body"))
+    spans = told.groupBy("batch").applyInArrow(resolve, "key long, spans binary").union(whole.where("spans is not null").select("key", "spans"))
+    matches = spans.groupBy("key").agg(F.collect_set("spans").alias("matches"))
+    discard(*spent)
 
     kept_type = "binary" if not carry else "string"
 
@@ -311,7 +564,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None,
                 out, held, begin = [], 0, at
                 while at < b.num_rows and held < 8 << 20:
                     body = b.column(1)[at].as_py()
-                    spans = union_of([(x["pos"], x["l"], x["r"]) for x in b.column(2)[at].as_py() or ()], len(body), gram, length)
+                    own = [x for part in b.column(2)[at].as_py() or () for x in zip(*(y.view(np.int64).tolist() for y in uncrammed(part, 2)), strict=True)]
+                    spans = union_of(own, len(body), length)
                     ends = [0, *(x for s in spans for x in s), len(body)]
                     kept = b"".join(body[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2))
                     out.append((len(body), [{"start": s, "stop": e} for s, e in spans], kept.decode("utf-8", "ignore") if carry else kept))
@@ -324,8 +578,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None,
     return arrow_map(joined, clean, f"{first}, n_bytes long, spans array<struct<start: long, stop: long>>, kept {kept_type}")
 
 
-def cleaned_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of docs with what suffix_dedup removes taken out of their texts; bytes of letters cut in two go too; n_chars, if there, follows."""
-    got = suffix_dedup(docs, length, carry=True)
-    out = got.select(*(F.col("kept").alias(c) if c == "text" else F.char_length("kept").cast(t).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c, t in docs.dtypes))
-    return out
+def cleaned_documents(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
+    """The rows of docs without the strings of `length` bytes that came at an earlier place; bytes of letters cut in two go too; n_chars, if there, follows."""
+    got = suffix_dedup(docs, length, carry=True, keep_first=True)
+    return got.select(*(F.col("kept").alias(c) if c == "text" else F.char_length("kept").cast(t).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c, t in docs.dtypes))

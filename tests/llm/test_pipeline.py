@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from fragspark.llm.quality import WordCodes, fit_quality
 from fragspark.llm.queries import tokenizer_path
+from fragspark.llm.suffix_dedup import PASSAGE
 
 from .test_ngram_join import brute as components_of
 from .test_suffix_dedup import brute as without_repeats
@@ -44,7 +45,7 @@ def test_stages_equal_brute_force(spark):
     want = sorted(r for r in want if r.doc_id in stay)
     assert sorted(got.collect()) == want
     step("substrings")
-    texts = {r.doc_id: x[3].decode("utf-8", "ignore") for r, x in zip(want, without_repeats([r.text for r in want], 400), strict=True)}
+    texts = {r.doc_id: x[3].decode("utf-8", "ignore") for r, x in zip(want, without_repeats([r.text for r in want], PASSAGE, [r.doc_id for r in want]), strict=True)}
     assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {d: (t, len(t)) for d, t in texts.items()}
     step("packing")
     library = Tokenizer.from_file(tokenizer_path())
