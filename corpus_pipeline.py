@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragspark.llm.common import read, written
+from fragspark.llm.common import discard, read, written
 from fragspark.llm.exact_dedup import kept_documents
 from fragspark.llm.ngram_join import near_deduplicated
 from fragspark.llm.packing import pack
@@ -35,7 +35,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that come again anywhere go from every text; a text may become empty."""
+    """Strings of 240 bytes (no passage of over 50 words is shorter) go wherever they come again; their first place stays."""
     return cleaned_documents(docs)
 
 
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
