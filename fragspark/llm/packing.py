@@ -1,19 +1,19 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of tokens. A window of `window_sequences` sequences gives every queue its share of the window's
-tokens; what a share leaves over as a fraction of a token is the queue's deficit and counts in the next window, and when
-a queue is empty its share goes to the others. The deficits are functions of the tokens given out so far, so a document
-finds its place from three numbers: its queue's tokens before it (a prefix sum over partitions), the queue totals and
-its length. No task walks a queue, windows carry over partition borders, and nothing is dropped, padded or left over but
-the end of the last sequence.
+Each source is a queue of documents. Every round (a window of `window_sequences` sequences) adds a quantum to each
+queue's credit: its target share of the window's tokens. A document goes out in the round in which its queue's credit
+covers it; credit that does not cover the next document is the queue's deficit and is carried to the next round, over
+windows and partitions, so no queue is ever ahead of its share, nor behind it by a document. A queue that is empty gets
+nothing more, and the others go on in their proportions.
+
+Credit only grows, so the round of a document is a function of its queue's tokens up to its end: a prefix sum over
+tasks. The order of all documents is then (round, queue, tokens before); their places in it are a running sum over
+ranges of that order, which Spark cuts at quantiles. Nothing walks a queue, no document is cut but at the ends of
+sequences, and nothing is dropped or padded but the end of the last sequence.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from fractions import Fraction
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 from .bpe import Vocabulary
 from .common import arrow_map, written
 
-SEQUENCE, WINDOW, QUEUES, END = 1024, 64, 1024, 0
-DOCS = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("task", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+SEQUENCE, WINDOW, END = 1024, 64, 0
+#: Target proportions follow the queues' tokens to this power: below 1, small sources get more than they have in the corpus.
+MIXTURE = 0.7
+RANGE_DOCS = 500_000
+DOCS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("queue", pa.string()), ("task", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+DOCS_SQL = "row long, doc_id long, queue string, task long, before long, n long, ids binary"
 PIECES = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 _held: dict = {}
 
@@ -44,178 +48,91 @@ def fast_encoder(path: str):
     return _held[path]
 
 
-class Phase(NamedTuple):
-    """From `given` tokens given out on; of these `done` belong to queues that are empty, and the active queues share the others by weight."""
-
-    given: tuple[int, int]  # numerator, denominator
-    done: int
-    weight: int
-
-
-def fluid(totals: np.ndarray, weights: np.ndarray | None = None) -> tuple[list[Phase], np.ndarray, np.ndarray, np.ndarray]:
-    """Phases of the round-robin, and of each queue its weight and the phases in which it is active: from the first up to the last, without that.
-
-    A phase ends as queues run empty; queues without a weight come last, each with weight 1. At N tokens given out an
-    active queue has had weight * (N - done) / phase's weight tokens. All numbers are whole, so every task works out
-    the same places.
-    """
-    own = np.array(totals if weights is None else weights, np.int64)
-    late = own <= 0
-    own[late] = 1
-    begin, end = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-    phases, done = [], 0
-    for stage in (~late, late):
-        queues = np.flatnonzero(stage & (totals > 0)).tolist()
-        queues.sort(key=lambda q: Fraction(int(totals[q]), int(own[q])))
-        weight, given, at = int(own[queues].sum()) if queues else 0, (done, 1), 0
-        begin[stage] = end[stage] = len(phases)
-        while at < len(queues):
-            phases.append(Phase(given, done, weight))
-            n, d = int(totals[queues[at]]), int(own[queues[at]])
-            given = (done * d + n * weight, d)
-            while at < len(queues) and int(totals[queues[at]]) * d == n * int(own[queues[at]]):
-                q, at = queues[at], at + 1
-                end[q] = len(phases)
-                done, weight = done + int(totals[q]), weight - int(own[q])
-    return phases, own, begin, end
-
-
-class Places:
-    """Where each queue's tokens go. cum(k, N): tokens of queues 0 to k-1 among the first N tokens given out."""
-
-    def __init__(self, totals, window: int, weights=None):
-        self.totals, self.window = np.asarray(totals, np.int64), window
-        self.all = int(self.totals.sum())
-        self.phases, self.weights, self.begin, self.end = fluid(self.totals, weights)
-        self.starts = [p.given[0] / p.given[1] for p in self.phases]
-        self.ahead = np.concatenate([[0], np.cumsum(self.totals)])
-        self.memo: dict = {}
-        self.sums: dict = {}
-
-    def before(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each k, of the queues 0 to k-1 in phase i: the tokens of the empty ones, and the weight of the active ones."""
-        if (got := self.sums.get(i)) is None:
-            gone, active = self.end <= i, (self.begin <= i) & (self.end > i)
-            got = tuple(np.concatenate([[0], np.cumsum(np.where(x, y, 0))]) for x, y in ((gone, self.totals), (active, self.weights)))
-            if (len(self.sums) + 1) * len(self.totals) > 2_000_000:
-                self.sums.clear()
-            self.sums[i] = got
-        return got
-
-    def cum(self, k: int, n: int) -> int:
-        """A whole number: the sum of the fluid amounts, rounded down; the fractions left are the deficits carried on."""
-        if k == 0 or n <= 0:
-            return 0
-        if k == len(self.totals):
-            return min(n, self.all)
-        if (got := self.memo.get((k, n))) is None:
-            if n >= self.all:
-                got = int(self.ahead[k])
-            else:
-                i = min(bisect_right(self.starts, n), len(self.phases)) - 1
-                while i and self.phases[i].given[0] > n * self.phases[i].given[1]:
-                    i -= 1
-                gone, active = self.before(i)
-                got = int(gone[k]) + int(active[k]) * (n - self.phases[i].done) // self.phases[i].weight
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            self.memo[k, n] = got
-        return got
-
-    def given(self, q: int, w: int) -> int:
-        """Tokens of queue q in the windows before w."""
-        return self.cum(q + 1, w * self.window) - self.cum(q, w * self.window)
-
-    def first_window(self, q: int, t: int) -> int:
-        """The window that holds token t of queue q."""
-        low, high = 0, -(-self.all // self.window)
-        guess = min(high - 1, t * self.all // max(1, int(self.totals[q])) // self.window)
-        if self.given(q, guess) <= t:
-            low = guess
-            if self.given(q, guess + 1) > t:
-                return guess
-        else:
-            high = guess
-        while high - low > 1:
-            mid = (low + high) // 2
-            low, high = (mid, high) if self.given(q, mid) <= t else (low, mid)
-        return low
-
-    def cuts(self, q: int, at: int, n: int, sequence: int):
-        """(offset in the document, length, global place) of the pieces of n tokens from token `at` of queue q on."""
-        done, w = 0, self.first_window(q, at) if n else 0
-        while done < n:
-            begin = self.given(q, w)
-            end = self.given(q, w + 1)
-            if end <= at + done:
-                w += 1
-                continue
-            base = w * self.window + self.cum(q, (w + 1) * self.window) - self.cum(q, w * self.window)
-            place = base + at + done - begin
-            stop = min(n, end - at)
-            while done < stop:
-                m = min(stop - done, sequence - place % sequence)
-                yield done, m, place
-                done, place = done + m, place + m
-
-
-def tokenised(docs: DataFrame, path: str, queues: int = QUEUES) -> DataFrame:
-    """doc_id, queue, task, before, n, ids (16 or 32 bits each) of each row: `before` counts the queue's tokens earlier in the task."""
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """row, doc_id, queue, task, before, n, ids (16 or 32 bits each) of each row: `before` counts the queue's tokens earlier in the task."""
 
     def encode_all(batches):
-        encode, task, before = fast_encoder(path), TaskContext.get().partitionId(), {}
+        encode, task, before, number = fast_encoder(path), TaskContext.get().partitionId(), {}, 0
         for b in batches:
             out, held = [], 0
-            for doc_id, text, queue in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids = np.array([*encode(text), END], "<u4")
+            for doc_id, text, queue in zip(*(b.column(i) for i in range(3)), strict=True):
+                ids = np.array([*encode(text.as_py()), END], "<u4")
+                queue = queue.as_py()
                 at = before.get(queue, 0)
                 before[queue] = at + len(ids)
-                out.append((doc_id, queue, task, at, len(ids), (ids.astype("<u2") if ids.max() < 65536 else ids).tobytes()))
-                held += len(ids)
+                out.append(((task << 36) + number, doc_id.as_py(), queue, task, at, len(ids), (ids.astype("<u2") if ids.max() < 65536 else ids).tobytes()))
+                held, number = held + len(ids), number + 1
                 if held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DOCS, strict=True)], schema=DOCS)
                     out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DOCS, strict=True)], schema=DOCS)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"))
-    return arrow_map(rows, encode_all, "doc_id long, queue string, task long, before long, n long, ids binary")
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), source.alias("queue"))
+    return arrow_map(rows, encode_all, DOCS_SQL)
 
 
-def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, window_sequences: int = WINDOW, shares: dict[str, int] | None = None, queues: int = QUEUES) -> DataFrame:
+def queue_credits(rows: DataFrame, window: int, shares: dict[str, float] | None, power: float) -> DataFrame:
+    """queue, task, base (the queue's tokens in earlier tasks), quantum (credit of a round), late (rounds that go before the queue's first)."""
+    sums = rows.groupBy("queue", "task").agg(F.sum("n").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    totals = sums.groupBy("queue").agg(F.sum("n").alias("total"))
+    if shares is None:
+        totals = totals.withColumn("weight", F.pow("total", F.lit(power)))
+    else:
+        given = rows.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "queue string, weight double")
+        totals = totals.join(given, "queue", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    totals = totals.withColumn("waits", F.col("weight") <= 0).withColumn("weight", F.when(F.col("waits"), F.col("total").cast("double")).otherwise(F.col("weight")))
+    totals = written(totals, "totals")
+    whole = {r.waits: r.weight for r in totals.groupBy("waits").agg(F.sum("weight").alias("weight")).collect()}  # two rows at most
+    of = F.when(F.col("waits"), F.lit(whole.get(True, 1.0))).otherwise(F.lit(whole.get(False, 1.0)))
+    totals = totals.withColumn("quantum", F.col("weight") / of * window)
+    last = totals.where(~F.col("waits")).agg(F.max(F.ceil(F.col("total") / F.col("quantum")))).first()[0] or 0
+    late = totals.select("queue", "quantum", F.when(F.col("waits"), F.lit(last)).otherwise(0).cast("long").alias("late"))
+    return written(sums.withColumn("base", F.coalesce(ahead, F.lit(0))).join(late, "queue").select("queue", "task", "base", "quantum", "late"), "credits")
+
+
+def served(rows: DataFrame, window: int, shares: dict[str, float] | None, power: float) -> DataFrame:
+    """row, place: the tokens that go out before each document."""
+    spark = rows.sparkSession
+    credits = queue_credits(rows, window, shares, power)
+    at = F.col("base") + F.col("before")
+    # Division of doubles never falls as its dividend grows, so documents of one queue keep their order.
+    round_of = (F.col("late") + F.ceil((at + F.col("n")) / F.col("quantum"))).cast("long")
+    slim = rows.select("row", "queue", "task", "before", "n").join(credits, ["queue", "task"]).select("row", "queue", at.alias("at"), "n", round_of.alias("round"))
+    ranges = max(1, -(-rows.count() // RANGE_DOCS))
+    ranged = written(slim.repartitionByRange(ranges, "round", "queue", "at").withColumn("range", F.spark_partition_id()), "rounds")
+    sums = sorted((r.range, r.n) for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect())  # one row for each RANGE_DOCS documents
+    ends = np.cumsum([n for _, n in sums]).tolist()
+    starts = spark.createDataFrame([(r, end - n) for (r, n), end in zip(sums, ends, strict=True)], "range int, start long")
+    running = F.sum("n").over(Window.partitionBy("range").orderBy("round", "queue", "at").rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("place", F.coalesce(running, F.lit(0))).join(starts, "range").select("row", (F.col("start") + F.col("place")).alias("place"))
+
+
+def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, window_sequences: int = WINDOW, shares: dict[str, float] | None = None, power: float = MIXTURE) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32 bits each).
 
-    A document is its ids and id 0 at the end; a null text is empty and gives the 0 alone; a null source is the queue "".
-    shares: whole-number weights of the sources; without them each window mixes the sources as the corpus does, and a
-    source that shares leave out waits until the others are empty. Each source is a queue at every number of sources: the
-    driver holds their names and totals, a task the totals and sums of these. Beyond `queues` sources their numbers come
-    to the tasks by a join, not as a dictionary of names. Rows that repeat are packed as often as they come; null ids
-    stay null. Each token lies in exactly one piece, sequences are full but the last, an empty table gives no rows.
+    A document is its ids and id 0 at the end; a null text is empty and gives the 0 alone; a null source, or a table
+    without sources, is the queue "". shares: target weights of the sources by name, however many there are; a source
+    that they leave out waits until the others are empty. Without them weights are the queues' tokens to `power` (1: each
+    window mixes the sources as the corpus does). Rows that repeat are packed as often as they come; null ids stay null;
+    a very long text is one document, cut at the ends of sequences only. Each token lies in exactly one piece, sequences
+    are full but the last, an empty table gives no rows; columns other than doc_id, text and source are not read.
     """
     rows = written(tokenised(docs, path), "tokens")
-    sums = rows.groupBy("queue", "task").agg(F.sum("n").alias("n"))
-    ahead = F.sum("n").over(Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sums.withColumn("base", F.coalesce(ahead, F.lit(0)))
-    totals = sorted((r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())
-    lanes = [x for x, _ in totals]
-    counts = np.array([n for _, n in totals], np.int64)
-    weights = None if shares is None else np.array([int(shares.get(x, 0)) for x in lanes], np.int64)
-    number = {x: i for i, x in enumerate(lanes)} if len(lanes) <= queues else None
-    if number is None:
-        numbers = docs.sparkSession.createDataFrame(pa.table({"queue": pa.array(lanes, pa.string()), "lane": np.arange(len(lanes))}))
-        bases = bases.join(numbers, "queue")
-    else:
-        bases = bases.withColumn("lane", F.col("queue"))
-    window = window_sequences * sequence
+    places = served(rows, window_sequences * sequence, shares, power)
 
     def cut(batches):
-        places = Places(counts, window, weights)
         for b in batches:
             out, held = [], 0
-            for doc_id, lane, at, n, raw in zip(*(b.column(k).to_pylist() for k in ("doc_id", "lane", "at", "n", "ids")), strict=True):
+            for doc_id, n, place, raw in zip(*(b.column(k).to_pylist() for k in ("doc_id", "n", "place", "ids")), strict=True):
                 ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
-                for start, m, place in places.cuts(number[lane] if number else lane, at, n, sequence):
-                    out.append((doc_id, start, m, n, place // sequence, place % sequence, ids[start : start + m].tobytes()))
+                done = 0
+                while done < n:
+                    m = min(n - done, sequence - place % sequence)
+                    out.append((doc_id, done, m, n, place // sequence, place % sequence, ids[done : done + m].tobytes()))
+                    done, place = done + m, place + m
                 held += n
                 if held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), PIECES, strict=True)], schema=PIECES)
@@ -223,5 +140,5 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, window_sequences:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), PIECES, strict=True)], schema=PIECES)
 
-    placed = rows.join(bases.select("queue", "task", "lane", "base"), ["queue", "task"]).select("doc_id", "lane", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    placed = rows.select("row", "doc_id", "n", "ids").join(places, "row").select("doc_id", "n", "place", "ids")
     return arrow_map(placed, cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
