@@ -107,3 +107,14 @@ def uncrammed(body: bytes, columns: int) -> list[np.ndarray]:
 
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def first_of_each(sign: tuple[np.ndarray, ...], place: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the least place of each sign, and of all rows of another place than that of their sign's."""
+    order = np.lexsort((*place[::-1], *sign[::-1]))
+    if not len(order):
+        return order, order
+    new = np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in sign], axis=0)]
+    lead = order[new]
+    of = lead[np.cumsum(new) - 1]
+    return lead, order[np.any([c[order] != c[of] for c in place], axis=0)]

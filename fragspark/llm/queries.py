@@ -113,6 +113,32 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS pa
        CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
 FROM q
+""",
+    "op5_line_dedup": r"""
+WITH raw AS (
+  SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS xs FROM documents)
+), cut AS (
+  SELECT *, trim(x, ' ' || chr(9) || chr(13)) AS line FROM raw
+), n AS (
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM cut WHERE line <> ''
+), g AS (
+  SELECT doc_id, pos, md5(line || chr(10) || lead(line) OVER w) AS two, md5(line || chr(10) || lead(line) OVER w || chr(10) || lead(line, 2) OVER w) AS three
+  FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), p AS (
+  SELECT *, lag(two) OVER w AS before, lead(two) OVER w AS after FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), signs AS (
+  SELECT doc_id, pos, 2 AS size, two AS sign FROM p WHERE two IS NOT NULL AND (two < after OR two <= before OR (before IS NULL AND after IS NULL))
+  UNION ALL SELECT doc_id, pos, 3, three FROM p WHERE three IS NOT NULL
+  UNION ALL SELECT doc_id, pos, 1, line FROM n WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 20
+), later AS (
+  SELECT doc_id, pos, size FROM (SELECT *, row_number() OVER (PARTITION BY size, sign ORDER BY doc_id, pos) AS k FROM signs) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos FROM later
+), whole AS (
+  SELECT cut.doc_id, count(n.pos) AS n_lines, count(gone.pos) AS n_removed, coalesce(string_agg(x, chr(10) ORDER BY cut.i) FILTER (WHERE gone.pos IS NULL), '') AS kept
+  FROM cut LEFT JOIN n ON cut.doc_id = n.doc_id AND cut.i = n.i LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.pos = gone.pos GROUP BY cut.doc_id
+)
+SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM whole
 """,
     "op9_ngram_join": r"""
 WITH RECURSIVE w AS (

@@ -1,7 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
 Every run of `span` consecutive sentences is hashed to 128 bits; the runs join globally; each sentence that a
-non-first occurrence of a repeated run covers is removed. First is the smallest (doc_id, sentence number).
+non-first occurrence of a repeated run covers is removed. First is the smallest (doc_id, hash of the text, sentence
+number). A batch of documents settles the repeats within it and sends each of its runs once, so a run that comes
+everywhere meets as one row for each batch.
 """
 
 from __future__ import annotations
@@ -9,46 +11,55 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, batch, first_of_each, written
 
 #: A piece of text up to its sentence ends or line ends; the pieces of a text, put together, are the text.
 PIECE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 STRIPPED = " \t\r\n"
-SPANS = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+BATCH_SPANS = 400_000
+SPANS = pa.schema([("later", pa.bool_()), ("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int64())])
+SPANS_SQL = "later boolean, hi long, lo long, doc_id long, key long, pos long"
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
-def pieces_of(text: str) -> list[tuple[str, str]]:
-    """(piece, sentence) of a text; the sentence is the piece without outer white space, empty where nothing is left."""
-    return [(p, p.strip(STRIPPED)) for p in re.findall(PIECE, text)]
-
-
-def span_rows(docs: DataFrame, span: int) -> DataFrame:
-    find, int_of = re.compile(PIECE).findall, int.from_bytes
+def span_rows(rows: DataFrame, span: int) -> DataFrame:
+    """rows(doc_id, key, text) -> each distinct span of a batch with its first place there, and the places of the later ones."""
+    find, digest = re.compile(PIECE).findall, xxhash.xxh3_128_digest
 
     def spans(batches):
+        digests: list[bytes] = []
+        parts: list[tuple[int, int, int, int]] = []  # document, key, first sentence, spans
+
+        def flush():
+            hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            n = [p[3] for p in parts]
+            doc, key, begin = (np.repeat(np.array([p[i] for p in parts], np.int64), n) for i in range(3))
+            pos = begin + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            lead, later = first_of_each((hashes[:, 0], hashes[:, 1]), (doc, key, pos))
+            digests.clear()
+            parts.clear()
+            for own, told in ((lead, False), (later, True)):
+                yield batch(SPANS, np.full(len(own), told), hashes[own, 0], hashes[own, 1], doc[own], key[own], pos[own])
+
         for b in batches:
-            his, los, ids, at, held = [], [], [], [], 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = [x.encode() for p in find(text) if (x := p.strip(STRIPPED))]
-                for i in range(len(own) - span + 1):
-                    h = xxhash.xxh3_128_digest(b"\x1f".join(own[i : i + span]))
-                    his.append(int_of(h[:8], "little", signed=True))
-                    los.append(int_of(h[8:], "little", signed=True))
-                    ids.append(doc_id)
-                    at.append(i)
-                if len(at) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((his, los, ids, at), SPANS, strict=True)], schema=SPANS)
-                    his, los, ids, at = [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((his, los, ids, at), SPANS, strict=True)], schema=SPANS)
-
-    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return arrow_map(rows, spans, "hi long, lo long, doc_id long, pos int")
+            for doc_id, key, text in zip(*(b.column(i) for i in range(3)), strict=True):
+                own = [x.encode() for p in find(text.as_py()) if (x := p.strip(STRIPPED))]
+                for begin in range(0, len(own) - span + 1, BATCH_SPANS):
+                    stop = min(len(own) - span + 1, begin + BATCH_SPANS)
+                    digests.extend(digest(b"\x1f".join(own[i : i + span])) for i in range(begin, stop))
+                    parts.append((doc_id.as_py(), key.as_py(), begin, stop - begin))
+                    if len(digests) > BATCH_SPANS:
+                        yield from flush()
+        if parts:
+            yield from flush()
+
+    return arrow_map(rows, spans, SPANS_SQL)
 
 
 def substring_dedup(docs: DataFrame, span: int = 3) -> DataFrame:
@@ -56,11 +67,16 @@ def substring_dedup(docs: DataFrame, span: int = 3) -> DataFrame:
 
     A null text is empty: no sentences, kept_text "". Texts with fewer than `span` sentences keep all. Rows with a null
     doc_id have no place in the order of occurrences: they are returned as they are. Rows with one doc_id and one text
-    are the same document: their runs count as one occurrence. A long text gives one row per run and no larger state.
+    are the same document: their runs count as one occurrence; two texts under one doc_id are two documents. A very long
+    text is split to sentences as a whole, its runs go out in blocks. An empty table gives no rows. Other columns are
+    not read, so clashing names don't matter.
     """
-    spans = written(span_rows(docs, span), "spans")
-    first = spans.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = spans.join(first, ["hi", "lo"]).where("struct(doc_id, pos) != first").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    spans = written(span_rows(rows.where("doc_id is not null").select("doc_id", "key", "text"), span), "spans")
+    once = spans.where("not later")
+    first = once.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = once.join(first, ["hi", "lo"]).where("struct(doc_id, key, pos) != first").select("doc_id", "key", "pos")
+    later = again.union(spans.where("later").select("doc_id", "key", "pos")).groupBy("doc_id", "key").agg(F.collect_set("pos").alias("starts"))
     find = re.compile(PIECE).findall
 
     def remove(batches):
@@ -79,10 +95,10 @@ def substring_dedup(docs: DataFrame, span: int = 3) -> DataFrame:
                         kept.append(p)
                 out.append((doc_id, n, len(drop), "".join(kept) if drop else text))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), KEPT, strict=True)], schema=KEPT)
+                yield batch(KEPT, *map(list, zip(*out, strict=True)))
 
-    joined = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(later.withColumnRenamed("doc_id", "later_id"), F.col("doc_id") == F.col("later_id"), "left").select("doc_id", "text", "starts")
-    return arrow_map(joined, remove, "doc_id long, n_sentences long, n_removed long, kept_text string")
+    joined = rows.join(later.select(F.col("doc_id").alias("later_id"), F.col("key").alias("later_key"), "starts"), (F.col("doc_id") == F.col("later_id")) & (F.col("key") == F.col("later_key")), "left")
+    return arrow_map(joined.select("doc_id", "text", "starts"), remove, "doc_id long, n_sentences long, n_removed long, kept_text string")
 
 
 def sha(text: str) -> str:

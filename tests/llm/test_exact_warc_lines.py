@@ -2,8 +2,11 @@ import hashlib
 import random
 import re
 
+import duckdb
+
 from fragspark.llm.exact_dedup import exact_dedup, kept_documents
-from fragspark.llm.line_dedup import fingerprints, line_dedup, line_hashes
+from fragspark.llm.line_dedup import line_dedup
+from fragspark.llm.queries import ORACLES
 from fragspark.llm.substring_dedup import PIECE, substring_dedup
 from fragspark.llm.warc import chunked, dechunked, parsed, read_warc, records_of, warc_round_trip, write_warc
 
@@ -84,46 +87,72 @@ def test_substrings_equal_brute_force(spark):
     assert {g for g in got if g[0] is not None} == want and len(got) == len(rows)
 
 
-def test_lines(spark):
+def lines_left(rows, k=2, window=2, long_words=20):
+    """doc_id -> lines, removed lines, text left, by the rules spelt out: fingerprints, runs of window + k - 1 lines and long lines that came before go."""
+    split = {d: [s for x in (t or "").split("\n") if (s := x.strip(" \t\r"))] for d, t in rows}
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        own, gone = split[d], set()
+        grams = [hashlib.md5("\n".join(own[i : i + k]).encode()).hexdigest() for i in range(len(own) - k + 1)]
+        prints = {max(j for j in range(i, min(i + window, len(grams))) if grams[j] == min(grams[i : i + window])) for i in range(max(1, len(grams) - window + 1))} if grams else set()
+        signs = [("print", i, k) for i in prints] + [("run", i, window + k - 1) for i in range(len(own) - window - k + 2)] + [("long", i, 1) for i, x in enumerate(own) if len(x.split()) >= long_words]
+        for kind, i, n in sorted(signs, key=lambda s: s[1]):
+            if (key := (kind, *own[i : i + n])) in seen:
+                gone.update(range(i, i + n))
+            seen.add(key)
+        kept, n = [], 0
+        for x in (t or "").split("\n"):
+            full = bool(x.strip(" \t\r"))
+            if not (full and n in gone):
+                kept.append(x)
+            n += full
+        out[d] = n, len(gone), "\n".join(kept)
+    return out
+
+
+def line_tables():
     rnd = random.Random(3)
-    lines = [f"line {i}" for i in range(12)]
-    texts = ["\n".join(rnd.choice([*lines, "", f"own {rnd.random()}"]) for _ in range(rnd.randrange(0, 14))) for _ in range(90)] + [None, "", "\n", "\n".join(lines), "\n".join(["z", *lines, "y"]), "\n".join(lines * 3)]
-    rows = [(i if i != 4 else None, t, 0) for i, t in enumerate(texts)]
-    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string, src int")).collect()}
-    # The same rules, spelt out: the first place of a fingerprint is the source, the match grows over equal lines.
-    split = {d: [s for x in (t or "").split("\n") if (s := x.strip(" \t\r"))] for d, t, _ in rows}
-    first: dict = {}
-    gone = {d: set() for d in split}
-    prints = {d: list(zip(*(a.tolist() for a in fingerprints(line_hashes(t or ""), 2, 2)), strict=True)) for d, t, _ in rows if d is not None}
-    for d in sorted(prints):
-        for p, h in prints[d]:
-            first.setdefault(h, (d, p))
-    for d in prints:
-        for p, h in prints[d]:
-            e, q = first[h]
-            if (e, q) == (d, p) or split[d][p : p + 2] != split[e][q : q + 2]:
-                continue
-            if e != d:
-                i = 0
-                while min(p, q) > i and split[d][p - i - 1] == split[e][q - i - 1]:
-                    i += 1
-                j = 2
-                while p + j < len(split[d]) and q + j < len(split[e]) and split[d][p + j] == split[e][q + j]:
-                    j += 1
-                gone[d].update(range(p - i, p + j))
-            else:
-                gone[d].update(range(p, p + 2))
-    for d, r in got.items():
-        if d is None:
-            continue
-        assert r.n_lines == len(split[d])
-        removed_elsewhere = {i for i in gone[d]}
-        assert r.n_removed >= len(removed_elsewhere) if any(first[h][0] == d for _, h in prints.get(d, [])) else r.n_removed == len(removed_elsewhere)
-        left = [s for x in r.kept_text.split("\n") if (s := x.strip(" \t\r"))]
-        assert len(left) == r.n_lines - r.n_removed
-    # A run of window + k - 1 lines that came before loses lines, and documents without repeats keep their text.
-    assert got[93].n_removed >= 3 and got[94].n_removed >= 12 - 1
-    assert got[90].kept_text == "" and line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    lines = [f"line {i}" for i in range(12)] + [" ".join(f"w{j}" for j in range(i)) for i in (19, 20, 40)]
+    texts = ["\n".join(rnd.choice([*lines, "", "\t" + lines[0] + " ", f"own {rnd.random()}"]) for _ in range(rnd.randrange(0, 14))) for _ in range(90)]
+    texts += ["", "\n", "\n".join(lines), "\n".join(["z", *lines, "y"]), "\n".join(lines * 3), "p\nq", "p\nq\nr", "p\nq\nr", "a\n" * 900]
+    texts += ["\n".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(0, 12))) for _ in range(120)]
+    return list(enumerate(texts))
+
+
+def test_lines_equal_brute_force(spark):
+    rows = line_tables()
+    table = spark.createDataFrame([(d, t, 0) for d, t in rows] + [(None, rows[92][1], 0)], "doc_id long, text string, src int").repartition(7)
+    got = line_dedup(table).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in got if r.doc_id is not None} == lines_left(rows)
+    assert [(r.n_removed, r.kept_text) for r in got if r.doc_id is None] == [(0, rows[92][1])]
+    assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lines_equal_sql(spark):
+    rows = line_tables()
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r[1:] for r in db.sql(f"SELECT doc_id, n_lines, n_removed, kept_sha256 FROM ({ORACLES['op5_line_dedup']})").fetchall()}
+    assert want == {d: (n, gone, hashlib.sha256(t.encode()).hexdigest()) for d, (n, gone, t) in lines_left(rows).items()}
+
+
+def test_two_texts_under_one_id_are_two_documents(spark):
+    rows = [(0, "A a. B b. C c.", 1), (1, "A a. B b. C c. More.", 1), (1, "X x. Y y. Z z. Own one.", 1), (1, "X x. Y y. Z z. Own one.", 1)]
+    got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect())
+    assert got == [(0, 0, rows[0][1]), (1, 0, rows[2][1]), (1, 0, rows[2][1]), (1, 3, " More.")]
+    rows = [(0, "a\nb\nc", 1), (1, "a\nb\nc\nd", 1), (1, "x\ny\nz", 1), (1, "x\ny\nz", 1)]
+    got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect())
+    assert got == [(0, 0, "a\nb\nc"), (1, 0, "x\ny\nz"), (1, 0, "x\ny\nz"), (1, 3, "d")]
+
+
+def test_spans_over_batches_and_very_long_texts(spark):
+    said = [f"s{i}." for i in range(40)]
+    rows = [(i, "".join(said[i % 10 : i % 10 + 6])) for i in range(60)] + [(100, "".join(f"u{i}. " for i in range(450_000)) + "".join(said[:3])), (101, "")]
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got[100].n_removed == 3 and got[100].n_sentences == 450_003 and got[101].kept_text == ""
+    assert all(got[i].n_removed == 6 for i in range(10, 60)) and got[0].n_removed == 0
+    assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_long_lines_go_alone(spark):
