@@ -21,7 +21,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, settle_e
     ways = settled(both_ways(edges))
     now = fixed.select("network", "v", (1 / F.col("n")).alias("score"))
     for i in range(rounds):
-        share = now.join(fixed, ["network", "v"]).select("network", F.col("v").alias("src"), (F.col("score") / F.col("degree")).alias("share"))
+        share = now.join(fixed, ["network", "v"]).select("network", F.col("v").alias("src"), F.try_divide("score", "degree").alias("share"))
         got = ways.join(share, ["network", "src"]).groupBy("network", F.col("dst").alias("v")).agg(F.sum("share").alias("got"))
         now = fixed.join(got, ["network", "v"], "left").select("network", "v", ((1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         if (i + 1) % settle_every == 0:
@@ -33,8 +33,10 @@ def eigenvector(edges: DataFrame, rounds: int = 10, settle_every: int = 5) -> Da
     """Power iteration from all ones, scaled to length 1 per network after each round."""
     ways = settled(both_ways(edges))
     now = vertices_of(edges).select("network", "v", F.lit(1.0).alias("score"))
+    alone = edges.where("src = dst").select("network", F.col("src").alias("v"), F.lit(0.0).alias("score"))
     for i in range(rounds):
         got = ways.join(now.withColumnRenamed("v", "src"), ["network", "src"]).groupBy("network", F.col("dst").alias("v")).agg(F.sum("score").alias("score"))
+        got = alone.unionByName(got)
         length = got.groupBy("network").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("length"))
         now = got.join(length, "network").select("network", "v", (F.col("score") / F.col("length")).alias("score"))
         if (i + 1) % settle_every == 0:

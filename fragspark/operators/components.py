@@ -17,56 +17,109 @@ from .graph import both_ways, degrees, vertices_of
 from .kernels import Union
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Rows written in the shared folder and reread: lineage of an iteration ends here and outlives lost executors."""
-    spark: SparkSession = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: spark.checkpoint.dir; on one machine, where that is unset, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="fragspark-")
         atexit.register(shutil.rmtree, own, True)
         at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Rows written in the shared folder and reread: lineage of an iteration ends here and outlives lost executors. Tables of settled() in done are deleted: nothing reads them any more."""
+    path = shared_path(df.sparkSession, "round")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    discard(*done)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.settled_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def star_edges(network, src, dst) -> pd.DataFrame:
+    """The components' least vertices tied to the others: as connected as the edges given, and at most one edge per vertex."""
+    parts = []
+    frame = pd.DataFrame({"network": network, "src": src, "dst": dst})
+    for name, g in frame.groupby("network"):
+        ids, flat = np.unique(g[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
+        union = Union(len(ids))
+        for x, y in flat.reshape(-1, 2).tolist():
+            union.join(x, y)
+        roots = np.array([union.find(i) for i in range(len(ids))])
+        least = np.full(len(ids), len(ids))
+        np.minimum.at(least, roots, np.arange(len(ids)))
+        root = least[roots]
+        tied = root != np.arange(len(ids))
+        parts.append(pd.DataFrame({"network": name, "src": ids[root[tied]], "dst": ids[tied]}))
+    return pd.concat(parts) if parts else frame
 
 
 def _stars(batches):
-    """Of each batch of edges the components' least vertices tied to the others: as connected, and at most one edge per vertex."""
     for b in batches:
-        parts = []
-        for network, g in b.groupby("network"):
-            ids, flat = np.unique(g[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
-            union = Union(len(ids))
-            for x, y in flat.reshape(-1, 2).tolist():
-                union.join(x, y)
-            roots = np.array([union.find(i) for i in range(len(ids))])
-            least = np.full(len(ids), len(ids))
-            np.minimum.at(least, roots, np.arange(len(ids)))
-            root = least[roots]
-            tied = root != np.arange(len(ids))
-            parts.append(pd.DataFrame({"network": network, "src": ids[root[tied]], "dst": ids[tied]}))
-        yield pd.concat(parts) if parts else b
-
-
-def components(edges: DataFrame, vertices: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
-    """network, v, component (its least vertex): batches of edges shrink to stars, then least labels of neighbours and labels of labels, so long paths halve."""
-    ways = settled(both_ways(edges.select("network", "src", "dst").mapInPandas(_stars, EDGE_SQL)).distinct())
-    labels = settled((vertices if vertices is not None else vertices_of(edges)).select("network", "v", F.col("v").alias("component")))
+        yield star_edges(b["network"], b["src"], b["dst"])
+
+
+#: Contracted edges (24 bytes each) that the task of a network takes at most.
+TASK_EDGES = 4_000_000
+
+
+def _star_round(edges: DataFrame, large: bool) -> DataFrame:
+    """edges(network, src, dst), src < dst. Large: every larger neighbour of a vertex is tied to its least neighbour; small: every smaller one."""
+    both = both_ways(edges) if large else edges.select("network", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = both.toDF("network", "a", "b")
+    least = both.groupBy("network", "a").agg(F.min("b").alias("m")).select("network", "a", F.least("a", "m").alias("m"))
+    tied = both.join(least, ["network", "a"])
+    if large:
+        out = tied.where("b > a").select("network", F.col("m").alias("src"), F.col("b").alias("dst"))
+    else:
+        out = tied.where("b != m").select("network", F.col("m").alias("src"), F.col("b").alias("dst")).union(least.where("m < a").select("network", F.col("m").alias("src"), F.col("a").alias("dst")))
+    return out.where("src < dst").distinct()
+
+
+def star_components(edges: DataFrame, task_edges: int = TASK_EDGES, most_rounds: int = 60) -> DataFrame:
+    """edges(network, src, dst) with src < dst -> network, v, component for all vertices of edges but the least ones of components.
+
+    Each batch of edges shrinks to stars. Where at most task_edges are left a task per network ends it by union-find;
+    else large and small stars in turn tie all vertices to their least one, with a combining aggregation and one join a
+    round: no vertex's neighbours are gathered.
+    """
+    now = settled(edges.select("network", "src", "dst").mapInPandas(_stars, EDGE_SQL))
+    count = now.count()
+    if count <= task_edges:
+        now = now.groupBy("network").applyInPandas(lambda g: star_edges(g["network"], g["src"], g["dst"]), EDGE_SQL)
+        return now.select("network", F.col("dst").alias("v"), F.col("src").alias("component"))
+    sign = None
     for _ in range(most_rounds):
-        near = ways.join(labels.withColumnRenamed("v", "dst"), ["network", "dst"]).groupBy("network", F.col("src").alias("v")).agg(F.min("component").alias("near"))
-        least = labels.join(near, ["network", "v"], "left").select("network", "v", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        # A root goes to the least label that any of its members has seen; then everyone takes the label of its label.
-        roots = least.groupBy("network", F.col("component").alias("v")).agg(F.min("low").alias("up"))
-        hooked = settled(least.join(roots, ["network", "v"], "left").select("network", "v", "component", F.least("low", F.coalesce("up", "low")).alias("next")))
-        above = hooked.select("network", F.col("v").alias("next"), F.col("next").alias("far"))
-        new = settled(hooked.join(above, ["network", "next"]).select("network", "v", F.col("component").alias("was"), F.least("next", "far").alias("component")))
-        labels = new.select("network", "v", "component")
-        if new.where("was != component").isEmpty():
-            return labels
+        now = settled(_star_round(_star_round(now, True), False), now)
+        r = now.select(F.count(F.lit(1)), F.sum(F.xxhash64("network", "src", "dst").cast("decimal(38,0)"))).first()
+        if sign == tuple(r):  # equal sums of hashes: each vertex hangs on its least one
+            return now.select("network", F.col("dst").alias("v"), F.col("src").alias("component"))
+        sign = tuple(r)
     raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
 
 
+def components(edges: DataFrame, vertices: DataFrame | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
+    """network, v, component (its least vertex); vertices without edges are components of their own."""
+    found = star_components(edges, task_edges)
+    all_of = (vertices if vertices is not None else vertices_of(edges)).select("network", "v")
+    return all_of.join(found, ["network", "v"], "left").select("network", "v", F.coalesce("component", "v").alias("component"))
+
+
 def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("network", "component").agg(F.count(F.lit(1)).alias("size"))
 
@@ -90,24 +143,25 @@ def k_core(edges: DataFrame, k: int = 2, most_rounds: int = 10_000) -> DataFrame
         weak = degrees(edges).where(F.col("degree") < k).select("network", "v")
         if weak.isEmpty():
             return edges
-        edges = settled(edges.join(weak.withColumnRenamed("v", "src"), ["network", "src"], "left_anti").join(weak.withColumnRenamed("v", "dst"), ["network", "dst"], "left_anti").select("network", "src", "dst"))
+        edges = settled(edges.where("src != dst").join(weak.withColumnRenamed("v", "src"), ["network", "src"], "left_anti").join(weak.withColumnRenamed("v", "dst"), ["network", "dst"], "left_anti").select("network", "src", "dst"))
     raise RuntimeError("no fixpoint")
 
 
 def coreness(edges: DataFrame, normalise: bool = False, most_rounds: int = 10_000) -> DataFrame:
     """network, v, core: each vertex's value falls to the h-index of its neighbours' values until none moves; all k at once."""
     ways = settled(both_ways(edges))
-    now = settled(degrees(edges).select("network", "v", F.col("degree").alias("core")))
+    now = before = settled(degrees(edges).select("network", "v", F.col("degree").alias("core")))
     for _ in range(most_rounds):
         seen = ways.join(now.withColumnRenamed("v", "dst"), ["network", "dst"]).groupBy("network", F.col("src").alias("v"), "core").agg(F.count(F.lit(1)).alias("n"))
         above = F.sum("n").over(Window.partitionBy("network", "v").orderBy(F.desc("core")))
         h = seen.withColumn("m", F.least("core", above)).groupBy("network", "v").agg(F.max("m").alias("h"))
-        new = settled(now.join(h, ["network", "v"]).select("network", "v", F.col("core").alias("was"), F.least("core", "h").alias("core")))
-        now = new.select("network", "v", "core")
+        new = settled(now.join(h, ["network", "v"], "left").select("network", "v", F.col("core").alias("was"), F.least("core", "h").alias("core")), before)
+        now, before = new.select("network", "v", "core"), new
         if new.where("was != core").isEmpty():
             break
     else:
         raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
+    discard(ways)
     if normalise:
         now = now.join(now.groupBy("network").agg(F.max("core").alias("top")), "network").select("network", "v", (F.col("core") / F.col("top")).alias("core"))
     return now

@@ -148,6 +148,7 @@ def robustness(curve: DataFrame, vertices: DataFrame) -> DataFrame:
 def attack_cost(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     """Share of all links gone after each removal: a link goes with the first of its ends."""
     at = ranks.select(*KEYS, "v", "removal_num")
+    edges = edges.where("src != dst")
     first = edges.join(at.withColumnsRenamed({"v": "src", "removal_num": "ra"}), ["network", "src"]).join(at.withColumnsRenamed({"v": "dst", "removal_num": "rb"}), [*KEYS, "dst"])
     gone = first.groupBy(*KEYS, F.least("ra", "rb").alias("removal_num")).agg(F.count(F.lit(1)).alias("links"))
     total = edges.groupBy("network").agg(F.count(F.lit(1)).alias("total"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import clean_edges, zero_based
+from ..operators.graph import clean_edges, with_isolated, zero_based
 
 EXTENSIONS = ("graphml", "gt", "csv", "el", "edge", "edges", "edgelist", "txt", "adj", "adjacency", "net", "pajek", "parquet")
 
@@ -36,60 +37,94 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(paths).select(network_of_file().alias("network"), F.trim("value").alias("line")).where("line != '' and not line like '#%' and not line like '\\%%'")
 
 
+def numbered(pairs: DataFrame, vertices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (network, a, b, ...) and vertices (network, v) with names in place of ids -> the same with whole numbers.
+
+    Where all names of a network are whole numbers, or all are n and a number, these are the ids; else its names are
+    numbered from 0 in their order. A null name stays null.
+    """
+    names = pairs.select("network", F.explode(F.array("a", "b")).alias("name"))
+    if vertices is not None:
+        names = names.unionByName(vertices.select("network", F.col("v").alias("name")))
+    names = names.where("name is not null").distinct()
+    kinds = names.groupBy("network").agg(F.every(F.col("name").rlike(r"^-?\d{1,18}$")).alias("plain"), F.every(F.col("name").rlike(r"^n\d{1,18}$")).alias("dotted"))
+    place = F.row_number().over(Window.partitionBy("network").orderBy("name")) - 1
+    ids = names.join(kinds, "network").select("network", "name", F.when(F.col("plain"), F.col("name").try_cast("long")).when(F.col("dotted"), F.substring("name", 2, 18).try_cast("long")).otherwise(place.cast("long")).alias("id"))
+    out = pairs
+    for c in ("a", "b"):
+        out = out.join(ids.withColumnsRenamed({"name": c, "id": f"{c}_id"}), ["network", c], "left")
+    rest = [c for c in pairs.columns if c not in ("network", "a", "b")]
+    alone = None if vertices is None else vertices.withColumnRenamed("v", "name").join(ids, ["network", "name"]).select("network", F.col("id").alias("v"))
+    return out.select("network", F.col("a_id").alias("a"), F.col("b_id").alias("b"), *rest), alone
+
+
 def edge_list(spark: SparkSession, paths, sep: str | None = None, one_based: bool = False) -> DataFrame:
-    """Pairs a, b and a weight (null if the file has none) from lines of separated fields; sep None: white space, or commas in .csv files. A heading is left out."""
+    """Pairs a, b and a weight (null if the file has none) from lines of separated fields; sep None: white space, or commas in .csv files.
+
+    A heading (the one line of a file of numbers whose first two fields are none) is left out; names become numbers by
+    numbered(). A line of one field is a vertex without edges: the pair (a, a).
+    """
     fields = F.split(F.trim("line"), r"[,\s]+" if sep is None else re.escape(sep))
-    rows = _lines(spark, paths).select("network", fields.alias("f")).select("network", F.try_element_at("f", F.lit(1)).try_cast("long").alias("a"), F.try_element_at("f", F.lit(2)).try_cast("long").alias("b"), F.try_element_at("f", F.lit(3)).try_cast("double").alias("weight"))
-    rows = rows.where("a is not null and b is not null")
+    rows = _lines(spark, paths).select("network", fields.alias("f")).select("network", F.try_element_at("f", F.lit(1)).alias("a"), F.coalesce(F.try_element_at("f", F.lit(2)), F.try_element_at("f", F.lit(1))).alias("b"), F.try_element_at("f", F.lit(3)).try_cast("double").alias("weight"))
+    odd = ~(F.col("a").rlike(r"^-?\d{1,18}$") & F.col("b").rlike(r"^-?\d{1,18}$"))
+    heads = rows.groupBy("network").agg(F.count_if(odd).alias("odd"), F.count(F.lit(1)).alias("lines")).where("odd = 1 and lines > 1").select("network", F.lit(True).alias("headed"))
+    rows = numbered(rows.join(heads, "network", "left").where(~(F.coalesce("headed", F.lit(False)) & odd)).drop("headed"))[0]
     return zero_based(rows) if one_based else rows
 
 
 def adjacency_list(spark: SparkSession, paths) -> DataFrame:
-    """Lines of a vertex and its neighbours."""
-    rows = _lines(spark, paths).select("network", F.transform(F.split("line", r"\s+"), lambda x: x.try_cast("long")).alias("f"))
-    return rows.select("network", F.col("f")[0].alias("a"), F.explode(F.slice("f", 2, F.size("f"))).alias("b")).withColumn("weight", F.lit(None).cast("double"))
+    """Lines of a vertex and its neighbours; a vertex alone gives the pair (a, a)."""
+    rows = _lines(spark, paths).select("network", F.split("line", r"\s+").alias("f"))
+    ends = F.when(F.size("f") > 1, F.slice("f", 2, F.size("f"))).otherwise(F.slice("f", 1, 1))
+    return numbered(rows.select("network", F.col("f")[0].alias("a"), F.explode(ends).alias("b")))[0].withColumn("weight", F.lit(None).cast("double"))
 
 
 def pajek(spark: SparkSession, paths) -> DataFrame:
-    """Edges and arcs of Pajek files: the lines after *edges or *arcs. Vertex lines have a label in quotes or one field and are not pairs; ids stay as they are."""
-    rows = _lines(spark, paths).where("not line like '*%'").select("network", F.split("line", r"\s+").alias("f")).where(F.size("f") >= 2)
-    plain = rows.where(F.forall("f", lambda x: x.rlike(r"^-?[0-9.]+$")))
-    return plain.select("network", F.col("f")[0].try_cast("long").alias("a"), F.col("f")[1].try_cast("long").alias("b"), F.try_element_at("f", F.lit(3)).try_cast("double").alias("weight"))
+    """Edges and arcs of Pajek files: lines of numbers; vertex lines (a number and a label in quotes, or a number alone) give the pair (a, a)."""
+    rows = _lines(spark, paths).where("not line like '*%'").select("network", "line", F.split("line", r"\s+").alias("f"))
+    plain = F.forall("f", lambda x: x.rlike(r"^-?[0-9.]+$")) & (F.size("f") >= 2)
+    return rows.select("network", F.col("f")[0].try_cast("long").alias("a"), F.when(plain, F.try_element_at("f", F.lit(2)).try_cast("long")).otherwise(F.col("f")[0].try_cast("long")).alias("b"), F.when(plain, F.try_element_at("f", F.lit(3)).try_cast("double")).alias("weight"))
 
 
 def graphml(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    """(vertices(network, v), pairs) of GraphML files; vertex names like n12 or 12 become 12."""
+    """(vertices(network, v), pairs) of GraphML files; names become numbers by numbered()."""
     name = network_of_file().alias("network")
-    number = lambda c: F.regexp_extract(F.col(c).cast("string"), r"(\d+)$", 1).try_cast("long")
-    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id string").load(paths).select(name, number("_id").alias("v"))
-    edges = spark.read.format("xml").option("rowTag", "edge").schema("_source string, _target string").load(paths).select(name, number("_source").alias("a"), number("_target").alias("b"))
-    return nodes, edges.withColumn("weight", F.lit(None).cast("double"))
+    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id string").load(paths).select(name, F.col("_id").cast("string").alias("v"))
+    edges = spark.read.format("xml").option("rowTag", "edge").schema("_source string, _target string").load(paths).select(name, F.col("_source").cast("string").alias("a"), F.col("_target").cast("string").alias("b"))
+    pairs, vertices = numbered(edges, nodes)
+    return vertices, pairs.withColumn("weight", F.lit(None).cast("double"))
 
 
 def typed_lines(spark: SparkSession, paths) -> DataFrame:
     """network, kind, ids: lines of a one-letter kind (D, E, S, V, F) and numbers."""
-    return _lines(spark, paths).select("network", F.substring("line", 1, 1).alias("kind"), F.transform(F.slice(F.split("line", r"\s+"), 2, 1000), lambda x: x.try_cast("long")).alias("ids")).where("kind rlike '[DESVF]'")
+    f = F.split("line", r"\s+")
+    return _lines(spark, paths).select("network", F.substring("line", 1, 1).alias("kind"), F.transform(F.slice(f, 2, F.greatest(F.size(f), F.lit(1))), lambda x: x.try_cast("long")).alias("ids")).where("kind rlike '[DESVF]'")
 
 
 READERS = {"csv": edge_list, "el": edge_list, "edge": edge_list, "edges": edge_list, "edgelist": edge_list, "txt": edge_list, "adj": adjacency_list, "adjacency": adjacency_list, "net": pajek, "pajek": pajek}
 
 
 def load_networks(spark: SparkSession, location: str, pattern: str = "*", extensions: tuple[str, ...] = EXTENSIONS, most_vertices: int | None = None) -> DataFrame:
-    """Clean edges of all network files of a folder; networks with more vertices are left out. gt and pickle files are refused: the one needs its own library, the other is unsafe."""
-    out = None
+    """Clean edges of all network files of a folder, and a row (v, v) for each vertex without edges, so that sizes count it.
+
+    Networks with more than most_vertices vertices are left out. gt and pickle files are refused: the one needs its own
+    library, the other is unsafe.
+    """
+    parts = []
     for path in list_networks(spark, location, pattern, extensions):
         ext = path.rsplit(".", 1)[-1].lower()
         if ext == "parquet":
             pairs = spark.read.parquet(path).withColumnsRenamed({"src": "a", "dst": "b"})
         elif ext == "graphml":
-            pairs = graphml(spark, path)[1]
+            nodes, pairs = graphml(spark, path)
+            pairs = pairs.select("network", "a", "b").unionByName(nodes.select("network", F.col("v").alias("a"), F.col("v").alias("b")))
         elif ext in READERS:
             pairs = READERS[ext](spark, path)
         else:
             raise ValueError(f"no reader for {path}")
-        part = pairs.select("network", "a", "b")
-        out = part if out is None else out.unionByName(part)
-    edges = clean_edges(out)
+        parts.append(pairs.select("network", "a", "b"))
+    out = reduce(DataFrame.unionByName, parts)
+    edges = with_isolated(clean_edges(out), out.select("network", F.explode(F.array("a", "b")).alias("v")))
     if most_vertices is not None:
         n = edges.select("network", F.explode(F.array("src", "dst")).alias("v")).groupBy("network").agg(F.countDistinct("v").alias("n")).where(F.col("n") <= most_vertices)
         edges = edges.join(n.select("network"), "network", "left_semi")
@@ -109,13 +144,26 @@ def load_locations(spark: SparkSession, locations: list[str], **options) -> Data
     return out
 
 
-def with_attributes(vertices: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Vertices with the columns of a table (network, v, ...) beside them."""
+def with_attributes(vertices: DataFrame, attributes: DataFrame, contiguous: bool = False) -> DataFrame:
+    """Vertices with the columns of a table (network, v, ...) beside them; contiguous: an error where a network's attributes are not those of vertices 0 to n - 1."""
+    if contiguous:
+        n = attributes.groupBy("network").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("v").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        good = (F.col("n") == F.col("m")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)
+        checked = n.select("network", F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("vertices are not 0 to n - 1 in "), F.col("network"))).cast("boolean")).alias("_good"))
+        attributes = attributes.join(checked.where("_good"), "network").drop("_good")
     return vertices.join(attributes, ["network", "v"], "left")
 
 
+def read_attributes(spark: SparkSession, paths, name: str = "value", sep: str = ",") -> DataFrame:
+    """network, v, name: a value in each line is that of vertex 0, 1, ...; or lines of a vertex and its value."""
+    rows = spark.read.text(paths, wholetext=True).select(network_of_file().alias("network"), F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("i", "line")).where("trim(line) != ''")
+    f = F.split(F.trim("line"), re.escape(sep))
+    return rows.select("network", F.when(F.size(f) > 1, f[0].try_cast("long")).otherwise(F.col("i")).cast("long").alias("v"), F.element_at(f, -1).try_cast("double").alias(name))
+
+
 def write_edge_list(edges: DataFrame, path: str, sep: str = " ") -> None:
-    edges.select(F.concat_ws(sep, "src", "dst").alias("value"), "network").write.partitionBy("network").text(path)
+    """A vertex without edges is a line of one field."""
+    edges.select(F.when(F.col("src") == F.col("dst"), F.col("src").cast("string")).otherwise(F.concat_ws(sep, "src", "dst")).alias("value"), "network").write.partitionBy("network").text(path)
 
 
 def write_graphml(edges: DataFrame, path: str) -> None:
@@ -126,7 +174,7 @@ def write_graphml(edges: DataFrame, path: str) -> None:
     lines = (
         names.select("network", F.lit(0).alias("k"), F.lit(0).cast("long").alias("i"), F.lit(head).alias("value"))
         .union(vertex.select("network", F.lit(1), "v", F.format_string('<node id="n%d"/>', "v")))
-        .union(edges.select("network", F.lit(2), "src", F.format_string('<edge source="n%d" target="n%d"/>', "src", "dst")))
+        .union(edges.where("src != dst").select("network", F.lit(2), "src", F.format_string('<edge source="n%d" target="n%d"/>', "src", "dst")))
         .union(names.select("network", F.lit(3), F.lit(0).cast("long"), F.lit("</graph></graphml>")))
     )
     lines.repartition("network").sortWithinPartitions("network", "k", "i", "value").select("network", "value").write.partitionBy("network").text(path)
