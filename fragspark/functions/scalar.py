@@ -50,15 +50,17 @@ def lfr_name(name: Column) -> Column:
 
 
 def pretty_network(name: Column) -> Column:
-    """'ER_n1000_k4_3' -> 'ER (1K)'; raises on names of another form."""
-    parsed = network_name(name)
-    return F.when(parsed.isNull(), F.raise_error(F.concat(F.lit("not a network name: "), name))).otherwise(F.concat(parsed["type"], F.lit(" ("), intword(parsed["num_nodes"]), F.lit(")")))
+    """'ER_n1000_k4_3' -> 'ER (1K)', LFR names -> 'LFR p1 (16.4K)'; raises on names of another form."""
+    parsed, lfr = network_name(name), lfr_name(name)
+    plain = F.concat(parsed["type"], F.lit(" ("), intword(parsed["num_nodes"]), F.lit(")"))
+    known = F.when(parsed.isNotNull(), plain).when(lfr.isNotNull(), F.concat(F.lit("LFR p"), lfr["p"].cast("string"), F.lit(" ("), intword(lfr["N"]), F.lit(")")))
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("not a network name: "), name)).cast("string"))
 
 
 def title_label(text: Column) -> Column:
     """Underscores become spaces, outer ones go, each run of letters starts with a capital (after digits and punctuation too)."""
     words = F.regexp_extract_all(F.trim(F.replace(text, F.lit("_"), F.lit(" "))), F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), 1)
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))), "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.right(w, F.length(w) - 1)))), "")
 
 
 def read_removals(text: Column) -> Column:
@@ -85,3 +87,9 @@ def colour_key(kind: Column, num_nodes: Column, palette: dict[str, str]) -> Colu
     for k, v in palette.items():
         out = F.when(key == k, v).otherwise(out)
     return out
+
+
+def entropy_terms(value: Column, total: Column) -> Column:
+    """-p * log2(p) of the share p = value / total, 0 where p is 0."""
+    p = value / total
+    return F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0))

@@ -7,14 +7,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import coreness, settled
+from .components import TASK_EDGES, adjacency, coreness, fit_tasks, settled
 from .graph import both_ways, chi_of, clustering, degree_normalised, degrees, vertices_of
 
 FEATURES = ("degree", "clustering_coefficient", "eigenvectors", "chi_degree", "chi_lcc", "pagerank_out", "betweenness_centrality", "kcore")
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, settle_every: int = 5) -> DataFrame:
-    """A fixed number of rounds: (1 - d) / N + d * sum over neighbours of score / degree."""
+def in_tasks(edges: DataFrame, value) -> DataFrame:
+    """value(number of vertices, sources, targets) -> scores, in one task per network."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, src, dst = adjacency(group)
+        return pd.DataFrame({"network": group["network"].iloc[0], "v": ids, "score": value(len(ids), src, dst)})
+
+    return edges.groupBy("network").applyInPandas(run, "network string, v long, score double")
+
+
+def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, settle_every: int = 5, task_edges: int = TASK_EDGES) -> DataFrame:
+    """A fixed number of rounds: (1 - d) / N + d * sum over neighbours of score / degree. Networks that fit a task go there, others by joins over all tasks."""
+    if fit_tasks(edges := settled(edges.select("network", "src", "dst")), task_edges):
+
+        def value(n, src, dst):
+            degree, now = np.maximum(1, np.bincount(src, minlength=n)), np.full(n, 1 / n)
+            for _ in range(rounds):
+                now = (1 - damping) / n + damping * np.bincount(dst, (now / degree)[src], minlength=n)
+            return now
+
+        return in_tasks(edges, value)
     d = degrees(edges)
     n = d.groupBy("network").agg(F.count(F.lit(1)).alias("n"))
     fixed = settled(d.join(n, "network").select("network", "v", "degree", "n"))
@@ -29,8 +48,18 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, settle_e
     return now
 
 
-def eigenvector(edges: DataFrame, rounds: int = 10, settle_every: int = 5) -> DataFrame:
-    """Power iteration from all ones, scaled to length 1 per network after each round."""
+def eigenvector(edges: DataFrame, rounds: int = 10, settle_every: int = 5, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Power iteration from all ones, scaled to length 1 per network after each round. Networks that fit a task go there, others by joins over all tasks."""
+    if fit_tasks(edges := settled(edges.select("network", "src", "dst")), task_edges):
+
+        def value(n, src, dst):
+            now = np.ones(n)
+            for _ in range(rounds):
+                now = np.bincount(dst, now[src], minlength=n)
+                now = now / (np.sqrt((now * now).sum()) or 1)
+            return now
+
+        return in_tasks(edges, value)
     ways = settled(both_ways(edges))
     now = vertices_of(edges).select("network", "v", F.lit(1.0).alias("score"))
     alone = edges.where("src = dst").select("network", F.col("src").alias("v"), F.lit(0.0).alias("score"))
@@ -114,6 +143,7 @@ def shortest_path_scores(edges: DataFrame, kind: str = "betweenness", chunks: in
 
 def features(edges: DataFrame, names: tuple[str, ...] = ("degree", "clustering_coefficient", "kcore", "chi_degree")) -> DataFrame:
     """One DOUBLE column per feature name of FEATURES; 'None' is a column of ones."""
+    edges = settled(edges)
     out = vertices_of(edges)
     for name in names:
         if name == "None":

@@ -74,7 +74,7 @@ def _stars(batches):
         yield star_edges(b["network"], b["src"], b["dst"])
 
 
-#: Contracted edges (24 bytes each) that the task of a network takes at most.
+#: Edges (24 bytes each) that the task of a network takes at most; larger networks go by rounds over all tasks.
 TASK_EDGES = 4_000_000
 
 
@@ -91,16 +91,28 @@ def _star_round(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("src < dst").distinct()
 
 
+def fit_tasks(edges: DataFrame, task_edges: int = TASK_EDGES) -> bool:
+    """Does each network's table of edges fit a task? The count decides how its rounds run, not what they give."""
+    most = edges.groupBy("network").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) <= task_edges
+
+
+def adjacency(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, places of the sources, places of the targets) of one network's edges, each edge from either end."""
+    ids, flat = np.unique(group[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
+    a, b = flat.reshape(-1, 2)[(group["src"] != group["dst"]).to_numpy()].T
+    return ids, np.r_[a, b], np.r_[b, a]
+
+
 def star_components(edges: DataFrame, task_edges: int = TASK_EDGES, most_rounds: int = 60) -> DataFrame:
     """edges(network, src, dst) with src < dst -> network, v, component for all vertices of edges but the least ones of components.
 
-    Each batch of edges shrinks to stars. Where at most task_edges are left a task per network ends it by union-find;
+    Each batch of edges shrinks to stars. Where at most task_edges of a network are left its task ends it by union-find;
     else large and small stars in turn tie all vertices to their least one, with a combining aggregation and one join a
     round: no vertex's neighbours are gathered.
     """
     now = settled(edges.select("network", "src", "dst").mapInPandas(_stars, EDGE_SQL))
-    count = now.count()
-    if count <= task_edges:
+    if fit_tasks(now, task_edges):
         now = now.groupBy("network").applyInPandas(lambda g: star_edges(g["network"], g["src"], g["dst"]), EDGE_SQL)
         return now.select("network", F.col("dst").alias("v"), F.col("src").alias("component"))
     sign = None
@@ -147,8 +159,43 @@ def k_core(edges: DataFrame, k: int = 2, most_rounds: int = 10_000) -> DataFrame
     raise RuntimeError("no fixpoint")
 
 
-def coreness(edges: DataFrame, normalise: bool = False, most_rounds: int = 10_000) -> DataFrame:
-    """network, v, core: each vertex's value falls to the h-index of its neighbours' values until none moves; all k at once."""
+def _core_numbers(group: pd.DataFrame) -> pd.DataFrame:
+    """The core number of each vertex of one network: vertices leave by degree, lowest first."""
+    ids, src, dst = adjacency(group)
+    n = len(ids)
+    order = np.argsort(src, kind="stable")
+    near, start = dst[order].tolist(), np.r_[0, np.cumsum(np.bincount(src, minlength=n))].tolist()
+    degree = np.bincount(src, minlength=n)
+    by_degree = np.argsort(degree, kind="stable")
+    place = np.empty(n, np.int64)
+    place[by_degree] = np.arange(n)
+    first = np.searchsorted(degree[by_degree], np.arange(int(degree.max(initial=0)) + 2)).tolist()  # where each degree begins
+    left, spot, row = degree.tolist(), place.tolist(), by_degree.tolist()
+    for i in range(n):
+        v = row[i]
+        for y in near[start[v] : start[v + 1]]:
+            if left[y] > left[v]:  # y moves to the front of its degree, then one degree down
+                k, at = left[y], spot[y]
+                begin = max(first[k], i + 1)
+                other = row[begin]
+                row[begin], row[at], spot[y], spot[other] = y, other, begin, at
+                first[k], left[y] = begin + 1, k - 1
+    return pd.DataFrame({"network": group["network"].iloc[0], "v": ids, "core": left})
+
+
+def coreness(edges: DataFrame, normalise: bool = False, most_rounds: int = 10_000, task_edges: int = TASK_EDGES) -> DataFrame:
+    """network, v, core. Networks that fit a task are peeled there; else each vertex's value falls to the h-index of its neighbours' values until none moves, all k at once."""
+    if fit_tasks(edges := settled(edges.select("network", "src", "dst")), task_edges):
+        now = edges.groupBy("network").applyInPandas(_core_numbers, "network string, v long, core long")
+    else:
+        now = _coreness_by_rounds(edges, most_rounds)
+    if normalise:
+        now = settled(now)
+        now = now.join(now.groupBy("network").agg(F.max("core").alias("top")), "network").select("network", "v", F.try_divide("core", "top").alias("core"))
+    return now
+
+
+def _coreness_by_rounds(edges: DataFrame, most_rounds: int) -> DataFrame:
     ways = settled(both_ways(edges))
     now = before = settled(degrees(edges).select("network", "v", F.col("degree").alias("core")))
     for _ in range(most_rounds):
@@ -158,10 +205,6 @@ def coreness(edges: DataFrame, normalise: bool = False, most_rounds: int = 10_00
         new = settled(now.join(h, ["network", "v"], "left").select("network", "v", F.col("core").alias("was"), F.least("core", "h").alias("core")), before)
         now, before = new.select("network", "v", "core"), new
         if new.where("was != core").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
-    discard(ways)
-    if normalise:
-        now = now.join(now.groupBy("network").agg(F.max("core").alias("top")), "network").select("network", "v", (F.col("core") / F.col("top")).alias("core"))
-    return now
+            discard(ways)
+            return now
+    raise RuntimeError(f"no fixpoint after {most_rounds} rounds")

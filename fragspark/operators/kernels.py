@@ -147,6 +147,88 @@ def reverse_curve(n: int, ranks_a, ranks_b, ties: str = "distinct") -> tuple[np.
     return lcc, slcc
 
 
+def reverse_squares(n: int, ranks_a, ranks_b) -> tuple[np.ndarray, np.ndarray]:
+    """LCC and sum of squared component sizes after removals 1 to n, as vertices come back last first; removed ones count as components of one."""
+    lcc, squares = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    low, high = np.minimum(ranks_a, ranks_b), np.maximum(ranks_a, ranks_b)
+    order = np.argsort(-low, kind="stable")
+    low, high = low[order].tolist(), high[order].tolist()
+    union, i, top, total = Union(n + 1), 0, 1, n
+    for k in range(n, 0, -1):
+        while i < len(low) and low[i] > k:
+            a, b = union.find(low[i]), union.find(high[i])
+            if a != b:
+                total += 2 * union.size[a] * union.size[b]
+                union.join(a, b)
+                top = max(top, union.size[union.find(a)])
+            i += 1
+        lcc[k - 1], squares[k - 1] = top, total
+    return lcc, squares
+
+
+def live_betweenness(near: list[set[int]]) -> np.ndarray:
+    """Betweenness of each vertex, by sums over shortest-path trees from every source."""
+    total = np.zeros(len(near))
+    for s in range(len(near)):
+        order, dist, paths, part = [s], {s: 0}, {s: 1.0}, {}
+        for x in order:
+            for y in near[x]:
+                if y not in dist:
+                    dist[y], paths[y] = dist[x] + 1, 0.0
+                    order.append(y)
+                if dist[y] == dist[x] + 1:
+                    paths[y] += paths[x]
+        for y in reversed(order[1:]):
+            for x in near[y]:
+                if dist[x] == dist[y] - 1:
+                    part[x] = part.get(x, 0.0) + paths[x] / paths[y] * (1 + part.get(y, 0.0))
+            total[y] += part.get(y, 0.0)
+    return total
+
+
+def live_closeness(near: list[set[int]]) -> np.ndarray:
+    """Reached vertices by the sum of their distances."""
+    out = np.zeros(len(near))
+    for s in range(len(near)):
+        order, dist = [s], {s: 0}
+        for x in order:
+            for y in near[x]:
+                if y not in dist:
+                    dist[y] = dist[x] + 1
+                    order.append(y)
+        if len(order) > 1:
+            out[s] = (len(order) - 1) / sum(dist.values())
+    return out
+
+
+def live_pagerank(near: list[set[int]], rounds: int = 50, damping: float = 0.85) -> np.ndarray:
+    n = len(near)
+    degree = np.array([len(x) for x in near])
+    src = np.repeat(np.arange(n), degree)
+    dst = np.array([y for x in near for y in sorted(x)], np.int64)
+    now = np.full(n, 1 / n)
+    for _ in range(rounds):
+        now = (1 - damping) / n + damping * np.bincount(dst, (now / np.maximum(1, degree))[src], minlength=n)
+    return now
+
+
+LIVE_SCORES = {"degree": lambda near: np.array([float(len(x)) for x in near]), "betweenness": live_betweenness, "closeness": live_closeness, "pagerank": live_pagerank}
+
+
+def adaptive(graph: Graph, kind: str, stop: int, ties: str = "distinct"):
+    """(vertex, score, lcc, slcc) per removal: the live vertex of the best score now, ties to the lowest, until the LCC is within stop or no edge is left."""
+    live, out = Live(graph), []
+    while any(live.near):
+        score = np.round(LIVE_SCORES[kind](live.near), 9)
+        v = max((v for v in range(graph.n) if not live.gone[v]), key=lambda v: (score[v], -v))
+        live.remove(v)
+        lcc, slcc = live.sizes.top(ties)
+        out.append((v, float(score[v]), lcc, slcc))
+        if lcc <= stop:
+            break
+    return out
+
+
 def spanning_edges(n_ids, low, high) -> np.ndarray:
     """Which edges a maximum spanning forest by the lower removal number keeps: all that any prefix of removals needs."""
     ids, flat = np.unique(np.concatenate([low, high]), return_inverse=True)
@@ -611,3 +693,17 @@ def gat_forward(x: np.ndarray, src: np.ndarray, dst: np.ndarray, weights: dict)
         if i < len(weights["full"]) - 1:
             x = elu(x)
     return 1 / (1 + np.exp(-x[:, 0]))
+
+
+def legacy_attention(weights: dict) -> dict:
+    """Weights whose layers have one attention vector `att` (heads, 2 * out) and a transposed `w` (heads * out, in) -> the form of gat_forward."""
+    conv = []
+    for layer in weights["conv"]:
+        if "att" not in layer:
+            conv.append(layer)
+            continue
+        att = np.asarray(layer["att"])
+        heads, out = att.shape[0], att.shape[1] // 2
+        w = np.asarray(layer["w"]).T
+        conv.append({**{k: v for k, v in layer.items() if k != "att"}, "w": w.reshape(w.shape[0], heads, out), "left": att[:, :out], "right": att[:, out:]})
+    return {**weights, "conv": conv}

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .centrality import eigenvector, pagerank, shortest_path_scores
+from .components import settled
 from .graph import degrees, fresh, random_scores, vertices_of
-from .replay import ranked, run_rows, scored_adaptively, sequential_curve, static_curve
+from .replay import adaptive_curve, ranked, run_rows, scored_adaptively, sequential_curve, static_curve
 
 SCORES = "network string, heuristic string, v long, score double"
 
@@ -33,13 +34,14 @@ class Method:
     includes_reinsertion: bool = False
     plot_color: str | None = None
     description: str = ""
+    dynamic: bool = False
     options: dict = field(default_factory=dict)
 
 
 REGISTRY: dict[str, Method] = {}
 
 
-def method(name: str, short_name: str, depends_on: str | None = None, includes_reinsertion: bool = False, plot_color: str | None = None, description: str = "", key: str | None = None, **options):
+def method(name: str, short_name: str, depends_on: str | None = None, includes_reinsertion: bool = False, plot_color: str | None = None, description: str = "", key: str | None = None, dynamic: bool = False, **options):
     """Registers fn(edges, threshold, **options) -> scores without a heuristic column under key, or the function's name less 'get_'."""
     if not isinstance(short_name, str):
         raise TypeError("short_name is a string")
@@ -48,7 +50,7 @@ def method(name: str, short_name: str, depends_on: str | None = None, includes_r
         own = key or fn.__name__.removeprefix("get_")
         if own in REGISTRY:
             raise ValueError(f"{own} is registered already")
-        REGISTRY[own] = Method(own, name, short_name, fn, depends_on, includes_reinsertion, plot_color, description, options)
+        REGISTRY[own] = Method(own, name, short_name, fn, depends_on, includes_reinsertion, plot_color, description, dynamic, options)
         return fn
 
     return add
@@ -134,6 +136,12 @@ def get_betweenness_centrality(edges, threshold=0.1):
     return shortest_path_scores(edges, "betweenness")
 
 
+for _kind, _short in (("degree", "HDA"), ("betweenness", "HBA"), ("closeness", "HCA"), ("pagerank", "HPRA")):
+    method(f"Adaptive {_kind}", _short, key=f"adaptive_{_kind}", dynamic=True)(
+        lambda edges, threshold=0.1, kind=_kind: adaptive_curve(edges, kind, threshold).select("network", F.col("id").alias("v"), (-F.col("removal_num")).cast("double").alias("score"))
+    )
+
+
 @method("Random", "RND")
 def get_random(edges, threshold=0.1, seed=0):
     return random_scores(vertices_of(edges), seed)
@@ -222,17 +230,24 @@ def attention_scorer(weights: dict, names: tuple[str, ...] = ("degree",)):
     return score
 
 
-def gdm_scores(edges: DataFrame, weights: dict, names: tuple[str, ...] = ("degree", "clustering_coefficient", "kcore", "chi_degree")) -> DataFrame:
-    """Scores of a graph attention network with user-given weights over the vertex features `names`; trained weights are not part of this package."""
+def model_scores(edges: DataFrame, models: dict[str, dict], names: tuple[str, ...] = ("degree", "clustering_coefficient", "kcore", "chi_degree")) -> DataFrame:
+    """network, heuristic (the model's name), v, score: graph attention networks with user-given weights over the vertex features `names`, found once for all models."""
     from .centrality import feature_matrix
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("v")
         ids = right["v"].to_numpy()
+        left = left[left["src"] != left["dst"]]
         a, b = np.searchsorted(ids, left["src"]), np.searchsorted(ids, left["dst"])
-        return pd.DataFrame({"network": key[0], "v": ids, "score": K.gat_forward(np.stack(right["x"].to_numpy()), np.r_[a, b], np.r_[b, a], weights)})
+        x = np.stack(right["x"].to_numpy())
+        return pd.concat([pd.DataFrame({"network": key[0], "heuristic": name, "v": ids, "score": K.gat_forward(x, np.r_[a, b], np.r_[b, a], K.legacy_attention(weights))}) for name, weights in models.items()])
+
+    return fresh(edges).groupBy("network").cogroup(fresh(feature_matrix(edges, names)).groupBy("network")).applyInPandas(run, "network string, heuristic string, v long, score double")
 
-    return fresh(edges).groupBy("network").cogroup(fresh(feature_matrix(edges, names)).groupBy("network")).applyInPandas(run, "network string, v long, score double")
+
+def gdm_scores(edges: DataFrame, weights: dict, names: tuple[str, ...] = ("degree", "clustering_coefficient", "kcore", "chi_degree")) -> DataFrame:
+    """Scores of one model; trained weights are not part of this package."""
+    return model_scores(edges, {"": weights}, names).drop("heuristic")
 
 
 @method("GDM", "GDM")
@@ -245,18 +260,61 @@ def get_GDMR(edges, threshold=0.1, earlier=None):
     return by_order(edges, truncated(edges, earlier, threshold), lambda g, stop, removed: K.reinserted(g, removed, stop), threshold)
 
 
-@method("CoreGDM", "CoreGDM", includes_reinsertion=True)
+@method("CoreGDM", "CoreGDM", includes_reinsertion=True, dynamic=True)
 def get_CoreGDM(edges, threshold=0.1, weights=None):
     found = scored_adaptively(edges, attention_scorer(needed(weights)), "CoreGDM", threshold, core=True)
     return by_order(edges, found, lambda g, stop, removed: K.reinserted(g, removed, stop + 1, "order"), threshold)
 
 
-@method("FINDER", "FINDER ND")
+@method("FINDER", "FINDER ND", dynamic=True)
 def get_FINDER_ND(edges, threshold=0.1, weights=None, scorer=None):
     """The best 1 % of the largest component by a user-given value function, again and again."""
     return scored_adaptively(edges, scorer or attention_scorer(needed(weights)), "FINDER_ND", threshold, 0.01).select("network", "v", "score")
 
 
+WEIGHTS = "model string, stack string, layer int, part string, shape array<int>, numbers array<double>"
+
+
+def weights_table(spark: SparkSession, models: dict[str, dict]) -> DataFrame:
+    """Weights of models by name as rows, one for each array of a layer: what a Parquet table keeps."""
+    rows = []
+    for name, weights in models.items():
+        for stack in ("conv", "full"):
+            for i, layer in enumerate(weights[stack]):
+                for part, x in layer.items():
+                    a = np.asarray(x, float)
+                    rows.append((name, stack, i, part, list(a.shape), a.ravel().tolist()))
+    return spark.createDataFrame(rows, WEIGHTS)
+
+
+def weights_of(table: DataFrame, model: str) -> dict:
+    """The weights of one model from weights_table(): as many rows as it has arrays."""
+    out: dict = {"conv": [], "full": []}
+    for r in sorted(table.where(F.col("model") == model).collect(), key=lambda r: (r.stack, r.layer)):
+        own = out[r.stack]
+        while len(own) <= r.layer:
+            own.append({})
+        a = np.array(r.numbers).reshape(r.shape)
+        own[r.layer][r.part] = bool(a) if r.part == "concat" else a
+    return out
+
+
+def parameter_name(**parameters) -> str:
+    """A model's name from its parameters in the order given: the key under which trained weights are kept and found."""
+    return "_".join(f"{k}{'x'.join(map(str, v)) if isinstance(v, (list, tuple)) else v}" for k, v in parameters.items())
+
+
+def missing_models(grid: list[str], table: DataFrame) -> DataFrame:
+    """The names of the grid without weights in the table yet."""
+    return table.sparkSession.createDataFrame([(x,) for x in grid], "model string").join(table.select("model").distinct(), "model", "left_anti")
+
+
+def gdm_grid(edges: DataFrame, models: dict[str, dict], threshold: float = 0.1) -> DataFrame:
+    """Run rows of GDM with each of the models, heuristic being the model's name; the best of each network is report.first_of's or best_runs'."""
+    found = settled(model_scores(edges, models))
+    return run_rows(static_curve(edges, ranked(found, vertices_of(edges)), threshold), threshold)
+
+
 def needed(weights):
     if weights is None:
         raise ValueError("this method needs user-given weights")
@@ -286,13 +344,12 @@ def run_methods(edges: DataFrame, keys: list[str], threshold: float = 0.1, repla
             ended = done.where((F.col("heuristic") == key) & (F.round("threshold", 4) == round(threshold, 4))).select("network")
             own = edges.join(ended, "network", "left_anti")
         began = time.time()
-        found[key] = scores_of(key, own, threshold, found, **(options or {}).get(key, {})).persist()
-        found[key].count()
+        found[key] = settled(scores_of(key, own, threshold, found, **(options or {}).get(key, {})))
         took = time.time() - began
         if key not in keys:
             continue
         ranks = ranked(found[key], n)
         curve = static_curve(own, ranks, threshold) if replay == "static" else sequential_curve(own, ranks, replay, threshold)
-        rows = run_rows(curve, threshold, True, took)
+        rows = run_rows(curve, threshold, not REGISTRY[key].dynamic, took)
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -139,6 +139,50 @@ def early_stopped(runs: DataFrame, most_auc: float | None = None, most_removals:
     return runs.withColumn("status", F.when(over, "stopped").otherwise("done")).withColumns({c: F.when(over, None).otherwise(F.col(c)) for c in ("r_auc", "rem_num")})
 
 
+def stopped_curves(curve: DataFrame, most_auc: float | None = None, most_removals: int | None = None) -> DataFrame:
+    """Curves up to where a bound is passed: the area so far (trapezoids) beyond most_auc, or more than most_removals removals; the last row kept is the one that passes."""
+    before = Window.partitionBy(*KEYS).orderBy("removal_num")
+    area = F.sum((F.col("lcc") + F.coalesce(F.lag("lcc").over(before), F.col("lcc"))) / 2 * F.when(F.col("removal_num") > 1, 1).otherwise(0)).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    over = F.lit(False)
+    if most_auc is not None:
+        over = over | (F.col("area") > most_auc)
+    if most_removals is not None:
+        over = over | (F.col("removal_num") > most_removals)
+    marked = curve.withColumn("area", area).withColumn("over", over)
+    passed = F.sum(F.col("over").cast("int")).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    return marked.withColumn("passed", F.coalesce(passed, F.lit(0))).where("passed = 0").drop("passed", "area").withColumnRenamed("over", "stopped")
+
+
+def percolation(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """network, heuristic, removal_num, lcc, susceptibility after each removal: the largest component's share of N, and the squares of the other components' sizes by N."""
+    at = ranks.select(*KEYS, "v", "removal_num")
+    joined = edges.join(at.withColumnsRenamed({"v": "src", "removal_num": "ra"}), ["network", "src"]).join(at.withColumnsRenamed({"v": "dst", "removal_num": "rb"}), [*KEYS, "dst"])
+    thin = joined.select(*KEYS, "ra", "rb").mapInPandas(_forest, "network string, heuristic string, ra int, rb int")
+    sizes = ranks.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+
+    def curve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(right):
+            return pd.DataFrame({"network": [], "heuristic": [], "removal_num": [], "lcc": [], "susceptibility": []})
+        n = int(right["n"].iloc[0])
+        lcc, squares = K.reverse_squares(n, left["ra"].to_numpy(), left["rb"].to_numpy())
+        return pd.DataFrame({"network": key[0], "heuristic": key[1], "removal_num": np.arange(1, n + 1), "lcc": lcc / n, "susceptibility": (squares - lcc.astype(float) ** 2) / n})
+
+    return thin.groupBy(*KEYS).cogroup(fresh(sizes).groupBy(*KEYS)).applyInPandas(curve, "network string, heuristic string, removal_num int, lcc double, susceptibility double")
+
+
+def adaptive_curve(edges: DataFrame, kind: str, threshold: float = 0.1, slcc_ties: str = "distinct") -> DataFrame:
+    """The attack that recomputes a score after each removal and takes its best vertex: degree, betweenness, closeness or pagerank. One task per network."""
+    if kind not in K.LIVE_SCORES:
+        raise ValueError(f"kind is one of {sorted(K.LIVE_SCORES)}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = K.Graph(pdf["src"], pdf["dst"])
+        rows = K.adaptive(g, kind, int(np.ceil(g.n * threshold)), slcc_ties)
+        return pd.DataFrame([(pdf["network"].iloc[0], f"adaptive_{kind}", i, int(g.ids[v]), score, lcc / g.n, slcc / g.n) for i, (v, score, lcc, slcc) in enumerate(rows, 1)], columns=["network", "heuristic", "removal_num", "id", "prediction", "lcc", "slcc"])
+
+    return edges.groupBy("network").applyInPandas(run, CURVE_SQL)
+
+
 def robustness(curve: DataFrame, vertices: DataFrame) -> DataFrame:
     """Sum of the LCC's shares over all removals, by N."""
     n = vertices.groupBy("network").agg(F.count(F.lit(1)).alias("n"))

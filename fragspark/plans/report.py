@@ -147,6 +147,26 @@ def with_average(means: DataFrame, value: str, index: str = "network", column: s
     return means.select(index, column, value).unionByName(averages(means, value, column).select(F.lit(label).alias(index), column, value))
 
 
+def with_average_column(means: DataFrame, value: str, index: str = "network", column: str = "heuristic", label: str = "Average") -> DataFrame:
+    """The rows, and one more column `label` with the mean of each row of the index."""
+    return means.select(index, column, value).unionByName(averages(means, value, index).select(index, F.lit(label).alias(column), value))
+
+
+def least_or(runs: DataFrame, value: str, keys: list[str], default: float = float("inf")) -> DataFrame:
+    """The least value of each group, default where it has none: where an early stop begins."""
+    return runs.groupBy(*keys).agg(F.coalesce(F.min(value).cast("double"), F.lit(default)).alias(value))
+
+
+def listed(runs: DataFrame, names: list[str], column: str = "network") -> DataFrame:
+    """Only the runs of a list under review; the list is a table, so it may be long."""
+    return runs.join(runs.sparkSession.createDataFrame([(n,) for n in names], f"{column} string").distinct(), column, "left_semi")
+
+
+def column_means(table: DataFrame, *columns: str) -> DataFrame:
+    """One row: the mean of each column over all simulation rows."""
+    return table.agg(*(F.avg(c).alias(c) for c in columns))
+
+
 def scaled(means: DataFrame, value: str, factor: float = 100, digits: int = 1) -> DataFrame:
     """Times factor, rounded half to even."""
     return means.withColumn(value, F.bround(F.col(value) * factor, digits))
@@ -189,6 +209,18 @@ def curve_points(runs: DataFrame) -> DataFrame:
     return runs.select("network", "heuristic", F.inline("removals"))
 
 
+#: Markers of plotted curves, dealt in this order.
+MARKERS = ("o", "s", "^", "v", "D", "*", "P", "X")
+
+
+def plot_points(runs: DataFrame, methods: DataFrame) -> DataFrame:
+    """The points of the curves with each method's colour (null: the plotter's own) and its marker, by the method's place in the table of methods."""
+    marks = F.array(*(F.lit(m) for m in MARKERS))
+    place = F.row_number().over(Window.orderBy("heuristic")) - 1
+    look = methods.select("heuristic", "plot_color", F.get(marks, place % len(MARKERS)).alias("marker"))
+    return curve_points(runs).join(look, "heuristic", "left")
+
+
 def latex_table(table: DataFrame, most_rows: int = 1000) -> str:
     """A LaTeX table of a wide, small table; each row's least number is bold."""
     rows = table.limit(most_rows + 1).collect()

@@ -254,19 +254,51 @@ def ci_l2(spark, d):
     return C.collective_influence(graph(spark, d, "partco"), 2).select("v", "score")
 
 
-@query()
+#: Shortest paths from every vertex, level by level: distances and numbers of paths.
+PATHS = f"""WITH RECURSIVE {edges_cte('useq')}, bfs(s, v, dist, paths) USING KEY (s, v) AS (
+  SELECT v, v, 0, 1.0::DOUBLE FROM d
+  UNION
+  SELECT b.s, w.dst, b.dist + 1, sum(b.paths) FROM bfs b JOIN s w ON w.src = b.v LEFT JOIN recurring.bfs o ON o.s = b.s AND o.v = w.dst WHERE o.v IS NULL GROUP BY b.s, w.dst, b.dist
+)"""
+
+
+@query(f"""{PATHS}, passed AS (
+  SELECT x.v, sum(x.paths * y.paths / t.paths) AS total FROM bfs x JOIN bfs y ON y.s = x.v JOIN bfs t ON t.s = x.s AND t.v = y.v WHERE x.s <> x.v AND y.v <> x.v AND x.s <> y.v AND t.dist = x.dist + y.dist GROUP BY x.v
+), n AS (SELECT count(*)::DOUBLE AS n FROM d) SELECT d.v, round(coalesce(total, 0) / ((n - 1) * (n - 2)), 6) AS score FROM d CROSS JOIN n LEFT JOIN passed ON passed.v = d.v""")
 def betweenness(spark, d):
     return rounded(C.shortest_path_scores(graph(spark, d, "useq"), "betweenness").select("v", "score"), "score")
 
 
-@query()
+@query(f"{PATHS} SELECT s AS v, round(coalesce(count(*) FILTER (WHERE dist > 0) / nullif(CAST(sum(dist) AS DOUBLE), 0), 0), 6) AS score FROM bfs GROUP BY s")
 def closeness(spark, d):
     return rounded(C.shortest_path_scores(graph(spark, d, "useq"), "closeness").select("v", "score"), "score")
 
 
-@query()
+def chained(prefix: str, start: str, step: str, rounds: int = 50) -> str:
+    """A start and `rounds` steps of a fixed number of rounds, as CTEs prefix0, prefix1, ..."""
+    return f"{prefix}0 AS ({start})" + "".join(f", {prefix}{i} AS MATERIALIZED ({step.replace('PREV', f'{prefix}{i - 1}')})" for i in range(1, rounds + 1))
+
+
+#: CTEs of the features of useq, without betweenness: l (degree, cc), core (c).
+SIMPLE = f"""core(v, c) USING KEY (v) AS (
+  SELECT v, degree FROM d
+  UNION
+  SELECT h.v, h.h FROM (
+    SELECT v, max(least(c, i)) AS h FROM (SELECT s.src AS v, x.c, row_number() OVER (PARTITION BY s.src ORDER BY x.c DESC) AS i FROM s JOIN recurring.core AS x ON x.v = s.dst) GROUP BY v
+  ) h JOIN recurring.core AS old ON old.v = h.v WHERE h.h < old.c
+), {TRIANGLES[TRIANGLES.index('t AS (SELECT p.src'):]}"""
+FEATURE = """f AS (SELECT l.v, l.degree / (SELECT max(degree) FROM d)::DOUBLE AS degree, CAST(cc AS DOUBLE) AS cc, c / (SELECT max(c) FROM core)::DOUBLE AS kcore,
+  pow(l.degree - (SELECT avg(degree) FROM d), 2) / (SELECT avg(degree) FROM d) AS chi_degree, (SELECT avg(CAST(cc AS DOUBLE)) FROM l) AS m FROM l JOIN core ON core.v = l.v)"""
+
+
+@query(f"""{PATHS}, passed AS (
+  SELECT x.v, sum(x.paths * y.paths / t.paths) AS total FROM bfs x JOIN bfs y ON y.s = x.v JOIN bfs t ON t.s = x.s AND t.v = y.v WHERE x.s <> x.v AND y.v <> x.v AND x.s <> y.v AND t.dist = x.dist + y.dist GROUP BY x.v
+), n AS (SELECT count(*)::DOUBLE AS n FROM d), {SIMPLE}, {FEATURE}, {chained("p", "SELECT v, 1.0::DOUBLE / (SELECT count(*) FROM d) AS score FROM d", "SELECT d.v, 0.15 / (SELECT count(*) FROM d) + 0.85 * coalesce(g.got, 0) AS score FROM d LEFT JOIN (SELECT s.dst AS v, sum(p.score / q.degree) AS got FROM s JOIN PREV p ON p.v = s.src JOIN d q ON q.v = s.src GROUP BY s.dst) g ON g.v = d.v")},
+{chained("q", "SELECT v, 1.0::DOUBLE AS score FROM d", "SELECT v, x / sqrt(sum(x * x) OVER ()) AS score FROM (SELECT s.dst AS v, sum(p.score) AS x FROM s JOIN PREV p ON p.v = s.src GROUP BY s.dst)")}
+SELECT f.v, round(degree, 6) AS degree, round(cc, 6) AS clustering_coefficient, round(q50.score, 6) AS eigenvectors, round(chi_degree, 6) AS chi_degree, round(CASE WHEN m = 0 THEN 0 ELSE pow(cc - m, 2) / m END, 6) AS chi_lcc, round(p50.score, 6) AS pagerank_out, round(coalesce(total, 0) / ((n - 1) * (n - 2)), 6) AS betweenness_centrality, round(kcore, 6) AS kcore
+FROM f JOIN p50 ON p50.v = f.v JOIN q50 ON q50.v = f.v CROSS JOIN n LEFT JOIN passed ON passed.v = f.v""")
 def vertex_features(spark, d):
-    return C.features(graph(spark, d, "useq"), C.FEATURES)
+    return rounded(C.features(graph(spark, d, "useq"), C.FEATURES).drop("network"), *C.FEATURES)
 
 
 # Replays that depend on what went before, and whole methods
@@ -290,9 +322,24 @@ def peak_lcc_replay(spark, d):
     return R.sequential_curve(e, R.ranked(degree_scores(e)), "peak").select("removal_num", "id", "lcc", "slcc")
 
 
-@query()
+#: The ten vertices of highest degree among those left go, again and again; r is then an order like any other.
+ADAPTIVE = curve_sql("sp50", "degree DESC, v", "(SELECT ceil(n * 0.2) FROM n)", CURVE).replace(
+    "r AS (SELECT v, degree, row_number() OVER (ORDER BY degree DESC, v) AS k FROM d)",
+    """gone(v, k) USING KEY (v) AS (
+  SELECT v, k FROM (SELECT v, row_number() OVER (ORDER BY degree DESC, v) AS k FROM d) WHERE k <= 10
+  UNION
+  SELECT v, k FROM (
+    SELECT v, (SELECT max(k) FROM gone) + row_number() OVER (ORDER BY degree DESC, v) AS k, row_number() OVER (ORDER BY degree DESC, v) AS i FROM (
+      SELECT d.v, count(s.dst) FILTER (WHERE s.dst NOT IN (SELECT v FROM recurring.gone)) AS degree FROM d LEFT JOIN s ON s.src = d.v WHERE d.v NOT IN (SELECT v FROM recurring.gone) GROUP BY d.v
+    )
+  ) WHERE i <= 10 AND k <= 300
+), r AS (SELECT d.v, degree, coalesce(k, 1000000 + row_number() OVER (ORDER BY d.v)) AS k FROM d LEFT JOIN gone ON gone.v = d.v)""",
+)
+
+
+@query(ADAPTIVE)
 def adaptive_degree(spark, d):
-    return R.adaptive_degree_curve(graph(spark, d, "sp50"), block=10).select("removal_num", "id", "lcc", "slcc")
+    return rounded(R.adaptive_degree_curve(graph(spark, d, "sp50"), block=10).select("removal_num", "id", "lcc", "slcc"), "lcc", "slcc")
 
 
 def method_query(key: str, name: str) -> None:
@@ -327,14 +374,37 @@ def brute_force_optimum(spark, d):
     return rounded(R.brute_force(e, 3).select("v", "k", "target"), "target")
 
 
-@query()
-def attention_scores(spark, d):
-    """A forward pass with fixed made-up weights: the scorer's plumbing, not a trained model."""
+def made_up_weights(width: int = 4) -> dict:
     import numpy as np
 
     g = np.random.default_rng(0)
-    weights = {"conv": [{"w": g.normal(size=(4, 2, 3)), "left": g.normal(size=(2, 3)), "right": g.normal(size=(2, 3)), "linear": g.normal(size=(4, 6))}], "full": [{"w": g.normal(size=(6, 1)), "b": np.zeros(1)}]}
-    return rounded(M.gdm_scores(graph(spark, d, "useq"), weights).select("v", "score"), "score")
+    return {"conv": [{"w": g.normal(size=(width, 2, 3)), "left": g.normal(size=(2, 3)), "right": g.normal(size=(2, 3)), "linear": g.normal(size=(width, 6))}], "full": [{"w": g.normal(size=(6, 1)), "b": np.zeros(1)}]}
+
+
+def attention_sql(weights: dict, columns: list[str]) -> str:
+    """The forward pass of one layer of two heads of three numbers and one full layer, written out."""
+    (layer,), (last,) = weights["conv"], weights["full"]
+    sum_of = lambda terms: " + ".join(f"{x} * {float(y)!r}" for x, y in terms)
+    cells = [(h, o) for h in range(2) for o in range(3)]
+    h = ", ".join(f"{sum_of((c, layer['w'][i, a, b]) for i, c in enumerate(columns))} AS h{a}{b}" for a, b in cells)
+    skip = ", ".join(f"{sum_of((c, layer['linear'][i, 3 * a + b]) for i, c in enumerate(columns))} AS k{a}{b}" for a, b in cells)
+    ends = ", ".join(f"{sum_of((f'h{a}{b}', layer[side][a, b]) for b in range(3))} AS {side[0]}{a}" for side in ("left", "right") for a in range(2))
+    leaky = ", ".join(f"CASE WHEN x.l{a} + y.r{a} > 0 THEN x.l{a} + y.r{a} ELSE 0.2 * (x.l{a} + y.r{a}) END AS e{a}" for a in range(2))
+    own = ", ".join(f"x.h{a}{b} AS t{a}{b}" for a, b in cells)
+    got = ", ".join(f"sum(t{a}{b} * exp(e{a} - m{a})) / sum(exp(e{a} - m{a})) + any_value(y.k{a}{b}) AS g{a}{b}" for a, b in cells)
+    out = sum_of((f"(CASE WHEN g{a}{b} > 0 THEN g{a}{b} ELSE exp(g{a}{b}) - 1 END)", last["w"][3 * a + b, 0]) for a, b in cells)
+    return f"""WITH RECURSIVE {edges_cte("useq")}, {SIMPLE}, {FEATURE}, h AS (SELECT v, {h}, {skip} FROM f), z AS (SELECT *, {ends} FROM h),
+loops AS (SELECT src, dst FROM s UNION ALL SELECT v, v FROM d),
+ev AS MATERIALIZED (SELECT dst, {own}, {leaky} FROM loops JOIN z x ON x.v = src JOIN z y ON y.v = dst),
+top AS (SELECT dst, max(e0) AS m0, max(e1) AS m1 FROM ev GROUP BY dst),
+g AS (SELECT ev.dst AS v, {got} FROM ev JOIN top ON top.dst = ev.dst JOIN z y ON y.v = ev.dst GROUP BY ev.dst)
+SELECT v, round(1 / (1 + exp(-({out}))), 6) AS score FROM g"""
+
+
+@query(attention_sql(made_up_weights(), ["degree", "cc", "kcore", "chi_degree"]))
+def attention_scores(spark, d):
+    """A forward pass with fixed made-up weights: the scorer's plumbing, not a trained model."""
+    return rounded(M.gdm_scores(graph(spark, d, "useq"), made_up_weights()).select("v", "score"), "score")
 
 
 # The same over all rows of the tables; SQL of them would take too long, tests hold the graphs against brute force

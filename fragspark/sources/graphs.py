@@ -30,7 +30,10 @@ def list_networks(spark: SparkSession, location: str, pattern: str = "*", extens
 
 
 def network_of_file() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?(\.(gz|bz2|xz|zst))?$", 1)
+    """The stem of the file; of a folder with a known ending, as Spark writes, that of the folder."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)\.(?:{'|'.join(EXTENSIONS)})/[^/]+$", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?(\.(gz|bz2|xz|zst))?$", 1)
+    return F.when(folder != "", folder).otherwise(stem)
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
@@ -166,8 +169,8 @@ def write_edge_list(edges: DataFrame, path: str, sep: str = " ") -> None:
     edges.select(F.when(F.col("src") == F.col("dst"), F.col("src").cast("string")).otherwise(F.concat_ws(sep, "src", "dst")).alias("value"), "network").write.partitionBy("network").text(path)
 
 
-def write_graphml(edges: DataFrame, path: str) -> None:
-    """One GraphML text per network, in files partitioned by network: the lines of a network are sorted within one task."""
+def graphml_lines(edges: DataFrame) -> DataFrame:
+    """network, value: the lines of each network's GraphML text, those of a network in order within one task."""
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="undirected">'
     names = edges.select("network").distinct()
     vertex = edges.select("network", F.explode(F.array("src", "dst")).alias("v")).distinct()
@@ -177,4 +180,9 @@ def write_graphml(edges: DataFrame, path: str) -> None:
         .union(edges.where("src != dst").select("network", F.lit(2), "src", F.format_string('<edge source="n%d" target="n%d"/>', "src", "dst")))
         .union(names.select("network", F.lit(3), F.lit(0).cast("long"), F.lit("</graph></graphml>")))
     )
-    lines.repartition("network").sortWithinPartitions("network", "k", "i", "value").select("network", "value").write.partitionBy("network").text(path)
+    return lines.repartition("network").sortWithinPartitions("network", "k", "i", "value").select("network", "value")
+
+
+def write_graphml(edges: DataFrame, path: str) -> None:
+    """One GraphML text per network, in files partitioned by network."""
+    graphml_lines(edges).write.partitionBy("network").text(path)

@@ -245,3 +245,17 @@ def test_whole_graphs_equal_brute_force(spark, tmp_path):
     missing = {h: len({n for n, _ in runs}) - sum(x == h for _, x in runs) for _, h in runs}
     assert {r.heuristic: r.missing for r in QUERIES["whole_nan_census"](spark, str(tmp_path)).collect()} == missing and any(missing.values())
     assert not [x for x in ORACLES if x.startswith("whole_") and x != "whole_nan_census"]
+
+
+def test_rounds_over_all_tasks_give_what_one_task_gives(spark):
+    from fragspark.operators import centrality as C
+    from fragspark.operators import components as P
+    from fragspark.operators import graph as G
+
+    e = G.with_isolated(G.erdos_renyi(spark, "er", 60, 0.04, 3).union(G.erdos_renyi(spark, "other", 30, 0.08, 4)), spark.createDataFrame([("er", 900), ("er", 3)], "network string, v long"))
+    rows = lambda df: sorted((r[0], r[1], round(float(r[2]), 9)) for r in df.collect())
+    assert rows(P.components(e)) == rows(P.components(e, task_edges=0))
+    assert rows(P.coreness(e)) == rows(P.coreness(e, task_edges=0))
+    assert rows(C.pagerank(e, 7)) == rows(C.pagerank(e, 7, task_edges=0))
+    assert rows(C.eigenvector(e, 7)) == rows(C.eigenvector(e, 7, task_edges=0))
+    assert ("er", 900, 0.0) in rows(G.degrees(e)) and ("er", 900, 900.0) in rows(P.components(e))
