@@ -1,39 +1,15 @@
-"""Connected components of a table of edges, by alternating large and small stars.
-
-Each round needs per vertex only the least neighbour (a combining aggregation) and one join; no vertex's neighbours are
-gathered. Rounds end in tables of the shared folder, so lineage stays short and lost executors cost one round.
-"""
+"""Connected components of a table of edges, by the engine's contraction to stars."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges(u, v), u > v. Large: every larger neighbour of a vertex is tied to its least neighbour; small: every smaller one."""
-    both = edges.select("u", "v").union(edges.select("v", "u")) if large else edges.select("u", "v")
-    both = both.toDF("a", "b")
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    tied = both.join(least, "a")
-    if large:
-        out = tied.where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
-    else:
-        out = tied.where("b != m").select(F.col("b").alias("u"), F.col("m").alias("v")).union(least.where("m < a").select("a", "m"))
-    return out.where("u > v").distinct()
+from ..operators.components import TASK_EDGES, star_components
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, task_edges: int = TASK_EDGES) -> DataFrame:
     """v, root for every vertex of an edge: root is the least vertex of its component. Loops and nulls give no edge."""
-    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "edges")
-    sign = None
-    for _ in range(most_rounds):
-        now = written(_star(_star(now, True), False), "edges")
-        # Once each vertex hangs on its root the edges stay as they are: equal sums of hashes tell so.
-        r = now.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign == (r[0], r[1]):
-            return now.select(F.col("u").alias("v"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
-        sign = (r[0], r[1])
-    raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
+    clean = edges.select(F.lit("").alias("network"), F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("src") < F.col("dst")))
+    found = star_components(clean, task_edges).select("v", F.col("component").alias("root"))
+    return found.union(found.select("root", "root").distinct())

@@ -7,6 +7,7 @@ Three stages, each with the whole normalised content among its grouping keys, so
 3. global: at most `salts` winners of each content meet per (digest, content).
 
 The verdicts go back to the rows by (digest, salt), again at most 1/salts of a hot group in one task, and carry no text.
+Texts are read twice: for the groups, and for a table of digests from which the rows get their verdicts.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE
+from .common import WHITE, written
 
 
 def normalised(text: Column) -> Column:
@@ -28,7 +29,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal normalised texts the row with the most code points in its original text stays, then the smallest id.
     A null text equals an empty one. A null id loses every tie; a group of null ids alone has a null keep_id.
     Rows that repeat both the id and the length of the kept row are the kept document again, and are kept too; each
-    row counts in group_size. Other columns of the input are neither read nor returned. An empty table gives no rows.
+    row counts in group_size. Very long texts are compared whole. Other columns of the input are neither read nor returned,
+    so their names may clash with those used here. An empty table gives no rows.
     """
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw")).select(
         "doc_id", F.char_length("raw").alias("points"), F.translate("raw", WHITE, "").alias("content")
@@ -48,7 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *sign, F.when(F.col("contents") > 1, F.raise_error(F.lit("different texts share a digest")).cast("long")).otherwise(F.bitwise_not("best.turned")).alias("keep_id"),
         F.col("best.points").alias("keep_points"), F.col("size").alias("group_size"),
     )
-    rows = keyed.select("doc_id", "points", *sign, "salt")
+    rows = written(keyed.select("doc_id", "points", *sign, "salt"), "digests")  # read twice: texts are stripped and hashed for it once
     slots = rows.select(*sign, "salt").distinct().join(verdict, sign)
     return rows.join(slots, [*sign, "salt"]).select(
         "doc_id", "keep_id", "group_size",

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 PASSAGE, SHAPES, FORMS, HIDDEN, GATE = 48, 256, 128, 16, 8
-SAMPLE_ROWS, STEPS, RATE, THRESHOLD = 4000, 450, 0.01, 0.3
+SAMPLE_ROWS, SAMPLE_BYTES, STEPS, RATE, THRESHOLD = 4000, 64 << 20, 450, 0.01, 0.3
 WIDTH, MEMO_WORDS, BLOCK_WORDS = SHAPES + FORMS + 2, 200_000, 1 << 17
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 RUNS = re.compile(r"(.)\1+", re.S)
@@ -144,12 +144,22 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | float:
-    """A model of at most sample_rows labelled rows that are not held out, picked by a hash of their ids; where one class is missing, the share of label 1 (0.5 without labels)."""
+def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | float:
+    """A model of at most sample_rows labelled documents that are not held out, and of at most sample_bytes of text, picked by a hash of their ids.
+
+    Of rows that repeat an id the one of the least text counts; of labels the least. Where one class is missing, the share
+    of label 1 (0.5 without labels). So the driver gets no more than the bounds, whatever the table holds.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where(~held_out())
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = sorted(texts.join(F.broadcast(picked), "doc_id").collect(), key=lambda r: (r.doc_id, r.text))  # both sides: sample_rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    one = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))  # sample_rows at most
+    sizes = one.select("doc_id", F.octet_length("text").alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    fits = np.cumsum([r.bytes for r in sizes]) <= sample_bytes
+    chosen = [r.doc_id for r, good in zip(sizes, fits, strict=True) if good]
+    if len(chosen) < len(sizes):
+        one = one.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in chosen], "doc_id long")), "doc_id")
+    rows = sorted(one.collect(), key=lambda r: r.doc_id)
     found = [int(r.quality) for r in rows]
     if len(set(found)) < 2:
         return float(np.mean(found)) if found else 0.5

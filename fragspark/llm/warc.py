@@ -23,6 +23,8 @@ from .common import arrow_map, shared_path
 
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 32 * 1024, 8 * 1024, 2000
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+#: Records that hold no page, or only a later segment of one.
+OTHER_TYPES = ("continuation", "warcinfo", "request", "metadata", "resource", "conversion")
 OUT = pa.schema([("record", pa.binary())])
 PART = pa.schema([("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("head", pa.string()), ("block", pa.binary())])
 BACK = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("valid", pa.bool_())])
@@ -31,19 +33,19 @@ BACK_SQL = "page_id long, record_type string, refers_to long, target_uri string,
 
 
 def record_plan(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """pages as page_id, url, payload, sha1, and refers_to where an equal payload of at least min_bytes has a larger page_id.
+    """pages as page_id, url, payload, sha1, and refers_to (its page_id) and refers_uri where an equal payload of at least min_bytes has a larger page_id.
 
     A null html is an empty payload. A null page_id never is the one referred to, unless all ids of a group are null:
     then each of them is a response. The way back to the payloads goes by page_id, so hot payloads meet in no task.
     """
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     keyed = body.withColumns({"sha": F.unhex(F.sha2("payload", 256)), "bytes": F.octet_length("payload")})
-    large = keyed.where(F.col("bytes") >= min_bytes).select("page_id", "sha", "bytes")
-    first = large.groupBy("sha", "bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = large.join(first, ["sha", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
-    again = again.select(F.col("page_id").alias("again_id"), F.col("sha").alias("again_sha"), "refers_to")
+    large = keyed.where(F.col("bytes") >= min_bytes).select("page_id", "url", "sha", "bytes")
+    first = large.groupBy("sha", "bytes").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "bytes", F.col("last.page_id").alias("refers_to"), F.col("last.url").alias("refers_uri"))
+    again = large.join(first, ["sha", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    again = again.select(F.col("page_id").alias("again_id"), F.col("sha").alias("again_sha"), "refers_to", "refers_uri").distinct()
     joined = keyed.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("sha") == F.col("again_sha")), "left")
-    return joined.select("page_id", "url", "payload", F.sha1("payload").alias("sha1"), "refers_to")
+    return joined.select("page_id", "url", "payload", F.sha1("payload").alias("sha1"), "refers_to", "refers_uri")
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -77,16 +79,20 @@ def head_of(fields: list[tuple[str, str]], length: int) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(length))]) + "\r\n").encode()
 
 
-def records_of(page_id, url, payload: bytes, sha1: str, refers_to, segment_bytes: int, chunk_bytes: int):
+def target_uri(url: str | None) -> str:
+    return quote(url or "about:blank", safe="%/:=&?~#+!$,;'@()*[]")
+
+
+def records_of(page_id, url, payload: bytes, sha1: str, refers_to, segment_bytes: int, chunk_bytes: int, refers_uri: str | None = None):
     """The WARC records of one page, without the CRLF CRLF at their ends."""
     ident = f"<urn:uuid:{uuid.uuid4()}>"
     own = "" if page_id is None else str(page_id)
     fields = [
-        ("WARC-Record-ID", ident), ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Target-URI", quote(url or "about:blank", safe="%/:=&?~#+!$,;'@()*[]")),
+        ("WARC-Record-ID", ident), ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Target-URI", target_uri(url)),
         ("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Page-ID", own), ("X-Payload-Length", str(len(payload))),
     ]
     if refers_to is not None:
-        yield head_of([("WARC-Type", "revisit"), *fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-ID", str(refers_to))], 0)
+        yield head_of([("WARC-Type", "revisit"), *fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", target_uri(refers_uri)), ("WARC-Refers-To-Date", "2000-01-01T00:00:00Z"), ("X-Refers-To-Page-ID", str(refers_to))], 0)
         return
     block = HTTP_HEAD + chunked(payload, chunk_bytes)
     if len(block) <= segment_bytes:
@@ -111,7 +117,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, segment_bytes
         for b in batches:
             out, held = [], 0
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for r in records_of(*row, segment_bytes, chunk_bytes):
+                for r in records_of(*row[:-1], segment_bytes, chunk_bytes, row[-1]):
                     out.append(r)
                     held += len(r)
                     if held > 4 << 20:
@@ -124,32 +130,48 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, segment_bytes
 
 
 def parsed(data: bytes):
-    """(head fields, block) of each record of one archive file."""
+    """(head fields, block) of each record of one archive file; block is None where the head tells no length or the file ends before it does."""
     if data[:2] == b"\x1f\x8b":
         parts = []
-        while data:  # one member or many
+        while data[:2] == b"\x1f\x8b":  # one member or many; what follows the last one is no archive
             z = zlib.decompressobj(31)
-            parts.append(z.decompress(data))
+            try:
+                parts.append(z.decompress(data))
+            except zlib.error:
+                break
             data = z.unused_data
         data = b"".join(parts)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
+            if data[at:].strip():
+                yield {}, None
             return
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
-        n = int(fields["Content-Length"])
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        n = fields.get("Content-Length", "")
+        if not n.isdigit():  # no way to the next record
+            yield fields, None
+            return
+        stop = end + 4 + int(n)
+        yield fields, data[end + 4 : stop] if stop <= len(data) else None
+        at = stop + 4
+
+
+def number_in(fields: dict, name: str) -> int | None:
+    try:
+        return int(fields[name]) if fields.get(name) else None
+    except ValueError:
+        return None
 
 
 def decoded(fields: dict, block: bytes | None):
     """A row of BACK from a record's first head and its whole block."""
     import hashlib
 
-    number = lambda k: int(fields[k]) if fields.get(k) else None
+    number = lambda k: number_in(fields, k)
     told = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-    if fields["WARC-Type"] == "revisit":
+    if fields.get("WARC-Type") == "revisit":
         return number("X-Page-ID"), "revisit", number("X-Refers-To-Page-ID"), fields.get("WARC-Target-URI"), number("X-Payload-Length"), told, None, True
     payload = None if block is None else dechunked(block)
     if payload is None:
@@ -176,14 +198,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     payload_bytes and payload_digest are computed from the payload read, for a revisit those its head tells of the full
     payload. A record whose segments are not 1 to n, whose total length is wrong, or whose framing is broken comes back
-    with a null payload and valid false; so does a continuation without its origin, with null page_id.
+    with a null payload and valid false; so does a continuation without its origin, with null page_id, and what is left of
+    an archive that is cut off or holds no WARC heads. Records of other types (warcinfo, request, ...) give no row. Files
+    are read twice: for records in one segment, which then need no shuffle, and for segments.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def whole(batches):
         for b in batches:
             for data in b.column(0):
-                found = (decoded(f, block) for f, block in parsed(data.as_py()) if f["WARC-Type"] != "continuation" and "WARC-Segment-Number" not in f)
+                found = (decoded(f, block) for f, block in parsed(data.as_py()) if f.get("WARC-Type") not in OTHER_TYPES and number_in(f, "WARC-Segment-Number") is None)
                 yield from rows_out(found, BACK, lambda r: 200 + len(r[6] or b""))
 
     def pieces(batches):
@@ -192,11 +216,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 found = (
-                    (f.get("WARC-Segment-Origin-ID") or f["WARC-Record-ID"], int(f["WARC-Segment-Number"]), int(f["WARC-Segment-Total-Length"]) if "WARC-Segment-Total-Length" in f else None, None if f["WARC-Type"] == "continuation" else json.dumps(f), block)
+                    (f.get("WARC-Segment-Origin-ID") or f.get("WARC-Record-ID"), number_in(f, "WARC-Segment-Number"), number_in(f, "WARC-Segment-Total-Length"), None if f.get("WARC-Type") == "continuation" else json.dumps(f), block)
                     for f, block in parsed(data.as_py())
-                    if "WARC-Segment-Number" in f
+                    if number_in(f, "WARC-Segment-Number") is not None
                 )
-                yield from rows_out(found, PART, lambda r: 300 + len(r[4]))
+                yield from rows_out(found, PART, lambda r: 300 + len(r[4] or b""))
 
     def join(batches):
         import json
@@ -204,7 +228,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             found = []
             for head, total, parts in zip(*(b.column(k).to_pylist() for k in ("head", "total", "parts")), strict=True):
-                block = b"".join(p["block"] for p in parts)
+                block = b"".join(p["block"] or b"" for p in parts)
                 good = head is not None and [p["segment"] for p in parts] == list(range(1, len(parts) + 1)) and total == len(block)
                 found.append(decoded(json.loads(head) if head else {"WARC-Type": "response"}, block if good else None))
             yield from rows_out(found, BACK, lambda r: 200 + len(r[6] or b""))
@@ -214,6 +238,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def warc_round_trip(pages: DataFrame, min_bytes: int = 1000, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """The rows of read_warc() of the archives that write_warc() makes of pages, in the shared folder: one for each row.
+
+    Null html is an empty payload, null ids and urls are written as such (the url as about:blank). Of pages of equal
+    payloads of min_bytes or more the one of the largest page_id is the response; rows that repeat it are responses too.
+    Very long payloads go out in segments. An empty table gives no rows; columns other than page_id, url and html are
+    not read.
+    """
     path = shared_path(pages.sparkSession, "warc")
     write_warc(pages, path, min_bytes, segment_bytes)
     return read_warc(pages.sparkSession, path)

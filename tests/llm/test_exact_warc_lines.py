@@ -61,6 +61,12 @@ def test_broken_archives(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(b"\r\n\r\n".join([*list(records_of(2, "u", b"ok", hashlib.sha1(b"ok").hexdigest(), None, 1000, 400)), b""]))
     got = {r.page_id: (r.valid, r.payload) for r in read_warc(spark, str(tmp_path)).collect()}
     assert got[1] == (False, None) and got[2][0] and bytes(got[2][1]) == b"ok"
+    good = b"\r\n\r\n".join([*list(records_of(5, "u", b"ok", hashlib.sha1(b"ok").hexdigest(), None, 1000, 400)), b""])
+    (tmp_path / "bad").mkdir()
+    for name, body in {"cut": good + good[:-30], "headless": b"no archive at all", "untyped": good + b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n", "endless": good + b"WARC/1.1\r\nWARC-Type: response\r\n\r\nab", "info": b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nab\r\n\r\n" + good, "empty": b""}.items():
+        (tmp_path / "bad" / f"{name}.warc").write_bytes(body)
+    rows = read_warc(spark, str(tmp_path / "bad")).collect()
+    assert [r.page_id for r in rows if r.valid] == [5] * 4 and len([r for r in rows if not r.valid]) == 4
     write_warc(spark.createDataFrame([(3, "u", "t" * 9000)], "page_id long, url string, html string"), f"{tmp_path}/w", segment_bytes=500, records_per_file=4)
     files = list((tmp_path / "w").glob("part*"))
     assert len(files) > 1 and all(len(list(parsed(f.read_bytes()))) <= 4 for f in files)
