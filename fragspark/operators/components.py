@@ -75,7 +75,7 @@ def _stars(batches):
 
 
 #: Edges (24 bytes each) that the task of a network takes at most; larger networks go by rounds over all tasks.
-TASK_EDGES = 4_000_000
+TASK_EDGES = 1_000_000
 
 
 def _star_round(edges: DataFrame, large: bool) -> DataFrame:
