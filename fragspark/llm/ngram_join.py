@@ -31,7 +31,7 @@ from .common import arrow_map, crammed, table_of, uncrammed, written
 from .components import components
 
 SHINGLE, PERCENT, RARE, HOT_IN_BATCH = 5, 75, 64, 64
-BATCH_SHINGLES, TILE_SHINGLES, MEMO_WORDS = 1 << 20, 2 << 20, 150_000
+BATCH_SHINGLES, TILE_SHINGLES, MEMO_WORDS = 1 << 19, 2 << 20, 100_000
 BITS = 48  # of a shingle's hash that travel
 ODD, HOT = np.uint64(0x9E3779B97F4A7C15), 0xFFFFFFFF
 BLOCKS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
@@ -144,8 +144,8 @@ def shingle_blocks(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), BLOCKS, strict=True)], schema=BLOCKS)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(text, size, memo)
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = shingles(text.as_py(), size, memo)
                 ids.append(doc_id)
                 counts.append(len(s))
                 named = doc_id is not None and len(s)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, discard, written
 
 PASSAGE, SHAPES, FORMS, HIDDEN, GATE = 48, 256, 128, 16, 8
 SAMPLE_ROWS, SAMPLE_BYTES, STEPS, RATE, THRESHOLD = 4000, 64 << 20, 450, 0.01, 0.3
@@ -153,13 +153,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where(~held_out())
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    one = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))  # sample_rows at most
+    one = written(texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")), "sample")  # sample_rows at most
     sizes = one.select("doc_id", F.octet_length("text").alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     fits = np.cumsum([r.bytes for r in sizes]) <= sample_bytes
     chosen = [r.doc_id for r, good in zip(sizes, fits, strict=True) if good]
     if len(chosen) < len(sizes):
-        one = one.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in chosen], "doc_id long")), "doc_id")
-    rows = sorted(one.collect(), key=lambda r: r.doc_id)
+        rows = one.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in chosen], "doc_id long")), "doc_id").collect()
+    else:
+        rows = one.collect()
+    discard(one)
+    rows.sort(key=lambda r: r.doc_id)
     found = [int(r.quality) for r in rows]
     if len(set(found)) < 2:
         return float(np.mean(found)) if found else 0.5
