@@ -202,7 +202,7 @@ def test_entry_without_the_subpackage():
 def test_coreness_raises_without_a_fixpoint(spark):
     chain = edges(spark, [(i, i + 1) for i in range(12)])
     with pytest.raises(RuntimeError):
-        P.coreness(chain, most_rounds=2)
+        P.coreness(chain, most_rounds=2, task_edges=0)
     assert {r.core for r in P.coreness(chain).collect()} == {1}
 
 
