@@ -15,11 +15,11 @@ import mmap
 import struct
 import tempfile
 import uuid
-from collections import Counter
-from itertools import chain, pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +52,8 @@ def words_of(text: str) -> list[str]:
 
 DOUBLE_WHITE = regex.compile(r"\s\s").search
 SAFE_CUT = regex.compile(r"(?<=[^\s]) (?=[\p{L}])")
-LEXICON_WORDS, LONGEST_WORD, MEMO_WORDS, TEXT_BLOCK = 50_000, 64, 600_000, 1 << 20
+LEXICON_WORDS, LONGEST_WORD, MEMO_WORDS, TEXT_BLOCK, GROUP = 50_000, 64, 600_000, 1 << 20, 1 << 23
+NO_END = 0xFFFFFFFF  # in a lexicon: no word ends at the node
 
 
 def byte_letters() -> dict[str, int]:
@@ -87,6 +88,68 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[vocab[a], vocab[b]] = rank
             self.made.append(vocab[a + b])
+        keys = np.array([a << 32 | b for a, b in self.ranks], np.int64)
+        order = np.argsort(keys)
+        self.pairs = np.append(keys[order], np.int64(-1))  # the last one is none: a search past the end finds it
+        self.pair_ranks = np.append(np.array(list(self.ranks.values()), np.int32)[order], np.int32(len(self.made)))
+        self.made_ids = np.array(self.made, np.int32)
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, len(made) for those that never merge."""
+        keys = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.pairs[:-1], keys)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], np.int32(len(self.made)))
+
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """The same as merge of each word. Words of similar length go together, and each round merges one pair in each of them."""
+        out: list = [()] * len(words)
+        classes: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) > 64:
+                out[i] = self.merge_long([self.byte_ids[b] for b in w])
+            elif w:
+                classes.setdefault(max(4, 1 << (len(w) - 1).bit_length()), []).append(i)
+        byte_ids = np.array(self.byte_ids, np.int32)
+        for width, members in classes.items():
+            raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in members), np.uint8).reshape(-1, width)
+            ids, n = self.merge_block(byte_ids[raw], np.fromiter((len(words[i]) for i in members), np.int64, len(members)))
+            flat, at = ids.tolist(), 0
+            for i, k in zip(members, n.tolist(), strict=True):
+                out[i] = tuple(flat[at : at + k])
+                at += k
+        return out
+
+    def merge_block(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is left of each row of byte ids, of which the first `lengths` count: all ids in a row, and how many each has."""
+        m, width = ids.shape
+        none = len(self.made)
+        place = np.arange(width)
+        alive = place < lengths[:, None]
+        ranks = np.full((m, width), none, np.int32)  # of the pair that starts at each place
+        ranks[:, :-1] = np.where(alive[:, 1:], self.ranks_of(ids[:, :-1], ids[:, 1:]), none)
+        after = np.minimum(place + 1, lengths[:, None])  # the next id's place; the row's length where there is none
+        before = np.tile(place - 1, (m, 1))
+        rows = np.arange(m)
+        while len(rows):
+            i = ranks[rows].argmin(axis=1)  # the leftmost of the least
+            least = ranks[rows, i]
+            go = least < none
+            rows, i, least = rows[go], i[go], least[go]
+            j = after[rows, i]
+            ids[rows, i] = self.made_ids[least]
+            alive[rows, j], ranks[rows, j] = False, none
+            k = after[rows, j]
+            after[rows, i] = k
+            right = k < lengths[rows]
+            ranks[rows, i] = none
+            r, x, y = rows[right], i[right], k[right]
+            before[r, y] = x
+            ranks[r, x] = self.ranks_of(ids[r, x], ids[r, y])
+            h = before[rows, i]
+            left = h >= 0
+            r, x, y = rows[left], h[left], i[left]
+            ranks[r, x] = self.ranks_of(ids[r, x], ids[r, y])
+        return ids[alive], alive.sum(axis=1)
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The ids of one word: always the pair of the least rank, leftmost of equals."""
@@ -192,90 +255,152 @@ def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
             flat.extend((len(ids), *ids))
         return pool[ids]
 
-    starts, ends, labels, targets, outs = [0], [], bytearray(), [], []
-    for node in order:
-        ends.append(place(node.ends) if node.final else 0xFFFFFFFF)
+    keys, ends, targets, outs = [], [], [], []
+    for i, node in enumerate(order):
+        ends.append(place(node.ends) if node.final else NO_END)
         for b in sorted(node.arcs):
             t, o = node.arcs[b]
-            labels.append(b)
+            keys.append(i << 8 | b)
             targets.append(number[id(t)])
             outs.append(place(o))
-        starts.append(len(labels))
-    parts = [np.array(x, "<u4").tobytes() for x in (starts, ends, targets, outs, flat)]
-    return struct.pack("<6I", *(len(x) for x in parts), len(labels)) + b"".join(parts) + bytes(labels)
+    parts = [np.array(x, kind).tobytes() for x, kind in ((keys, "<i8"), (ends, "<u4"), (targets, "<u4"), (outs, "<u4"), (flat, "<u4"))]
+    return struct.pack("<6Q", *(len(x) for x in parts), 0) + b"".join(parts)
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range in turn."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Lexicon:
-    """A memory-mapped image of compile_lexicon."""
+    """A memory-mapped image of compile_lexicon: arcs by (node, byte), each with its target and the place of its ids."""
 
     def __init__(self, image: bytes):
         with tempfile.TemporaryFile() as f:  # has no name: nothing stays when the worker goes
             f.write(image)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        *sizes, _ = struct.unpack_from("<6I", self.map)
-        view, at, parts = memoryview(self.map), 24, []
-        for n in sizes:
-            parts.append(view[at : at + n].cast("I"))
+        at, parts = 48, []
+        for n, kind in zip(struct.unpack_from("<6Q", self.map), ("<i8", "<u4", "<u4", "<u4", "<u4"), strict=False):
+            width = int(kind[-1])
+            parts.append(np.frombuffer(self.map, kind, n // width, at))
             at += n
-        self.starts, self.ends, self.targets, self.outs, self.flat = parts
-        self.labels = at
+        self.keys, self.ends, self.targets, self.outs, self.flat = parts
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
-        node, found, base, find = 0, [], self.labels, self.map.find
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], base + self.starts[node], base + self.starts[node + 1]) - base
-            if arc < 0:
-                return None
-            o = self.outs[arc]
-            found.extend(self.flat[o + 1 : o + 1 + self.flat[o]])
-            node = self.targets[arc]
-        o = self.ends[node]
-        return None if o == 0xFFFFFFFF else (*found, *self.flat[o + 1 : o + 1 + self.flat[o]])
-
-
-class WordIds(dict):
+        return self.get_all([word])[0]
+
+    def get_all(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
+        """The ids of each word, None for those that the transducer does not take: all words take their next arc together."""
+        found: list = [None] * len(words)
+        if not len(self.keys) or not words:
+            return found
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths) - lengths
+        arcs = np.zeros(len(letters), np.int64)  # the arc that each letter takes
+        rows, node, taken = np.arange(len(words)), np.zeros(len(words), np.int64), []
+        for step in range(int(lengths.max()) + 1):
+            done = lengths[rows] == step
+            taken.append((rows[done], node[done]))
+            rows, node = rows[~done], node[~done]
+            place = starts[rows] + step
+            key = node << 8 | letters[place]
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[arc] == key
+            rows, arc = rows[ok], arc[ok]
+            arcs[place[ok]] = arc
+            node = self.targets[arc].astype(np.int64)
+        rows, node = (np.concatenate(x) for x in zip(*taken, strict=True))
+        final = self.ends[node] != NO_END
+        rows, node = rows[final], node[final]
+        n = lengths[rows]
+        # Each word's ids: those of its arcs in turn, then those of its last node.
+        places = np.empty(int(n.sum()) + len(rows), np.int64)
+        last = np.cumsum(n + 1) - 1
+        inner = np.ones(len(places), bool)
+        inner[last] = False
+        places[inner] = self.outs[arcs[spread(starts[rows], n)]]
+        places[last] = self.ends[node]
+        sizes = self.flat[places].astype(np.int64)
+        ids = self.flat[spread(places + 1, sizes)].tolist()
+        bounds = [0, *np.cumsum(sizes)[last].tolist()]
+        for i, (row, word) in enumerate(zip(rows.tolist(), bounds[1:], strict=True)):
+            found[row] = tuple(ids[bounds[i] : word])
+        return found
+
+
+class WordIds:
     """The ids of words: from the lexicon, else by exact merging. Words seen are kept, up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        ids = self.lexicon.get(raw) if self.lexicon and len(raw) <= LONGEST_WORD else None
-        if ids is None:
-            ids = self.vocabulary.merge(raw)
-        if len(self) < MEMO_WORDS and len(raw) <= LONGEST_WORD:
-            self[word] = ids
-        return ids
-
-
-class PieceIds(dict):
-    """The ids of pieces between single white-space letters, each after a space."""
-
-    def __init__(self, ids: WordIds):
-        self.ids = ids
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        core = piece.rstrip(MARKS)
-        if core.isalpha():  # letters, then marks: two words at most, without the pattern
-            ids = self.ids[" " + core]
-            if len(core) < len(piece):
-                ids += self.ids[piece[len(core) :]]
-        else:
-            ids = tuple(chain.from_iterable(map(self.ids.__getitem__, words_of(" " + piece))))
-        if len(self) < MEMO_WORDS // 2 and len(piece) <= LONGEST_WORD:
-            self[piece] = ids
-        return ids
+        self.vocabulary, self.lexicon, self.held = vocabulary, lexicon, {}
+
+    def of(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """A table that holds the ids of all the words: those that were not seen are looked up and merged together."""
+        held = self.held
+        new = [w for w in words if w not in held]
+        if not new:
+            return held
+        raw = [w.encode() for w in new]
+        ids = self.lexicon.get_all([w if len(w) <= LONGEST_WORD else b"" for w in raw]) if self.lexicon else [None] * len(raw)
+        rest = [i for i, x in enumerate(ids) if not x]
+        for i, x in zip(rest, self.vocabulary.merge_all([raw[i] for i in rest]), strict=True):
+            ids[i] = x
+        if len(held) + len(new) <= MEMO_WORDS and max(map(len, raw)) <= LONGEST_WORD:
+            held.update(zip(new, ids, strict=True))
+            return held
+        fits = [i for i, w in enumerate(raw) if len(w) <= LONGEST_WORD][: max(0, MEMO_WORDS - len(held))]
+        held.update((new[i], ids[i]) for i in fits)
+        return {**{w: held[w] for w in words if w in held}, **dict(zip(new, ids, strict=True))}
+
+
+class PieceIds:
+    """The ids of pieces between single white-space letters: each after a space, but those that begin with a line break.
+
+    Pieces seen have a number each, up to a bound; their ids stand in one array.
+    """
+
+    def __init__(self, words: WordIds):
+        self.words, self.held = words, {}
+        self.lengths, self.flat = np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place and number of the ids of each piece, and the array that they stand in."""
+        number = np.fromiter(map(self.held.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(number < 0)
+        words, sizes = [], []
+        for p in map(pieces.__getitem__, new.tolist()):
+            core = p.rstrip(MARKS)
+            if core.isalpha():  # letters, then marks: two words at most, without the pattern
+                words.append(" " + core)
+                if len(core) < len(p):
+                    words.append(p[len(core) :])
+            else:
+                words += words_of(p if p[:1] == "\n" else " " + p)
+            sizes.append(len(words))
+        ids = list(map(self.words.of(set(words)).__getitem__, words))
+        ends = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))][[0, *sizes]]
+        known = len(self.lengths)
+        lengths = np.r_[self.lengths, np.diff(ends)]
+        flat = np.r_[self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))]
+        number[new] = np.arange(known, known + len(new))
+        kept = min(len(new), max(0, MEMO_WORDS // 2 - known))
+        if kept:
+            self.held.update((p, i) for i, p in enumerate(map(pieces.__getitem__, new[:kept].tolist()), known) if len(p) <= LONGEST_WORD)
+            self.lengths, self.flat = lengths[: known + kept], flat[: len(self.flat) + int(ends[kept])]
+        return (np.cumsum(lengths) - lengths)[number], lengths[number], flat
 
 
 class Encoder:
     def __init__(self, path: str, image: bytes | None = None):
         self.vocabulary = Vocabulary(path)
         self.ids = WordIds(self.vocabulary, Lexicon(image) if image else None)
-        self.spaced = PieceIds(self.ids)
+        self.pieces = PieceIds(self.ids)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.vocabulary.special)) + ")").split if self.vocabulary.special else lambda text: [text]
         self.marks = tuple(self.vocabulary.special)
+        self.tokens = pa.array(self.vocabulary.token_bytes, pa.large_binary())
 
     def blocks(self, text: str):
         """The text cut where no word crosses, so that a very long text needs little at once."""
@@ -288,28 +413,51 @@ class Encoder:
             at = cut.start()
         yield text[at:] if at else text
 
-    def ids_of(self, block: str):
-        """The ids of a block. Where no two white-space letters meet, each stands alone: a space joins the piece after it, and pieces end there."""
-        if DOUBLE_WHITE(block):
-            return map(self.ids.__getitem__, words_of(block))
-        found, ids, spaced = [], self.ids, self.spaced.__getitem__
-        for number, line in enumerate(block.split("\n")):
-            pieces = line.split(" ")
-            if number:
-                found.append(ids["\n"])
-            if pieces[0]:
-                found.extend(map(ids.__getitem__, words_of(pieces[0])))
-            found.extend(map(spaced, pieces[1:]))
-        return found
+    def plain_ids(self, blocks: list[str]) -> list[np.ndarray]:
+        """The ids of each block, by the pattern's words."""
+        words = [words_of(b) for b in blocks]
+        ids = self.ids.of(set(chain.from_iterable(words))).__getitem__
+        return [np.fromiter(chain.from_iterable(map(ids, ws)), np.int32) for ws in words]
+
+    def split_ids(self, blocks: list[str]) -> list[np.ndarray]:
+        """The same for blocks in which no two white-space letters meet, with a line break put before each, by different pieces.
+
+        Each white-space letter stands alone, so a space joins the piece after it, and pieces end there. A line break
+        is a word of its own: it begins a piece, and the first one's id is left out again.
+        """
+        lists = pc.split_pattern(pa.array([b.replace("\n", " \n")[1:] for b in blocks], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        starts, lengths, flat = self.pieces.of(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy()
+        sizes = lengths[codes]
+        out = flat[spread(starts[codes], sizes)]
+        ends = np.r_[0, np.cumsum(sizes)][lists.offsets.to_numpy()]
+        return [out[a + 1 : b] for a, b in pairwise(ends.tolist())]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. All texts are worked on together."""
+        parts: list[list] = [[] for _ in texts]
+        split, plain = [], []  # (text, place in it, block)
+        for number, text in enumerate(texts):
+            for piece in self.split(text) if any(m in text for m in self.marks) else [text]:
+                if piece in self.vocabulary.special:
+                    parts[number].append(np.array([self.vocabulary.special[piece]], np.int32))
+                    continue
+                for block in self.blocks(piece):
+                    led = "\n" + block
+                    if DOUBLE_WHITE(led):
+                        plain.append((number, len(parts[number]), block))
+                    else:
+                        split.append((number, len(parts[number]), led))
+                    parts[number].append(None)
+        for todo, encode in ((split, self.split_ids), (plain, self.plain_ids)):
+            if todo:
+                for (number, place, _), ids in zip(todo, encode([b for *_, b in todo]), strict=True):
+                    parts[number][place] = ids
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.empty(0, np.int32) for p in parts]
 
     def encode(self, text: str) -> np.ndarray:
-        parts = []
-        for piece in self.split(text) if any(m in text for m in self.marks) else [text]:
-            if piece in self.vocabulary.special:
-                parts.append(np.array([self.vocabulary.special[piece]], np.int32))
-            else:
-                parts += [np.fromiter(chain.from_iterable(self.ids_of(block)), np.int32) for block in self.blocks(piece)]
-        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.int32)
+        return self.encode_all([text])[0]
 
 
 _held: dict = {}
@@ -330,29 +478,34 @@ COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 TEXTS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
-def id_lists(doc_ids: list, found: list[np.ndarray]) -> pa.RecordBatch:
+def id_lists(doc_ids: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
     offsets = np.zeros(len(found) + 1, np.int32)
     np.cumsum([len(x) for x in found], out=offsets[1:])
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))], schema=IDS)
+    return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))], schema=IDS)
+
+
+def groups(texts: pa.Array, letters: int = GROUP):
+    """The texts in lists of about `letters` letters, a longer text alone."""
+    out, n = [], 0
+    for text in texts:
+        out.append(text.as_py())
+        n += len(out[-1])
+        if n >= letters:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """How often each word, a run without white space of fewer than LONGEST_WORD letters, comes in all documents."""
 
     def count(batches):
-        seen = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=COUNTS)
-
         for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(text.split())
-            if len(seen) > 200_000:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
+            for texts in groups(b.column(0)):
+                words = pc.utf8_split_whitespace(pa.array(texts, pa.large_string())).flatten()
+                found = words.filter(pc.less(pc.utf8_length(words), LONGEST_WORD)).value_counts()
+                yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], schema=COUNTS)
 
     found = arrow_map(docs.select(F.coalesce("text", F.lit("")).alias("text")), count, "word string, n long")
     return found.where(F.length("word") < LONGEST_WORD).groupBy("word").agg(F.sum("n").alias("n"))
@@ -370,32 +523,33 @@ def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> byt
             break
         least = r.step
     top = [] if least is None else counts.where(step >= least).select("word").collect()
-    merge = Vocabulary(path).merge
-    return compile_lexicon({w.encode(): merge(w.encode()) for w in {w for r in top for before in ("", " ") for w in words_of(before + r.word)}})
+    words = [w.encode() for w in {w for r in top for before in ("", " ") for w in words_of(before + r.word)}]
+    return compile_lexicon(dict(zip(words, Vocabulary(path).merge_all(words), strict=True)))
 
 
 def encoded(batches, path: str, key: str = "", image=None):
     """Batches of (doc_id, text) as batches of (doc_id, ids)."""
     encoder = encoder_of(path, key, image)
     for b in batches:
-        ids, found, n = [], [], 0
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            ids.append(doc_id)
-            found.append(encoder.encode(text.as_py()))
-            n += len(found[-1])
-            if n > 1 << 19:
-                yield id_lists(ids, found)
-                ids, found, n = [], [], 0
-        if ids:
-            yield id_lists(ids, found)
+        at = 0
+        for texts in groups(b.column(1)):
+            found = encoder.encode_all(texts)
+            yield id_lists(b.column(0).slice(at, len(texts)), found)
+            at += len(texts)
 
 
 def decoded(batches, path: str, key: str = "", image=None):
     """Batches of (doc_id, ids) with the texts that the ids stand for."""
-    vocabulary = encoder_of(path, key, image).vocabulary
+    tokens = encoder_of(path, key, image).tokens
     for b in batches:
-        texts = [vocabulary.decode(x.values.to_numpy().tolist()) for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], schema=TEXTS)
+        lists = b.column(1)
+        held = tokens.take(lists.flatten())
+        places = np.frombuffer(held.buffers()[1], np.int64, len(held) + 1, held.offset * 8)
+        raw = memoryview(held.buffers()[2] or b"")
+        sizes = lists.value_lengths().to_numpy()
+        bounds = places[np.r_[0, np.cumsum(sizes)]].tolist()
+        texts = [str(raw[x:y], "utf-8", "replace") for x, y in pairwise(bounds)]
+        yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string())], schema=TEXTS)
 
 
 def bpe_encode(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS, decode: bool = False) -> DataFrame:

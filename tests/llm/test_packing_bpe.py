@@ -35,6 +35,7 @@ def test_lexicon_is_minimal_and_exact():
     words = {b"tap": (1, 2), b"taps": (1, 2, 3), b"top": (4, 2), b"tops": (4, 2, 3), b"": (9,)}
     held = Lexicon(compile_lexicon(words))
     assert {w: held.get(w) for w in words if w} == {w: v for w, v in words.items() if w}
+    assert held.get_all([b"tops", b"x", b"", b"tap"]) == [(4, 2, 3), None, None, (1, 2)]
     assert held.get(b"ta") is None and held.get(b"tapsx") is None and held.get(b"zz") is None
 
 
@@ -44,6 +45,29 @@ def test_long_words_merge_alike():
         assert v.merge_long([v.byte_ids[b] for b in word]) == tuple(Encoder(PATH).encode(word.decode()).tolist())
 
 
+def test_groups_of_texts_encode_as_the_library_does(library, monkeypatch):
+    from fragspark.llm import bpe
+
+    rnd = random.Random(5)
+    letters = [*"abcdeTHE  \n\n\t.,'\"s09\r\x0b\x1c\x85\u00a0\u3000", "the ", " of", "é", "ß", "中", "文", "🙂", "\u0301", "<|endoftext|>", "<|endof", "\ud7a3", "\u0c5c", "x" * 70]
+    texts = ["".join(rnd.choices(letters, k=rnd.choice([0, 1, 2, 9, 60, 400]))) for _ in range(400)]
+    texts += [" ".join("".join(rnd.choices("abcdefghijklmnop.,9", k=rnd.randrange(1, 14))) for _ in range(50)) + rnd.choice(["", " ", "\n"]) for _ in range(100)]
+    v = Vocabulary(PATH)
+    words = [w.encode() for t in texts for w in bpe.words_of(t)]
+    assert v.merge_all(words) == [v.merge(w) for w in words] and v.merge_all([]) == []
+    held = {w: v.merge(w) for w in words[::3] if len(w) <= 64}
+    image = compile_lexicon(held)
+    assert Lexicon(image).get_all(words) == [held.get(w) for w in words]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for memo, block in ((600_000, 1 << 20), (40, 50), (0, 1 << 20)):  # whole, full and no tables of words seen; texts in blocks
+        monkeypatch.setattr(bpe, "MEMO_WORDS", memo)
+        monkeypatch.setattr(bpe, "TEXT_BLOCK", block)
+        for e in (Encoder(PATH), Encoder(PATH, image), Encoder(PATH, compile_lexicon({}))):
+            for _ in range(2):
+                assert [x.tolist() for x in e.encode_all(texts)] == want
+            assert [e.encode(t).tolist() for t in texts[:50]] == want[:50] and len(e.ids.held) <= memo and len(e.pieces.held) <= memo // 2
+
+
 def whole(pieces, sequence):
     """Each document's pieces follow each other, and all pieces together leave no hole and share no place."""
     by_doc: dict = {}
