@@ -2,53 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import EDGE_SQL
+from ..tables import discard, written
 from .graph import both_ways, degrees, vertices_of
 from .kernels import Union
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: spark.checkpoint.dir; on one machine, where that is unset, a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="fragspark-")
-        atexit.register(shutil.rmtree, own, True)
-        at = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def settled(df: DataFrame, *done: DataFrame) -> DataFrame:
-    """Rows written in the shared folder and reread: lineage of an iteration ends here and outlives lost executors. Tables of settled() in done are deleted: nothing reads them any more."""
-    path = shared_path(df.sparkSession, "round")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.settled_at = path
-    discard(*done)
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    for t in tables:
-        jvm = t.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t.settled_at)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    """A round's rows, written and reread; tables of rounds before, in `done`, are deleted."""
+    return written(df, "round", *done)
 
 
 def star_edges(network, src, dst) -> pd.DataFrame:

@@ -16,6 +16,7 @@ from .plans import report as Q
 from .queries import BEST, CURVE, HEURISTICS, MEANS, SOME, WITH, curve_sql, degree_scores, edges_cte, graph, made_up_weights, nested, query, rounded, runs, table
 from .sources import graphs as L
 from .sources import runs as U
+from .tables import shared_path
 
 EDGES = f"WITH {edges_cte('partco')} SELECT src, dst FROM e"
 #: All suppliers and parts: vertices of the supplier-part graph, most of them without an edge in its slice.
@@ -24,7 +25,7 @@ OLD_D, NEW_D = "d AS (SELECT src AS v, count(*) AS degree FROM s GROUP BY src)",
 
 
 def stored(spark, name: str) -> str:
-    return P.shared_path(spark, name)
+    return shared_path(spark, name)
 
 
 def supplied(spark, d) -> DataFrame:
