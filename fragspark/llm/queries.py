@@ -12,9 +12,11 @@ from .hilbert_ann import nearest
 from .line_dedup import line_dedup
 from .ngram_join import ngram_components
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality import quality_scores
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_counts import token_counts
 from .warc import warc_round_trip
 
 
@@ -66,6 +68,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -77,6 +89,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES = {
@@ -167,5 +181,41 @@ WITH d AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY content ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY content) AS group_size FROM d
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM r
+""",
+    "op12_prefix_trie": r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  -- crc32 of the decimal id: each byte, then eight shifts
+  SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: list_concat([ascii(x)::BIGINT], list_transform(range(8), lambda y: -1::BIGINT))))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS own, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.i <= h
+  UNION ALL SELECT c.conv_id, 1, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > h
+), s AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth, role, text FROM r
+), p(conv_id, depth, key, size) AS (
+  SELECT conv_id, 0::BIGINT, sha256('')::VARCHAR, 0::BIGINT FROM c
+  UNION ALL SELECT s.conv_id, s.depth, sha256(p.key || sha256(s.role) || sha256(s.text)), octet_length(encode(s.text))::BIGINT FROM p JOIN s ON s.conv_id = p.conv_id AND s.depth = p.depth + 1
+), l AS (
+  SELECT conv_id, max(depth) AS length FROM p GROUP BY conv_id
+), n AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = length), '')) AS ends_sha256
+  FROM p JOIN l USING (conv_id) GROUP BY depth, key
+), up AS (
+  SELECT n.depth, n.key, p.key AS above FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+), kids AS (
+  SELECT above AS key, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY ALL
+), w AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * size AS saves FROM n LEFT JOIN kids USING (depth, key)
+), below AS (
+  SELECT a.depth, a.key, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves, sum(w.saves) AS saved_tokens
+  FROM w JOIN p a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY ALL
+)
+SELECT w.conv_id, w.depth, o.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN below USING (depth, key) LEFT JOIN up USING (depth, key) LEFT JOIN w o ON o.depth = w.depth - 1 AND o.key = up.above
 """,
 }
