@@ -2,17 +2,20 @@
 
 A pre-token is a stretch of text that no piece of the vocabulary crosses: blanks and the letters after them, or one
 character that no longer piece holds. Merges never leave it, so a text's tokens are the sum of its pre-tokens' tokens.
-A batch of texts numbers its distinct pre-tokens and keeps each document's frequencies by number; the distinct
-pre-tokens of all batches are counted by the library, go back to the batches that have them, and are summed there.
+A batch of texts numbers its distinct pre-tokens and keeps each document's frequencies by number. The pre-tokens of all
+batches meet in buckets by hash, where the library counts the pieces of each distinct one; the counts go back to the
+batches that have it and are summed there. Words, frequencies and counts travel packed, a row for each batch and bucket.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +25,30 @@ from .common import arrow_map, batch, crammed, uncrammed, written
 BLANK = "▁"
 #: Bytes of text and distinct pre-tokens of a batch, at most but for its last document.
 BATCH_BYTES, BATCH_WORDS = 16 << 20, 400_000
-BATCHES = pa.schema([("batch", pa.int64()), ("words", pa.list_(pa.string())), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("body", pa.binary())])
-BATCHES_SQL = "batch long, words array<string>, doc_ids array<long>, n_bytes array<long>, body binary"
+#: Words of all batches that a bucket has on average: what the task of a bucket may have to keep apart.
+BUCKET_WORDS = 500_000
+BATCHES = pa.schema([("batch", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("body", pa.binary())])
+BATCHES_SQL = "batch long, n_words long, words binary, doc_ids array<long>, n_bytes array<long>, body binary"
+ASKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
+ANSWERS = pa.schema([("batch", pa.int64()), ("counts", pa.binary())])
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-WORDS = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    sizes = crammed(np.fromiter(map(len, words), np.int64, len(words)))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+
+
+def unpacked_words(body: bytes) -> list[bytes]:
+    n = int.from_bytes(body[:4], "little")
+    ends = np.cumsum(uncrammed(body[4 : 4 + n], 1)[0].astype(np.int64)).tolist()
+    raw = zstandard.ZstdDecompressor().decompress(body[4 + n :])
+    return [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+
+def stepped(x: np.ndarray) -> np.ndarray:
+    """Each number less the one before: rising ones pack smaller so."""
+    return np.diff(x, prepend=0)
 
 
 def pre_token_pattern(path: str) -> str:
@@ -66,8 +89,11 @@ def numbered(rows: DataFrame, pattern: str) -> DataFrame:
 
         def flush():
             nonlocal number
-            columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (docs, words, times)]
-            out = batch(BATCHES, [(task << 32) + number], [list(of)], [list(ids)], [list(sizes)], [crammed(*columns)])
+            doc, word, count = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (docs, words, times))
+            order = np.lexsort((word, doc))
+            doc, word, count = doc[order], word[order], count[order]
+            step = np.where(stepped(doc + 1) > 0, word, stepped(word))
+            out = batch(BATCHES, [(task << 32) + number], [len(of)], [packed_words([w.encode() for w in of])], [list(ids)], [list(sizes)], [crammed(stepped(doc), step, count)])
             number += 1
             of.clear()
             for c in (ids, sizes, docs, words, times):
@@ -94,21 +120,47 @@ def numbered(rows: DataFrame, pattern: str) -> DataFrame:
     return arrow_map(rows, run, BATCHES_SQL)
 
 
-def pieces_of_words(words: DataFrame, path: str) -> DataFrame:
-    """word -> n, its pieces by the library. A line end before the word, which no piece holds, keeps the library's own blank away."""
+def asked(table: DataFrame, buckets: int) -> DataFrame:
+    """bucket, batch, places, words: the words of each batch by buckets of their hash, with their numbers in the batch."""
+
+    def run(batches):
+        for b in batches:
+            for number, body in zip(b.column("batch").to_pylist(), b.column("words").to_pylist(), strict=True):
+                words = unpacked_words(body)
+                of = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+                order = np.argsort(of, kind="stable")
+                found, first = np.unique(of[order], return_index=True)
+                out = [(k, number, crammed(stepped(i)), packed_words([words[j] for j in i.tolist()])) for k, i in zip(found.tolist(), np.split(order, first[1:]), strict=True)] if len(words) else []
+                if out:
+                    yield batch(ASKED, *map(list, zip(*out, strict=True)))
+
+    return arrow_map(table.select("batch", "words"), run, "bucket long, batch long, places binary, words binary")
+
+
+def answered(rows: DataFrame, path: str) -> DataFrame:
+    """batch, counts: the numbers of a batch's words in a bucket and their pieces by the library, which each task asks once for each distinct word.
+
+    A line end before the word, which no piece holds, keeps the library's own blank away.
+    """
 
     def run(batches):
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
-        extra = len(m.encode("\n"))
+        extra, bucket, known = len(m.encode("\n")), None, {}
         for b in batches:
-            own = b.column(0).to_pylist()
-            for i in range(0, len(own), 4096):
-                part = own[i : i + 4096]
-                yield batch(WORDS, part, [len(x) - extra for x in m.encode(["\n" + w for w in part], num_threads=1)])
+            for i in range(b.num_rows):
+                if b.column("bucket")[i].as_py() != bucket:
+                    bucket, known = b.column("bucket")[i].as_py(), {}
+                words = unpacked_words(b.column("words")[i].as_py())
+                new = [w for w in words if w not in known]
+                for j in range(0, len(new), 4096):
+                    part = new[j : j + 4096]
+                    known.update(zip(part, [len(x) - extra for x in m.encode(["\n" + w.decode() for w in part], num_threads=1)], strict=True))
+                counts = np.fromiter((known[w] for w in words), np.int64, len(words))
+                yield batch(ANSWERS, [b.column("batch")[i].as_py()], [crammed(uncrammed(b.column("places")[i].as_py(), 1)[0], counts)])
 
-    return arrow_map(words, run, "word string, n long")
+    return arrow_map(rows.sortWithinPartitions("bucket"), run, "batch long, counts binary")
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -121,23 +173,26 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     table = written(numbered(rows, pre_token_pattern(path)), "frequencies")
-    places = table.select("batch", F.posexplode("words").alias("place", "word"))
-    pieces = pieces_of_words(table.select(F.explode("words").alias("word")).distinct(), path)
-    counts = places.join(pieces, "word").groupBy("batch").agg(F.collect_list(F.struct("place", "n")).alias("counts"))  # no more than a batch's words
+    buckets = max(1, -(-(table.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
+    counts = answered(asked(table, buckets).repartition(buckets, "bucket"), path).groupBy("batch").agg(F.collect_list("counts").alias("counts"))  # no more than a batch's words
 
     def total(batches):
         for b in batches:
             for i in range(b.num_rows):
-                doc, word, times = uncrammed(b.column("body")[i].as_py(), 3)
+                doc, step, times = (c.astype(np.int64) for c in uncrammed(b.column("body")[i].as_py(), 3))
                 ids = b.column("doc_ids")[i].values
                 n = np.zeros(len(ids), np.int64)
                 if len(doc):
-                    found = b.column("counts")[i].values
-                    of = np.zeros(len(found), np.int64)
-                    of[found.field("place").to_numpy()] = found.field("n").to_numpy()
+                    of = np.zeros(b.column("n_words")[i].as_py(), np.int64)
+                    for body in b.column("counts")[i].as_py():
+                        place, count = uncrammed(body, 2)
+                        of[np.cumsum(place.astype(np.int64))] = count
+                    doc = np.cumsum(doc)
                     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                    n[doc[first].astype(np.int64)] = np.add.reduceat(of[word.astype(np.int64)] * times.astype(np.int64), first)
+                    word = np.cumsum(step)
+                    word -= np.repeat(np.r_[0, word[first[1:] - 1]], np.diff(np.r_[first, len(doc)]))
+                    n[doc[first]] = np.add.reduceat(of[word] * times, first)
                 yield batch(COUNTS, ids, b.column("n_bytes")[i].values, n)
 
-    joined = table.select("batch", "doc_ids", "n_bytes", "body").join(counts, "batch", "left")
-    return arrow_map(joined.select("doc_ids", "n_bytes", "body", "counts"), total, "doc_id long, n_bytes long, n_tokens long")
+    joined = table.select("batch", "n_words", "doc_ids", "n_bytes", "body").join(counts, "batch", "left")
+    return arrow_map(joined.select("n_words", "doc_ids", "n_bytes", "body", "counts"), total, "doc_id long, n_bytes long, n_tokens long")

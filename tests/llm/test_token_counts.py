@@ -30,6 +30,7 @@ def test_small_batches_and_whole_documents_equal_the_library(spark, monkeypatch)
     want = {r.doc_id: library(r.text) for r in docs.collect()}
     assert {r.doc_id: r.n_tokens for r in T.token_counts(docs, PATH).collect()} == want
     rows = docs.repartition(3)
+    monkeypatch.setattr(T, "BUCKET_WORDS", 3000)
     monkeypatch.setattr(T, "numbered", lambda r, p, make=T.numbered: many(r, p, make, monkeypatch))
     assert {r.doc_id: r.n_tokens for r in T.token_counts(rows, PATH).collect()} == want
 
@@ -39,7 +40,7 @@ def many(rows, pattern, make, monkeypatch):
     parts = [make(rows.where(f"doc_id % 4 = {i}"), pattern) for i in range(4)]
     out = parts[0]
     for i, p in enumerate(parts[1:], 1):
-        out = out.union(p.selectExpr(f"batch + {i} * 1000000007L as batch", "words", "doc_ids", "n_bytes", "body"))
+        out = out.union(p.selectExpr(f"batch + {i} * 1000000007L as batch", "n_words", "words", "doc_ids", "n_bytes", "body"))
     return out
 
 
