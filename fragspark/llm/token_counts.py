@@ -15,12 +15,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, crammed, uncrammed, written
+from .common import arrow_map, batch, crammed, packed_words, stepped, uncrammed, unpacked_words, written
 
 BLANK = "▁"
 #: Bytes of text and distinct pre-tokens of a batch, at most but for its last document.
@@ -34,23 +33,6 @@ ANSWERS = pa.schema([("batch", pa.int64()), ("counts", pa.binary())])
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def packed_words(words: list[bytes]) -> bytes:
-    sizes = crammed(np.fromiter(map(len, words), np.int64, len(words)))
-    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
-
-
-def unpacked_words(body: bytes) -> list[bytes]:
-    n = int.from_bytes(body[:4], "little")
-    ends = np.cumsum(uncrammed(body[4 : 4 + n], 1)[0].astype(np.int64)).tolist()
-    raw = zstandard.ZstdDecompressor().decompress(body[4 + n :])
-    return [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
-
-
-def stepped(x: np.ndarray) -> np.ndarray:
-    """Each number less the one before: rising ones pack smaller so."""
-    return np.diff(x, prepend=0)
-
-
 def pre_token_pattern(path: str) -> str:
     """A regular expression of the pre-tokens of a sentencepiece BPE model, for texts with BLANK for spaces.
 
