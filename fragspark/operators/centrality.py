@@ -7,70 +7,63 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import TASK_EDGES, adjacency, coreness, fit_tasks, settled
+from ..tables import discard
+from .components import coreness, settled
 from .graph import both_ways, chi_of, clustering, degree_normalised, degrees, vertices_of
 
 FEATURES = ("degree", "clustering_coefficient", "eigenvectors", "chi_degree", "chi_lcc", "pagerank_out", "betweenness_centrality", "kcore")
 
 
-def in_tasks(edges: DataFrame, value) -> DataFrame:
-    """value(number of vertices, sources, targets) -> scores, in one task per network."""
+def _moved(now: DataFrame, tolerance: float | None) -> bool:
+    """Do the values of any network differ from those of the round before (score, was) by more than tolerance in all?"""
+    if tolerance is None:
+        return True
+    return not now.groupBy("network").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("moved")).where(F.col("moved") >= tolerance).isEmpty()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, src, dst = adjacency(group)
-        return pd.DataFrame({"network": group["network"].iloc[0], "v": ids, "score": value(len(ids), src, dst)})
-
-    return edges.groupBy("network").applyInPandas(run, "network string, v long, score double")
-
-
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, settle_every: int = 5, task_edges: int = TASK_EDGES) -> DataFrame:
-    """A fixed number of rounds: (1 - d) / N + d * sum over neighbours of score / degree. Networks that fit a task go there, others by joins over all tasks."""
-    if fit_tasks(edges := settled(edges.select("network", "src", "dst")), task_edges):
 
-        def value(n, src, dst):
-            degree, now = np.maximum(1, np.bincount(src, minlength=n)), np.full(n, 1 / n)
-            for _ in range(rounds):
-                now = (1 - damping) / n + damping * np.bincount(dst, (now / degree)[src], minlength=n)
-            return now
+def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """(1 - d) / N + d * (sum over neighbours of score / degree + the scores of vertices without edges / N), from 1 / N on.
 
-        return in_tasks(edges, value)
+    With a tolerance until the scores move by less in all, `rounds` rounds at most; else `rounds` rounds. A round is one
+    join and one combining aggregation over all tasks.
+    """
     d = degrees(edges)
-    n = d.groupBy("network").agg(F.count(F.lit(1)).alias("n"))
-    fixed = settled(d.join(n, "network").select("network", "v", "degree", "n"))
+    n = d.groupBy("network").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("degree") == 0).cast("long")).alias("alone"))
+    fixed = settled(d.join(n, "network").select("network", "v", "degree", "n", "alone"))
     ways = settled(both_ways(edges))
-    now = fixed.select("network", "v", (1 / F.col("n")).alias("score"))
-    for i in range(rounds):
-        share = now.join(fixed, ["network", "v"]).select("network", F.col("v").alias("src"), F.try_divide("score", "degree").alias("share"))
+    now = fixed.select("network", "v", "degree", "n", (1 / F.col("n")).alias("score"))
+    before = []
+    some_alone = not fixed.where("alone > 0").isEmpty()
+    for _ in range(rounds):
+        share = now.select("network", F.col("v").alias("src"), F.try_divide("score", "degree").alias("share"))
         got = ways.join(share, ["network", "src"]).groupBy("network", F.col("dst").alias("v")).agg(F.sum("share").alias("got"))
-        now = fixed.join(got, ["network", "v"], "left").select("network", "v", ((1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if (i + 1) % settle_every == 0:
-            now = settled(now)
-    return now
-
-
-def eigenvector(edges: DataFrame, rounds: int = 10, settle_every: int = 5, task_edges: int = TASK_EDGES) -> DataFrame:
-    """Power iteration from all ones, scaled to length 1 per network after each round. Networks that fit a task go there, others by joins over all tasks."""
-    if fit_tasks(edges := settled(edges.select("network", "src", "dst")), task_edges):
-
-        def value(n, src, dst):
-            now = np.ones(n)
-            for _ in range(rounds):
-                now = np.bincount(dst, now[src], minlength=n)
-                now = now / (np.sqrt((now * now).sum()) or 1)
-            return now
-
-        return in_tasks(edges, value)
+        joined = now.join(got, ["network", "v"], "left")
+        if some_alone:
+            joined = joined.join(now.where("degree = 0").groupBy("network").agg((F.sum("score") / F.max("n")).alias("spread")), "network", "left")
+        else:
+            joined = joined.withColumn("spread", F.lit(0.0))
+        value = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("spread", F.lit(0.0)))
+        now = settled(joined.select("network", "v", "degree", "n", value.alias("score"), F.col("score").alias("was")), *before)
+        before = [now]
+        if not _moved(now, tolerance):
+            break
+    discard(*([ways, fixed] if before else []))
+    return now.select("network", "v", "score")
+
+
+def eigenvector(edges: DataFrame, rounds: int = 10, tolerance: float | None = None) -> DataFrame:
+    """Power iteration from all ones, scaled to length 1 per network after each round; with a tolerance until the values move by less in all, `rounds` rounds at most."""
     ways = settled(both_ways(edges))
-    now = vertices_of(edges).select("network", "v", F.lit(1.0).alias("score"))
-    alone = edges.where("src = dst").select("network", F.col("src").alias("v"), F.lit(0.0).alias("score"))
-    for i in range(rounds):
-        got = ways.join(now.withColumnRenamed("v", "src"), ["network", "src"]).groupBy("network", F.col("dst").alias("v")).agg(F.sum("score").alias("score"))
-        got = alone.unionByName(got)
-        length = got.groupBy("network").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("length"))
-        now = got.join(length, "network").select("network", "v", (F.col("score") / F.col("length")).alias("score"))
-        if (i + 1) % settle_every == 0:
-            now = settled(now)
-    return now
+    now, before = vertices_of(edges).select("network", "v", F.lit(1.0).alias("score")), []
+    for _ in range(rounds):
+        got = ways.join(now.select("network", F.col("v").alias("src"), "score"), ["network", "src"]).groupBy("network", F.col("dst").alias("v")).agg(F.sum("score").alias("got"))
+        long = settled(now.join(got, ["network", "v"], "left").select("network", "v", F.coalesce("got", F.lit(0.0)).alias("got"), F.col("score").alias("was")), *before)
+        length = long.groupBy("network").agg(F.sqrt(F.sum(F.col("got") * F.col("got"))).alias("length"))
+        now, before = long.join(length, "network").select("network", "v", F.coalesce(F.try_divide("got", "length"), F.lit(0.0)).alias("score"), "was"), [long]
+        if not _moved(now, tolerance):
+            break
+    discard(*([ways] if before else []))
+    return now.select("network", "v", "score")
 
 
 def ball(edges: DataFrame, hops: int) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..schema import EDGE_SQL
 from ..tables import discard, written
 from .graph import both_ways, degrees, vertices_of
-from .kernels import Union
 
 
 def settled(df: DataFrame, *done: DataFrame) -> DataFrame:
@@ -18,31 +17,49 @@ def settled(df: DataFrame, *done: DataFrame) -> DataFrame:
     return written(df, "round", *done)
 
 
+#: Edges that a task ties into stars at once: what it holds of its partition.
+BATCH_EDGES = 1_000_000
+
+
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number that each of the vertices 0 to n - 1 is connected with: roots hang on smaller ones, and paths halve, until no edge has two labels."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return label
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(nearer := label[label], label):
+            label = nearer
+
+
 def star_edges(network, src, dst) -> pd.DataFrame:
     """The components' least vertices tied to the others: as connected as the edges given, and at most one edge per vertex."""
     parts = []
     frame = pd.DataFrame({"network": network, "src": src, "dst": dst})
     for name, g in frame.groupby("network"):
         ids, flat = np.unique(g[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
-        union = Union(len(ids))
-        for x, y in flat.reshape(-1, 2).tolist():
-            union.join(x, y)
-        roots = np.array([union.find(i) for i in range(len(ids))])
-        least = np.full(len(ids), len(ids))
-        np.minimum.at(least, roots, np.arange(len(ids)))
-        root = least[roots]
+        a, b = flat.reshape(-1, 2).T
+        root = least_labels(a, b, len(ids))
         tied = root != np.arange(len(ids))
         parts.append(pd.DataFrame({"network": name, "src": ids[root[tied]], "dst": ids[tied]}))
     return pd.concat(parts) if parts else frame
 
 
 def _stars(batches):
+    held, n = [], 0
     for b in batches:
-        yield star_edges(b["network"], b["src"], b["dst"])
-
-
-#: Edges (24 bytes each) that the task of a network takes at most; larger networks go by rounds over all tasks.
-TASK_EDGES = 1_000_000
+        held.append(b)
+        n += len(b)
+        if n >= BATCH_EDGES:
+            held = [star_edges(*(pd.concat([x[c] for x in held]) for c in ("network", "src", "dst")))]
+            if len(held[0]) > BATCH_EDGES // 2:  # little to gain from holding them on
+                yield held.pop()
+            n = sum(map(len, held))
+    if held:
+        yield star_edges(*(pd.concat([x[c] for x in held]) for c in ("network", "src", "dst")))
 
 
 def _star_round(edges: DataFrame, large: bool) -> DataFrame:
@@ -58,43 +75,31 @@ def _star_round(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("src < dst").distinct()
 
 
-def fit_tasks(edges: DataFrame, task_edges: int = TASK_EDGES) -> bool:
-    """Does each network's table of edges fit a task? The count decides how its rounds run, not what they give."""
-    most = edges.groupBy("network").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (most or 0) <= task_edges
+def _starry(edges: DataFrame) -> bool:
+    """Is each vertex either tied to one other, or tied to by others, and not both?"""
+    ends = edges.select("network", F.explode(F.array(F.struct(F.col("src").alias("v"), F.lit(0).alias("tied")), F.struct(F.col("dst").alias("v"), F.lit(1).alias("tied")))).alias("e"))
+    seen = ends.groupBy("network", "e.v").agg(F.sum("e.tied").alias("ties"), F.min("e.tied").alias("least"))
+    return seen.where((F.col("ties") > 1) | ((F.col("ties") == 1) & (F.col("least") == 0))).isEmpty()
 
 
-def adjacency(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, places of the sources, places of the targets) of one network's edges, each edge from either end."""
-    ids, flat = np.unique(group[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
-    a, b = flat.reshape(-1, 2)[(group["src"] != group["dst"]).to_numpy()].T
-    return ids, np.r_[a, b], np.r_[b, a]
-
-
-def star_components(edges: DataFrame, task_edges: int = TASK_EDGES, most_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(network, src, dst) with src < dst -> network, v, component for all vertices of edges but the least ones of components.
 
-    Each batch of edges shrinks to stars. Where at most task_edges of a network are left its task ends it by union-find;
-    else large and small stars in turn tie all vertices to their least one, with a combining aggregation and one join a
-    round: no vertex's neighbours are gathered.
+    The edges that a task holds shrink to stars, at most one edge per vertex. Then large and small stars in turn tie all
+    vertices to their least one, with a combining aggregation and one join a round (no vertex's neighbours are gathered),
+    and tasks shrink what they hold again, until all edges form stars.
     """
-    now = settled(edges.select("network", "src", "dst").mapInPandas(_stars, EDGE_SQL))
-    if fit_tasks(now, task_edges):
-        now = now.groupBy("network").applyInPandas(lambda g: star_edges(g["network"], g["src"], g["dst"]), EDGE_SQL)
-        return now.select("network", F.col("dst").alias("v"), F.col("src").alias("component"))
-    sign = None
+    now = settled(edges.select("network", "src", "dst").where("src < dst").mapInPandas(_stars, EDGE_SQL))
     for _ in range(most_rounds):
-        now = settled(_star_round(_star_round(now, True), False), now)
-        r = now.select(F.count(F.lit(1)), F.sum(F.xxhash64("network", "src", "dst").cast("decimal(38,0)"))).first()
-        if sign == tuple(r):  # equal sums of hashes: each vertex hangs on its least one
+        if _starry(now):
             return now.select("network", F.col("dst").alias("v"), F.col("src").alias("component"))
-        sign = tuple(r)
+        now = settled(_star_round(_star_round(now, True), False).mapInPandas(_stars, EDGE_SQL), now)
     raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
 
 
-def components(edges: DataFrame, vertices: DataFrame | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """network, v, component (its least vertex); vertices without edges are components of their own."""
-    found = star_components(edges, task_edges)
+    found = star_components(edges)
     all_of = (vertices if vertices is not None else vertices_of(edges)).select("network", "v")
     return all_of.join(found, ["network", "v"], "left").select("network", "v", F.coalesce("component", "v").alias("component"))
 
@@ -118,60 +123,31 @@ def lcc_slcc(labels: DataFrame, slcc_ties: str = "distinct") -> DataFrame:
 
 def k_core(edges: DataFrame, k: int = 2, most_rounds: int = 10_000) -> DataFrame:
     """The edges of the k-core: vertices of lower degree are peeled until none is left. k = 2 takes trees off."""
+    now = settled(edges.where("src != dst").select("network", "src", "dst"))
     for _ in range(most_rounds):
-        weak = degrees(edges).where(F.col("degree") < k).select("network", "v")
+        weak = degrees(now).where(F.col("degree") < k).select("network", "v")
         if weak.isEmpty():
-            return edges
-        edges = settled(edges.where("src != dst").join(weak.withColumnRenamed("v", "src"), ["network", "src"], "left_anti").join(weak.withColumnRenamed("v", "dst"), ["network", "dst"], "left_anti").select("network", "src", "dst"))
+            return now
+        now = settled(now.join(weak.withColumnRenamed("v", "src"), ["network", "src"], "left_anti").join(weak.withColumnRenamed("v", "dst"), ["network", "dst"], "left_anti").select("network", "src", "dst"), now)
     raise RuntimeError("no fixpoint")
 
 
-def _core_numbers(group: pd.DataFrame) -> pd.DataFrame:
-    """The core number of each vertex of one network: vertices leave by degree, lowest first."""
-    ids, src, dst = adjacency(group)
-    n = len(ids)
-    order = np.argsort(src, kind="stable")
-    near, start = dst[order].tolist(), np.r_[0, np.cumsum(np.bincount(src, minlength=n))].tolist()
-    degree = np.bincount(src, minlength=n)
-    by_degree = np.argsort(degree, kind="stable")
-    place = np.empty(n, np.int64)
-    place[by_degree] = np.arange(n)
-    first = np.searchsorted(degree[by_degree], np.arange(int(degree.max(initial=0)) + 2)).tolist()  # where each degree begins
-    left, spot, row = degree.tolist(), place.tolist(), by_degree.tolist()
-    for i in range(n):
-        v = row[i]
-        for y in near[start[v] : start[v + 1]]:
-            if left[y] > left[v]:  # y moves to the front of its degree, then one degree down
-                k, at = left[y], spot[y]
-                begin = max(first[k], i + 1)
-                other = row[begin]
-                row[begin], row[at], spot[y], spot[other] = y, other, begin, at
-                first[k], left[y] = begin + 1, k - 1
-    return pd.DataFrame({"network": group["network"].iloc[0], "v": ids, "core": left})
-
-
-def coreness(edges: DataFrame, normalise: bool = False, most_rounds: int = 10_000, task_edges: int = TASK_EDGES) -> DataFrame:
-    """network, v, core. Networks that fit a task are peeled there; else each vertex's value falls to the h-index of its neighbours' values until none moves, all k at once."""
-    if fit_tasks(edges := settled(edges.select("network", "src", "dst")), task_edges):
-        now = edges.groupBy("network").applyInPandas(_core_numbers, "network string, v long, core long")
-    else:
-        now = _coreness_by_rounds(edges, most_rounds)
-    if normalise:
-        now = settled(now)
-        now = now.join(now.groupBy("network").agg(F.max("core").alias("top")), "network").select("network", "v", F.try_divide("core", "top").alias("core"))
-    return now
-
+def coreness(edges: DataFrame, normalise: bool = False, most_rounds: int = 10_000) -> DataFrame:
+    """network, v, core: each vertex's value falls to the h-index of its neighbours' values until none moves, all k at once.
 
-def _coreness_by_rounds(edges: DataFrame, most_rounds: int) -> DataFrame:
+    Neighbours travel as counts by value, combined before the shuffle, so a hub's are as many rows as there are values.
+    """
     ways = settled(both_ways(edges))
-    now = before = settled(degrees(edges).select("network", "v", F.col("degree").alias("core")))
+    now = settled(degrees(edges).select("network", "v", F.col("degree").alias("core"), F.col("degree").alias("was")))
     for _ in range(most_rounds):
-        seen = ways.join(now.withColumnRenamed("v", "dst"), ["network", "dst"]).groupBy("network", F.col("src").alias("v"), "core").agg(F.count(F.lit(1)).alias("n"))
+        seen = ways.join(now.select("network", F.col("v").alias("dst"), "core"), ["network", "dst"]).groupBy("network", F.col("src").alias("v"), "core").agg(F.count(F.lit(1)).alias("n"))
         above = F.sum("n").over(Window.partitionBy("network", "v").orderBy(F.desc("core")))
         h = seen.withColumn("m", F.least("core", above)).groupBy("network", "v").agg(F.max("m").alias("h"))
-        new = settled(now.join(h, ["network", "v"], "left").select("network", "v", F.col("core").alias("was"), F.least("core", "h").alias("core")), before)
-        now, before = new.select("network", "v", "core"), new
-        if new.where("was != core").isEmpty():
+        now = settled(now.join(h, ["network", "v"], "left").select("network", "v", F.least("core", "h").alias("core"), F.col("core").alias("was")), now)
+        if now.where("was != core").isEmpty():
             discard(ways)
+            now = now.select("network", "v", "core")
+            if normalise:
+                now = now.join(now.groupBy("network").agg(F.max("core").alias("top")), "network").select("network", "v", F.try_divide("core", "top").alias("core"))
             return now
     raise RuntimeError(f"no fixpoint after {most_rounds} rounds")

@@ -21,6 +21,8 @@ from .components import settled
 from .graph import degrees, fresh, random_scores, vertices_of
 from .replay import adaptive_curve, ranked, run_rows, scored_adaptively, sequential_curve, static_curve
 
+#: Scores by rounds end when all of a network together move by less.
+TOLERANCE = 1e-6
 SCORES = "network string, heuristic string, v long, score double"
 
 
@@ -123,12 +125,12 @@ def get_degree(edges, threshold=0.1):
 
 @method("Eigenvector centrality", "EIG")
 def get_eigenvector_centrality(edges, threshold=0.1):
-    return eigenvector(edges, 50)
+    return eigenvector(edges, 1000, TOLERANCE)
 
 
 @method("PageRank", "PR")
 def get_pagerank(edges, threshold=0.1):
-    return pagerank(edges, 50)
+    return pagerank(edges, 1000, tolerance=TOLERANCE)
 
 
 @method("Betweenness", "BET")
@@ -333,22 +335,39 @@ def scores_of(key: str, edges: DataFrame, threshold: float = 0.1, found: dict[st
 REPLAYS = ("static", "lcc", "core", "peak")
 
 
+def stored_scores(key: str, done: DataFrame) -> DataFrame:
+    """The order of a stored run as scores; raises where its removals were not kept."""
+    kept = F.when(F.size("removals") > 0, F.col("removals")).otherwise(F.raise_error(F.concat(F.lit("no removals are stored of "), "network", F.lit(f", {key}"))))
+    return done.select("network", F.inline(kept)).select("network", F.lit(key).alias("heuristic"), F.col("id").alias("v"), (-F.col("removal_num")).cast("double").alias("score"))
+
+
 def run_methods(edges: DataFrame, keys: list[str], threshold: float = 0.1, replay: str = "static", done: DataFrame | None = None, options: dict | None = None) -> DataFrame:
-    """Run rows of the methods over all networks of edges; (network, heuristic, threshold) in done are skipped; dependencies run once and first."""
+    """Run rows of the methods over all networks of edges.
+
+    (network, heuristic, threshold) in done are skipped. Dependencies run once and first; those that are done give the
+    removals of their stored runs, or are found again where done has no column of removals.
+    """
     if replay not in REPLAYS:
         raise ValueError(f"replay is one of {REPLAYS}")
-    found, out, n = {}, None, vertices_of(edges)
-    for key in scheduled(keys):
-        own = edges
+    found, out, n, order = {}, None, vertices_of(edges), scheduled(keys)
+    for key in order:
+        own, earlier = edges, (options or {}).get(key, {})
+        needed_later = any(REGISTRY[k].depends_on == key for k in order)
+        ended = None
         if done is not None:
-            ended = done.where((F.col("heuristic") == key) & (F.round("threshold", 4) == round(threshold, 4))).select("network")
-            own = edges.join(ended, "network", "left_anti")
+            ended = done.where((F.col("heuristic") == key) & (F.round("threshold", 4) == round(threshold, 4)))
+            own = edges.join(ended.select("network"), "network", "left_anti")
         began = time.time()
-        found[key] = settled(scores_of(key, own, threshold, found, **(options or {}).get(key, {})))
+        scores = settled(scores_of(key, own, threshold, found, **earlier))
         took = time.time() - began
+        found[key] = scores
+        if ended is not None and needed_later:
+            here = ended.join(edges.select("network").distinct(), "network", "left_semi")
+            stored = stored_scores(key, here) if "removals" in done.columns else scores_of(key, edges.join(ended.select("network"), "network", "left_semi"), threshold, found, **earlier)
+            found[key] = settled(scores.unionByName(stored))
         if key not in keys:
             continue
-        ranks = ranked(found[key], n)
+        ranks = ranked(scores, n)
         curve = static_curve(own, ranks, threshold) if replay == "static" else sequential_curve(own, ranks, replay, threshold)
         rows = run_rows(curve, threshold, not REGISTRY[key].dynamic, took)
         out = rows if out is None else out.unionByName(rows)

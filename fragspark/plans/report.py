@@ -158,7 +158,7 @@ def least_or(runs: DataFrame, value: str, keys: list[str], default: float = floa
 
 
 def listed(runs: DataFrame, names: list[str], column: str = "network") -> DataFrame:
-    """Only the runs of a list under review; the list is a table, so it may be long."""
+    """Only the runs of listed networks; the list is a table, so it may be long."""
     return runs.join(runs.sparkSession.createDataFrame([(n,) for n in names], f"{column} string").distinct(), column, "left_semi")
 
 

@@ -178,6 +178,15 @@ def runs_append_read(spark, d):
     return rounded(U.read_runs(spark, [at]).select("network", "heuristic", "rem_num", "r_auc"), "r_auc")
 
 
+@query(f"{WITH} SELECT '00' || network AS network, heuristic, count(*) AS n FROM runs GROUP BY ALL UNION ALL SELECT network || 'e3', heuristic, count(*) FROM runs GROUP BY ALL")
+def runs_named_like_numbers(spark, d):
+    """Network names such as 007 and 1e3 come back from the folders as they are."""
+    at = stored(spark, "runs")
+    for name in (F.concat(F.lit("00"), "network"), F.concat("network", F.lit("e3"))):
+        U.append_runs(runs(spark, d).select(name.alias("network"), "heuristic", "rem_num"), at)
+    return U.read_runs(spark, [at]).groupBy("network", "heuristic").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"{WITH} SELECT network, heuristic, rem_num, slcc_peak_at % 5 + 1 AS points, round(CASE slcc_peak_at % 5 WHEN 0 THEN 0.5 WHEN 1 THEN 0.75 WHEN 2 THEN 11 / 12.0 WHEN 3 THEN 25 / 24.0 ELSE 137 / 120.0 END, 6)::DOUBLE AS lcc FROM runs WHERE network = '1'")
 def runs_csv_read(spark, d):
     """CSV files with literal removals, appended twice, read back."""
@@ -288,7 +297,7 @@ def runs_at_threshold(spark, d):
 
 
 @query(f"{WITH} SELECT run_id FROM runs WHERE network IN ('1', '4')")
-def runs_review_list(spark, d):
+def runs_listed_networks(spark, d):
     return Q.listed(runs(spark, d), ["1", "4", "4", "no such network"]).select("run_id")
 
 

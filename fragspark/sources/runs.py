@@ -30,7 +30,7 @@ def read_runs(spark: SparkSession, files: list[str], include_removals: bool = Tr
             if "removals" in df.columns:
                 df = df.withColumn("removals", read_removals(F.col("removals")))
         else:
-            df = spark.read.parquet(f)
+            df = spark.read.schema(_names_as_text(spark.read.parquet(f).schema)).parquet(f)
         for name in expected:
             if name not in df.columns:
                 raise ValueError(f"{f} has no column {name}")
@@ -44,6 +44,11 @@ def read_runs(spark: SparkSession, files: list[str], include_removals: bool = Tr
     return out.drop(*exclude, *([] if include_removals else ["removals"]))
 
 
+def _names_as_text(schema: T.StructType) -> T.StructType:
+    """The schema with the partition column of networks as text: a folder network=007 is the network "007", not 7."""
+    return T.StructType([T.StructField(x.name, T.StringType()) if x.name == "network" else x for x in schema])
+
+
 def columns_of(spark: SparkSession, file: str) -> list[str]:
     """The heading of a CSV file."""
     return spark.read.option("header", True).csv(file).columns if file.endswith(".csv") else spark.read.parquet(file).columns

@@ -13,6 +13,7 @@ from fragspark.operators import kernels as K
 from fragspark.operators import methods as M
 from fragspark.operators import replay as R
 from fragspark.plans import report as Q
+from fragspark.schema import RUN as RUN_SCHEMA
 from fragspark.sources import graphs as IO
 from fragspark.sources import runs as RUNS
 
@@ -202,7 +203,7 @@ def test_entry_without_the_subpackage():
 def test_coreness_raises_without_a_fixpoint(spark):
     chain = edges(spark, [(i, i + 1) for i in range(12)])
     with pytest.raises(RuntimeError):
-        P.coreness(chain, most_rounds=2, task_edges=0)
+        P.coreness(chain, most_rounds=2)
     assert {r.core for r in P.coreness(chain).collect()} == {1}
 
 
@@ -247,15 +248,78 @@ def test_whole_graphs_equal_brute_force(spark, tmp_path):
     assert not [x for x in ORACLES if x.startswith("whole_") and x != "whole_nan_census"]
 
 
-def test_rounds_over_all_tasks_give_what_one_task_gives(spark):
-    from fragspark.operators import centrality as C
-    from fragspark.operators import components as P
-    from fragspark.operators import graph as G
-
-    e = G.with_isolated(G.erdos_renyi(spark, "er", 60, 0.04, 3).union(G.erdos_renyi(spark, "other", 30, 0.08, 4)), spark.createDataFrame([("er", 900), ("er", 3)], "network string, v long"))
-    rows = lambda df: sorted((r[0], r[1], round(float(r[2]), 9)) for r in df.collect())
-    assert rows(P.components(e)) == rows(P.components(e, task_edges=0))
-    assert rows(P.coreness(e)) == rows(P.coreness(e, task_edges=0))
-    assert rows(C.pagerank(e, 7)) == rows(C.pagerank(e, 7, task_edges=0))
-    assert rows(C.eigenvector(e, 7)) == rows(C.eigenvector(e, 7, task_edges=0))
-    assert ("er", 900, 0.0) in rows(G.degrees(e)) and ("er", 900, 900.0) in rows(P.components(e))
+def test_rounds_over_all_tasks_equal_plain_ones(spark):
+    """Rows lie in several partitions that are not put together, as at scale; the plain rounds are dictionaries."""
+    e = G.with_isolated(G.erdos_renyi(spark, "er", 60, 0.04, 3).union(G.erdos_renyi(spark, "other", 30, 0.08, 4)), spark.createDataFrame([("er", 900), ("er", 3)], "network string, v long")).repartition(5)
+    near = {}
+    for r in e.collect():
+        own = near.setdefault(r.network, {})
+        own.setdefault(r.src, set())
+        own.setdefault(r.dst, set())
+        if r.src != r.dst:
+            own[r.src].add(r.dst)
+            own[r.dst].add(r.src)
+    label, core, rank, vector = {}, {}, {}, {}
+    for net, own in near.items():
+        n, x, y = len(own), dict.fromkeys(own, 1 / len(own)), dict.fromkeys(own, 1.0)
+        alone = [v for v in own if not own[v]]
+        for v in sorted(own):
+            stack = [v] if (net, v) not in label else []
+            while stack:
+                u = stack.pop()
+                if (net, u) not in label:
+                    label[net, u] = v
+                    stack += own[u]
+        for k in range(n):
+            left = dict(own)
+            while weak := [v for v in left if len(own[v] & left.keys()) < k]:
+                left = {v: own[v] for v in left if v not in weak}
+            core.update({(net, v): k for v in left})
+        for _ in range(7):
+            spread = sum(x[v] for v in alone) / n
+            x = {v: 0.15 / n + 0.85 * (sum(x[u] / len(own[u]) for u in own[v]) + spread) for v in own}
+            y = {v: sum(y[u] for u in own[v]) for v in own}
+            length = sum(z * z for z in y.values()) ** 0.5
+            y = {v: z / length for v, z in y.items()}
+        rank.update({(net, v): z for v, z in x.items()})
+        vector.update({(net, v): z for v, z in y.items()})
+    rows = lambda df: {(r[0], r[1]): r[2] for r in df.collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert rows(P.components(e)) == label and rows(P.coreness(e)) == core
+        assert rows(C.pagerank(e, 7)) == pytest.approx(rank) and rows(C.eigenvector(e, 7)) == pytest.approx(vector)
+        ring = edges(spark, [(i, (i + 1) % 300) if i < 299 else (0, 299) for i in range(300)]).repartition(7)
+        assert {r.component for r in P.components(ring).collect()} == {0}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ("er", 900, 0) in {tuple(r) for r in G.degrees(e).collect()} and label["er", 900] == 900
+
+
+def test_rounds_end_by_tolerance(spark):
+    e = edges(spark, [(0, i) for i in range(1, 6)] + [(1, 2)])
+    close, far = ({r.v: r.score for r in C.pagerank(e, 500, tolerance=t).collect()} for t in (0.1, 1e-3))
+    assert close == pytest.approx(far, abs=0.1) and close != far and sum(far.values()) == pytest.approx(1)
+    x = {r.v: r.score for r in C.eigenvector(e, 500, 0.05).collect()}
+    top = (x[1] + x[2] + x[3] + x[4] + x[5]) / x[0]
+    assert all(abs(top * x[v] - sum(x[u] for u in near)) < 0.1 for v, near in {1: (0, 2), 2: (0, 1), 3: (0,), 4: (0,), 5: (0,)}.items())
+
+
+def test_dependencies_come_from_stored_runs(spark):
+    rnd = random.Random(4)
+    e = edges(spark, sorted({tuple(sorted(rnd.sample(range(14), 2))) for _ in range(30)}))
+    whole = M.run_methods(e, ["GND", "GNDR"], 0.3).collect()
+    first = [r for r in whole if r.heuristic == "GND"]
+    again = M.run_methods(e, ["GNDR"], 0.3, done=spark.createDataFrame(first, RUN_SCHEMA)).collect()
+    assert [(r.heuristic, r.removals) for r in again] == [(r.heuristic, r.removals) for r in whole if r.heuristic == "GNDR"] and again
+    slim = spark.createDataFrame([("g", "GND", 0.3)], "network string, heuristic string, threshold double")
+    assert [r.removals for r in M.run_methods(e, ["GNDR"], 0.3, done=slim).collect()] == [r.removals for r in again]
+    bare = spark.createDataFrame([(*r[:5], [], *r[6:]) for r in [tuple(first[0][c] for c in RUN_SCHEMA.names)]], RUN_SCHEMA)
+    with pytest.raises(PySparkException, match="no removals"):
+        M.run_methods(e, ["GNDR"], 0.3, done=bare).collect()
+
+
+def test_networks_keep_their_names_in_folders(spark, tmp_path):
+    names = ["007", "1e3", "2026-01-01", "true", "a b"]
+    rows = spark.createDataFrame([(n, "m", 1, 0.5, 0.25, None, True, 1.0, 2, None, None, 0.1) for n in names], RUN_SCHEMA)
+    RUNS.append_runs(rows, f"{tmp_path}/runs")
+    assert sorted(r.network for r in RUNS.read_runs(spark, [f"{tmp_path}/runs"]).collect()) == sorted(names)
