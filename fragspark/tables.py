@@ -68,6 +68,15 @@ def scratch() -> Iterator[None]:
         _open.pop()
 
 
+def kept(table: DataFrame) -> DataFrame:
+    """The table outlives the scratch() that it was written in, and belongs to the one around."""
+    own = next((x for x in _open[-1] if x.written_at == table.written_at), None)
+    if own is not None and len(_open) > 1:
+        _open[-1].remove(own)
+        _open[-2].append(own)
+    return table
+
+
 @atexit.register
 def _leave() -> None:
     with suppress(Exception):  # the session may be gone, and its folder with it

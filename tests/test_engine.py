@@ -308,12 +308,12 @@ def test_dependencies_come_from_stored_runs(spark):
     rnd = random.Random(4)
     e = edges(spark, sorted({tuple(sorted(rnd.sample(range(14), 2))) for _ in range(30)}))
     whole = M.run_methods(e, ["GND", "GNDR"], 0.3).collect()
-    first = [r for r in whole if r.heuristic == "GND"]
+    first = [tuple(r[c] for c in RUN_SCHEMA.names) for r in whole if r.heuristic == "GND"]
     again = M.run_methods(e, ["GNDR"], 0.3, done=spark.createDataFrame(first, RUN_SCHEMA)).collect()
     assert [(r.heuristic, r.removals) for r in again] == [(r.heuristic, r.removals) for r in whole if r.heuristic == "GNDR"] and again
     slim = spark.createDataFrame([("g", "GND", 0.3)], "network string, heuristic string, threshold double")
     assert [r.removals for r in M.run_methods(e, ["GNDR"], 0.3, done=slim).collect()] == [r.removals for r in again]
-    bare = spark.createDataFrame([(*r[:5], [], *r[6:]) for r in [tuple(first[0][c] for c in RUN_SCHEMA.names)]], RUN_SCHEMA)
+    bare = spark.createDataFrame([(*first[0][:5], [], *first[0][6:])], RUN_SCHEMA)
     with pytest.raises(PySparkException, match="no removals"):
         M.run_methods(e, ["GNDR"], 0.3, done=bare).collect()
 
