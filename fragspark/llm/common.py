@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import discard, scratch, shared_dir, shared_path, written  # noqa: F401  the operators take them from here
+from ..tables import discard, kept, scratch, shared_dir, shared_path, written  # noqa: F401  the operators take them from here
 
 #: White space of the text rules: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -23,6 +23,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores after them as make them differ from every column in taken."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

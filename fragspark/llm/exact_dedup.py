@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, written
+from .common import WHITE, free_names, written
 
 
 def normalised(text: Column) -> Column:
@@ -38,7 +38,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = body.select(
         "doc_id", "points", "content", F.unhex(F.sha2("content", 256)).alias("digest"),
         F.xxhash64("content").alias("check"), F.octet_length("content").alias("bytes"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
+        (F.monotonically_increasing_id() % salts).cast("int").alias("salt"),
     )
     sign = ["digest", "check", "bytes"]
     # ~id turns the order of ids round without overflow; a null id is the least, so it loses.
@@ -60,12 +60,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; rows that repeat a kept id and text stay once."""
+    """The rows of docs that exact_dedup keeps, with all their columns; rows that repeat a kept id and text stay once.
+
+    Columns of docs may have any names. Nulls, ties and empty texts and tables go as exact_dedup says.
+    """
+    key_id, key_sha, times_of = free_names(docs.columns, "key_id", "key_sha", "times")
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    verdict = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_key_id"), F.unhex("text_sha256").alias("_key_sha"))
-    times = verdict.groupBy("_key_id", "_key_sha").agg(F.count(F.lit(1)).alias("_times"))
-    keyed = docs.withColumns({"_key_id": ident, "_key_sha": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
+    verdict = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias(key_id), F.unhex("text_sha256").alias(key_sha))
+    times = verdict.groupBy(key_id, key_sha).agg(F.count(F.lit(1)).alias(times_of))
+    keyed = docs.withColumns({key_id: ident, key_sha: F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
     # The keys are hashed, a partition's share of them at a time; the texts stream past and are not sorted.
-    kept = keyed.join(times.hint("shuffle_hash"), ["_key_id", "_key_sha"])
-    again = kept.where("_times > 1").dropDuplicates(["_key_id", "_key_sha"])
-    return kept.where("_times = 1").unionByName(again).drop("_key_id", "_key_sha", "_times")
+    kept = keyed.join(times.hint("shuffle_hash"), [key_id, key_sha])
+    again = kept.where(F.col(times_of) > 1).dropDuplicates([key_id, key_sha])
+    return kept.where(F.col(times_of) == 1).unionByName(again).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crammed, table_of, uncrammed, written
+from .common import arrow_map, crammed, free_names, table_of, uncrammed, written
 from .components import components
 
 SHINGLE, PERCENT, RARE, HOT_IN_BATCH = 5, 75, 64, 64
@@ -313,6 +313,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
 
 def near_deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component; rows with a null doc_id stay, and so do rows that repeat the id that stays."""
-    kept = ngram_components(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose doc_id is the least of its component; rows with a null doc_id stay, and so do rows that repeat the id that stays. Columns of docs may have any names."""
+    (name,) = free_names(docs.columns, "kept_id")
+    kept = ngram_components(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_semi").unionByName(docs.where("doc_id is null"))

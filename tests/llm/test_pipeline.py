@@ -52,3 +52,27 @@ def test_stages_equal_brute_force(spark):
     pieces = got.collect()
     for d, t in texts.items():
         assert sum(p.length for p in pieces if p.doc_id == d) == len(library.encode(t, add_special_tokens=False).ids) + 1
+
+
+def test_stages_take_nulls_repeats_clashing_names_and_empty_tables(spark):
+    """Columns are named as the stages name their own; rows keep them whole."""
+    names = ("_times", "_kept", "_key_id", "_key_sha", "key_id", "key_sha", "times", "kept_id", "kept_id_", "row", "spans", "kept", "digest", "block")
+    text = " ".join(f"plain words number {i} of a long enough text" for i in range(40))
+    rows = [(1, text, "en", "a", 1), (2, text, "en", None, 1), (3, None, None, "a", None), (None, "no id here, but some words", "en", "a", 1), (4, "", "en", "a", 0), (1, text, "en", "a", 1), (5, "x " * 30000, "en", "b", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame([(*r, *(f"{c}{i}" for c in names)) for i, r in enumerate(rows)], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    for table in (docs, docs.limit(0)):
+        exact = stages["exact"](spark, table, DATA)
+        near = stages["near"](spark, spark.createDataFrame(exact.collect(), exact.schema), DATA)
+        whole = stages["substrings"](spark, spark.createDataFrame(near.collect(), near.schema), DATA)
+        assert exact.columns == near.columns == whole.columns == docs.columns
+        for got in (exact, near):
+            found = got.collect()
+            assert all(r[c].startswith(c) and r[c][len(c):] == r["row"][3:] for r in found for c in names)
+        if table is docs:
+            assert sorted((r.doc_id or 0, len(r.text or "")) for r in near.collect()) == sorted([(1, len(text)), (0, 26), (3, 0), (5, 60000)])
+            assert {r.doc_id for r in stages["packing"](spark, whole, DATA).collect()} == {1, None, 3, 5}
+        else:
+            assert not exact.collect() and not near.collect() and not whole.collect()
+        assert set(stages["quality"](spark, table, DATA).columns) == set(docs.columns)
