@@ -89,7 +89,9 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     vertices to their least one, with a combining aggregation and one join a round (no vertex's neighbours are gathered),
     and tasks shrink what they hold again, until all edges form stars.
     """
-    now = settled(edges.select("network", "src", "dst").where("src < dst").mapInPandas(_stars, EDGE_SQL))
+    # A vertex hangs on one other at most in each batch, so all its ties meet without a hub's doing so.
+    thin = edges.select("network", "src", "dst").where("src < dst").mapInPandas(_stars, EDGE_SQL)
+    now = settled(thin.repartition("network", "dst").mapInPandas(_stars, EDGE_SQL))
     for _ in range(most_rounds):
         if _starry(now):
             return now.select("network", F.col("dst").alias("v"), F.col("src").alias("component"))
