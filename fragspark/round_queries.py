@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import components as P
 from .operators import decycling as D
+from .operators import entropy as N
 from .operators import forest as T
 from .operators import live as L
 from .operators import replay as R
@@ -103,3 +104,12 @@ def components_by_batches(spark, d):
     ranks = written(R.ranked(order), "ranks")
     last = ranks.agg(F.max("removal_num")).first()[0] or 0
     return L.batched_sizes(e, ranks.where(F.col("removal_num") <= last - last % BATCH), BATCH).where("lcc is not null").select(F.col("removal_num").cast("long").alias("removal_num"), "lcc")
+
+
+@query()
+def spectral_entropy(spark, d):
+    """The spectral entropy of the graph of all customers and suppliers at three diffusion times, its vertices and components."""
+    found = N.quadrature(graph(spark, Whole(d), "custsupp"), steps=12)
+    parts = [N.entropies(found, N.diffusion_time(beta)).select("network", F.lit(beta).alias("beta"), "tau", "entropy") for beta in (0.9, 0.33, 0.01)]
+    out = found.select("network", "n", "zeros").join(parts[0].unionByName(parts[1]).unionByName(parts[2]), "network")
+    return rounded(out.select("beta", "n", "zeros", "tau", "entropy"), "tau", "entropy", digits=4)
