@@ -12,7 +12,8 @@ from .operators import forest as T
 from .operators import live as L
 from .operators import replay as R
 from .operators import spectral as E
-from .operators.graph import clean_edges, vertices_of
+from .operators.graph import both_ways, clean_edges, vertices_of
+from .operators.reinsertion import reinserted
 from .queries import ADAPTIVE, Whole, curve_sql, degree_scores, edges_cte, graph, query, rounded, table, whole_sql
 from .tables import written
 
@@ -113,3 +114,29 @@ def spectral_entropy(spark, d):
     parts = [N.entropies(found, N.diffusion_time(beta)).select("network", F.lit(beta).alias("beta"), "tau", "entropy") for beta in (0.9, 0.33, 0.01)]
     out = found.select("network", "n", "zeros").join(parts[0].unionByName(parts[1]).unionByName(parts[2]), "network")
     return rounded(out.select("beta", "n", "zeros", "tau", "entropy"), "tau", "entropy", digits=4)
+
+
+def parts_out(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the graph of suppliers and parts the parts, and a tenth of all vertices as the target."""
+    n = vertices_of(edges).groupBy("network").agg(F.ceil(F.count(F.lit(1)) * 0.1).alias("target"))
+    return vertices_of(edges).where("v % 2 = 1"), n
+
+
+@query(whole_sql(f"WITH {edges_cte('sp50')} SELECT (SELECT count(*) FROM d) AS vertices, (SELECT count(*) FROM d WHERE v % 2 = 1) AS removed, true AS below_target, 0::BIGINT AS could_return"))
+def reinserted_network(spark, d):
+    """The whole supplier-part graph after its parts came back: is every component below a tenth of all vertices, and how many of the parts that stay out could come back alone."""
+    e = written(graph(spark, Whole(d), "sp50"), "edges")
+    removed, target = parts_out(e)
+    out = written(reinserted(e, removed, target), "out")
+    left = e
+    for end in ("src", "dst"):
+        left = left.join(out.select("network", F.col("v").alias(end)), ["network", end], "left_anti")
+    labels = written(P.components(left, vertices_of(e).join(out, ["network", "v"], "left_anti")), "labels")
+    sizes = written(P.component_sizes(labels), "sizes")
+    largest = sizes.groupBy("network").agg(F.max("size").alias("largest"))
+    touched = both_ways(e).join(out.withColumnRenamed("v", "src"), ["network", "src"], "left_semi").join(labels.withColumnRenamed("v", "dst"), ["network", "dst"]).select("network", "src", "component").distinct()
+    made = touched.join(sizes, ["network", "component"]).groupBy("network", "src").agg((F.sum("size") + 1).alias("made")).join(target, "network")
+    could = made.groupBy("network").agg(F.sum((F.col("made") < F.col("target")).cast("long")).alias("could_return"))
+    n = vertices_of(e).groupBy("network").agg(F.count(F.lit(1)).alias("vertices"), F.sum((F.col("v") % 2 == 1).cast("long")).alias("removed"))
+    rows = n.join(target, "network").join(largest, "network").join(could, "network", "left")
+    return rows.select("vertices", "removed", (F.col("largest") < F.col("target")).alias("below_target"), F.coalesce("could_return", F.lit(0)).alias("could_return"))
