@@ -47,3 +47,12 @@ def test_no_component_reaches_the_target_and_none_more_could_return(spark):
             assert largest_of(pairs, n, got[g] - {v})[v] >= targets[g]
         graph = K.Graph([a for a, _ in pairs], [b for _, b in pairs])
         assert len(got[g]) <= 1.3 * len(K.reinserted(graph, sorted(gone[g]), targets[g])) + 1
+
+
+def test_empty_tables_repeated_rows_nulls_and_vertices_without_edges(spark):
+    edge, vertex = "network string, src long, dst long", "network string, v long"
+    target = spark.createDataFrame([("g", 3)], "network string, target long")
+    assert reinserted(spark.createDataFrame([], edge), spark.createDataFrame([], vertex), target).collect() == []
+    e = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 5, 5)], edge)
+    out = spark.createDataFrame([("g", 2), ("g", 2), ("g", None), ("g", 5), ("other", 1)], vertex)
+    assert [r.v for r in reinserted(e, out, target).collect()] == [2]
