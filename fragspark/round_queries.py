@@ -10,6 +10,7 @@ from .operators import decycling as D
 from .operators import entropy as N
 from .operators import forest as T
 from .operators import live as L
+from .operators import optimum as O
 from .operators import replay as R
 from .operators import spectral as E
 from .operators.graph import both_ways, clean_edges, vertices_of
@@ -140,3 +141,30 @@ def reinserted_network(spark, d):
     n = vertices_of(e).groupBy("network").agg(F.count(F.lit(1)).alias("vertices"), F.sum((F.col("v") % 2 == 1).cast("long")).alias("removed"))
     rows = n.join(target, "network").join(largest, "network").join(could, "network", "left")
     return rows.select("vertices", "removed", (F.col("largest") < F.col("target")).alias("below_target"), F.coalesce("could_return", F.lit(0)).alias("could_return"))
+
+
+#: Every order as a network of its suppliers and parts; sets of three are never needed among so few lines.
+LEAST_REMOVALS = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS g, l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem),
+s AS (SELECT g, a, b FROM e UNION ALL SELECT g, b, a FROM e), d AS (SELECT DISTINCT g, a AS v FROM s),
+n AS (SELECT g, ceil(count(*) * 0.3::DOUBLE) AS stop FROM d GROUP BY g),
+sets AS (SELECT g, []::BIGINT[] AS gone FROM n UNION ALL SELECT g, [v] FROM d UNION ALL SELECT x.g, [x.v, y.v] FROM d x JOIN d y ON x.g = y.g AND x.v < y.v),
+reach(g, gone, v, w) AS (SELECT g, gone, v, v FROM sets JOIN d USING (g) WHERE NOT list_contains(gone, v)
+  UNION SELECT r.g, r.gone, r.v, s.b FROM reach r JOIN s ON s.g = r.g AND s.a = r.w WHERE NOT list_contains(r.gone, s.b)),
+size AS (SELECT g, gone, v, count(*) AS size FROM reach GROUP BY ALL),
+lcc AS (SELECT g, gone, len(gone) AS k, max(size) AS lcc FROM size GROUP BY ALL),
+least AS (SELECT g, min(k) AS k FROM lcc JOIN n USING (g) WHERE lcc <= stop GROUP BY g),
+low AS (SELECT g, k, min(lcc) AS lcc FROM lcc JOIN least USING (g, k) GROUP BY ALL),
+best AS (SELECT g, k, lcc, gone FROM lcc JOIN low USING (g, k, lcc))
+SELECT g::VARCHAR AS network, v::BIGINT AS v, k::INTEGER AS k, lcc::BIGINT AS lcc, round(avg(list_contains(gone, v)::INTEGER), 6) AS target FROM best JOIN d USING (g) GROUP BY ALL"""
+
+
+def orders_as_networks(spark, d) -> DataFrame:
+    """Each order as a network: its suppliers and their parts."""
+    line = table(spark, d, "lineitem")
+    return clean_edges(line.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"), "l_orderkey"), network=F.col("l_orderkey").cast("string"))
+
+
+@query(LEAST_REMOVALS)
+def least_removals(spark, d):
+    """Of each order's network the share of its smallest removal sets that hold each vertex: what a learner is trained on."""
+    return rounded(O.best_sets(orders_as_networks(spark, d), threshold=0.3), "target")
