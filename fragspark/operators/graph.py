@@ -48,8 +48,9 @@ def degrees(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
 
 
 def degree_normalised(edges: DataFrame) -> DataFrame:
+    """Degrees by the largest one of the network; 0 in a network without edges."""
     d = degrees(edges)
-    return d.join(d.groupBy("network").agg(F.max("degree").alias("top")), "network").select("network", "v", (F.col("degree") / F.col("top")).alias("score"))
+    return d.join(d.groupBy("network").agg(F.max("degree").alias("top")), "network").select("network", "v", (F.col("degree") / F.greatest("top", F.lit(1))).alias("score"))
 
 
 def chi(observed: Column, expected: Column) -> Column:
