@@ -198,41 +198,3 @@ def attack_cost(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     total = edges.groupBy("network").agg(F.count(F.lit(1)).alias("total"))
     run = F.sum(F.coalesce("links", F.lit(0))).over(Window.partitionBy(*KEYS).orderBy("removal_num"))
     return at.join(gone, [*KEYS, "removal_num"], "left").join(total, "network").select(*KEYS, "removal_num", F.col("v").alias("id"), (run / F.col("total")).alias("cost"))
-
-
-def brute_force(edges: DataFrame, stop: int, most_vertices: int = 20) -> DataFrame:
-    """network, v, k, lcc, target: the share of best removal sets of the least sufficient size k that hold v (lcc: what they leave).
-
-    All subsets of a size are rows and are scored in parallel; sizes are tried from 0 on.
-    """
-    spark = edges.sparkSession
-    large = vertices_of(edges).groupBy("network").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_vertices).first()
-    if large:
-        raise ValueError(f"{large.network} has {large.n} vertices; brute force is for {most_vertices}")
-    graphs = {net: K.Graph(g["src"], g["dst"]) for net, g in edges.toPandas().groupby("network")} if not edges.isEmpty() else {}
-    out = None
-    for net, g in graphs.items():
-        def score(batches, g=g):
-            for b in batches:
-                sizes = []
-                for mask in b["mask"]:
-                    union = K.Union(g.n)
-                    for x, y in zip(g.a, g.b, strict=True):
-                        if not (mask >> int(x) | mask >> int(y)) & 1:
-                            union.join(int(x), int(y))
-                    sizes.append(max(union.size[union.find(v)] for v in range(g.n)))
-                yield b.assign(lcc=sizes)
-
-        for k in range(g.n + 1):
-            best = spark.range(1 << g.n).where(F.bit_count("id") == k).select(F.col("id").alias("mask")).mapInPandas(score, "mask long, lcc long")
-            least = best.agg(F.min("lcc")).first()[0]
-            if least <= stop:
-                break
-        sets = best.where(F.col("lcc") == least)
-        count = sets.agg(F.count(F.lit(1)).alias("sets"))
-        ids = spark.createDataFrame([(net, i, int(v)) for i, v in enumerate(g.ids)], "network string, i int, v long")
-        held = sets.crossJoin(ids).withColumn("has", F.getbit("mask", F.col("i")).cast("int")).groupBy("network", "v").agg(F.sum("has").alias("held"))
-        part = held.crossJoin(count).select("network", "v", F.lit(k).alias("k"), F.lit(int(least)).alias("lcc"), (F.when(F.lit(k) == 0, 0.0).otherwise(F.col("held") / F.col("sets"))).alias("target"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "network string, v long, k int, lcc int, target double")
-

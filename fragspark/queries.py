@@ -12,6 +12,7 @@ from .operators import centrality as C
 from .operators import components as P
 from .operators import graph as G
 from .operators import methods as M
+from .operators import optimum as O
 from .operators import replay as R
 from .operators.ranges import with_next
 from .plans import report as Q
@@ -386,7 +387,7 @@ k AS (SELECT min(k) AS k FROM lcc WHERE lcc <= 3), best AS (SELECT mask FROM lcc
 SELECT CAST(v AS BIGINT) AS v, CAST((SELECT k FROM k) AS INTEGER) AS k, round(avg((mask >> v) % 2), 6) AS target FROM best, (SELECT range AS v FROM range(10)) GROUP BY v""")
 def brute_force_optimum(spark, d):
     e = spark.createDataFrame([("ten", a, b) for a, b in TEN], "network string, src long, dst long")
-    return rounded(R.brute_force(e, 3).select("v", "k", "target"), "target")
+    return rounded(O.best_sets(e, stop=3).select("v", "k", "target"), "target")
 
 
 def made_up_weights(width: int = 4) -> dict:

@@ -12,6 +12,7 @@ from fragspark.operators import graph as G
 from fragspark.operators import kernels as K
 from fragspark.operators import methods as M
 from fragspark.operators import replay as R
+from fragspark.operators.optimum import best_sets
 from fragspark.plans import report as Q
 from fragspark.schema import RUN as RUN_SCHEMA
 from fragspark.sources import graphs as IO
@@ -85,10 +86,8 @@ def test_methods_run_with_dependencies_and_skip_what_is_done(spark):
 
 def test_brute_force_beats_heuristics(spark):
     e = edges(spark, BRIDGED)
-    got = {r.v: (r.k, r.target) for r in R.brute_force(e, 3).collect()}
+    got = {r.v: (r.k, r.target) for r in best_sets(e, stop=3).collect()}
     assert got[2][0] == 1 and got[2][1] == 0.5 and got[0][1] == 0
-    with pytest.raises(ValueError):
-        R.brute_force(edges(spark, [(i, i + 1) for i in range(30)]), 3)
 
 
 def test_adaptive_scorer(spark):
