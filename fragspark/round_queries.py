@@ -13,6 +13,8 @@ from .operators import live as L
 from .operators import optimum as O
 from .operators import replay as R
 from .operators import spectral as E
+from .operators import training as A
+from .operators.centrality import feature_matrix
 from .operators.graph import both_ways, clean_edges, vertices_of
 from .operators.reinsertion import reinserted
 from .queries import ADAPTIVE, Whole, curve_sql, degree_scores, edges_cte, graph, query, rounded, table, whole_sql
@@ -168,3 +170,13 @@ def orders_as_networks(spark, d) -> DataFrame:
 def least_removals(spark, d):
     """Of each order's network the share of its smallest removal sets that hold each vertex: what a learner is trained on."""
     return rounded(O.best_sets(orders_as_networks(spark, d), threshold=0.3), "target")
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_suppkey * 2 AS v FROM lineitem UNION SELECT l_orderkey, l_partkey * 2 + 1 FROM lineitem)
+SELECT count(DISTINCT l_orderkey) AS networks, count(*) AS vertices, 6::BIGINT AS passes, true AS fell FROM d""")
+def learned_removals(spark, d):
+    """Six passes of training on all orders' networks, towards the shares of their smallest removal sets: what was learned from, and whether the loss fell."""
+    edges = written(orders_as_networks(spark, d), "edges")
+    rows = written(A.examples_of(edges, feature_matrix(edges, ("degree", "chi_degree", "None")), O.best_sets(edges, threshold=0.3)), "examples")
+    losses = A.train(rows, A.start_weights(3, [2], [4], [4]), epochs=6, rate=0.02, steps=2)[1]
+    return rows.agg(F.count(F.lit(1)).alias("networks"), F.sum(F.size("x")).cast("long").alias("vertices")).select("networks", "vertices", F.lit(len(losses)).cast("long").alias("passes"), F.lit(losses[-1] < losses[0]).alias("fell"))
