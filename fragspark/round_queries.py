@@ -10,6 +10,7 @@ from .operators import decycling as D
 from .operators import entropy as N
 from .operators import forest as T
 from .operators import live as L
+from .operators import memory as Y
 from .operators import optimum as O
 from .operators import replay as R
 from .operators import spectral as E
@@ -180,3 +181,33 @@ def learned_removals(spark, d):
     rows = written(A.examples_of(edges, feature_matrix(edges, ("degree", "chi_degree", "None")), O.best_sets(edges, threshold=0.3)), "examples")
     losses = A.train(rows, A.start_weights(3, [2], [4], [4]), epochs=6, rate=0.02, steps=2)[1]
     return rows.agg(F.count(F.lit(1)).alias("networks"), F.sum(F.size("x")).cast("long").alias("vertices")).select("networks", "vertices", F.lit(len(losses)).cast("long").alias("passes"), F.lit(losses[-1] < losses[0]).alias("fell"))
+
+
+#: Each user's events as an episode: the reward of a step is its value in cents.
+RETURNS = """steps AS (SELECT event_id, user_id, ts, CAST(round(value * 100) AS BIGINT) AS reward FROM events),
+returns AS (SELECT event_id, sum(reward) OVER w AS n_return, lead(event_id, 5) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_state FROM steps
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))"""
+
+
+def steps_of(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "user_id", "ts", F.round(F.col("value") * 100).cast("long").alias("reward"))
+
+
+@query(f"WITH {RETURNS} SELECT event_id, CAST(n_return AS BIGINT) AS n_return, next_state, next_state IS NULL AS terminal FROM returns")
+def n_step_returns(spark, d):
+    """Each event's value and those of the user's next four, the event five on, and whether there is none."""
+    return Y.n_step(steps_of(spark, d), "user_id", ["ts", "event_id"], "reward", "event_id").select("event_id", "n_return", "next_state", "terminal")
+
+
+DRAWS = 256
+
+
+@query(f"""WITH {RETURNS}, p AS (SELECT event_id, n_return, greatest(1, CAST(round(pow(least(abs(n_return / 10000.0::DOUBLE) + 1e-7, 10), 0.6) * {Y.UNITS}) AS BIGINT)) AS units FROM returns),
+spans AS (SELECT *, CAST(sum(units) OVER (ORDER BY event_id) AS HUGEINT) AS high FROM p), total AS (SELECT CAST(sum(units) AS HUGEINT) AS total, min(units) AS low FROM p),
+draws AS (SELECT j AS draw, ((j::HUGEINT * {Y.SPREAD} + ('0x' || substr(md5('3:' || j), 1, 8))::BIGINT) * total) // ({DRAWS}::HUGEINT * {Y.SPREAD}) AS place, low FROM range({DRAWS}) r(j), total)
+SELECT draw, event_id, CAST(n_return AS BIGINT) AS n_return, round(pow(units / low, -0.4), 6) AS weight FROM draws JOIN spans ON place >= high - units AND place < high""")
+def prioritised_replay(spark, d):
+    """Draws from the memory of all events' returns, in proportion to what they are worth, with their weights."""
+    steps = Y.n_step(steps_of(spark, d), "user_id", ["ts", "event_id"], "reward", "event_id").select("event_id", "n_return", (F.col("n_return") / 10000.0).alias("error"))
+    memory = written(Y.with_priorities(steps, "error", upper=10.0), "memory")
+    return rounded(Y.drawn(memory, ["event_id"], DRAWS, seed=3).select("draw", "event_id", "n_return", "weight"), "weight")
