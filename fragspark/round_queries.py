@@ -19,6 +19,8 @@ from .operators.centrality import feature_matrix
 from .operators.graph import both_ways, clean_edges, vertices_of
 from .operators.reinsertion import reinserted
 from .queries import ADAPTIVE, Whole, curve_sql, degree_scores, edges_cte, graph, query, rounded, table, whole_sql
+from .source_queries import stored
+from .sources.places import with_places
 from .tables import written
 
 #: Rounds of messages of the registered queries; the operator itself goes on until they settle.
@@ -211,3 +213,13 @@ def prioritised_replay(spark, d):
     steps = Y.n_step(steps_of(spark, d), "user_id", ["ts", "event_id"], "reward", "event_id").select("event_id", "n_return", (F.col("n_return") / 10000.0).alias("error"))
     memory = written(Y.with_priorities(steps, "error", upper=10.0), "memory")
     return rounded(Y.drawn(memory, ["event_id"], DRAWS, seed=3).select("draw", "event_id", "n_return", "weight"), "weight")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, true AS in_file FROM orders")
+def numbered_rows(spark, d):
+    """All orders, written as CSV files in the order of their keys: each row's number over all files, and whether its number in its file is what it lies behind the file's first."""
+    at = stored(spark, "numbered")
+    table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.csv(at)
+    rows = written(with_places(spark.read.schema("o_orderkey long, o_custkey long, o_totalprice double").csv(at)), "rows")
+    first = rows.groupBy("file").agg(F.min("place").alias("first"))
+    return rows.join(first, "file").select("o_orderkey", "place", (F.col("idx") == F.col("place") - F.col("first")).alias("in_file"))

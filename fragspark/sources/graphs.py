@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import clean_edges, with_isolated, zero_based
+from .places import numbered_lines
 
 EXTENSIONS = ("graphml", "gt", "csv", "el", "edge", "edges", "edgelist", "txt", "adj", "adjacency", "net", "pajek", "parquet")
 
@@ -29,13 +30,17 @@ def list_networks(spark: SparkSession, location: str, pattern: str = "*", extens
     return sorted(found)
 
 
-def network_of_file() -> Column:
+def network_of_path(path: Column) -> Column:
     """The stem of the file; of a folder with a known ending, as Spark writes, that of the folder."""
-    folder = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)\.(?:{'|'.join(EXTENSIONS)})/[^/]+$", 1)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?(\.(gz|bz2|xz|zst))?$", 1)
+    folder = F.regexp_extract(path, rf"([^/]+)\.(?:{'|'.join(EXTENSIONS)})/[^/]+$", 1)
+    stem = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^(.*?)(\.[^.]*)?(\.(gz|bz2|xz|zst))?$", 1)
     return F.when(folder != "", folder).otherwise(stem)
 
 
+def network_of_file() -> Column:
+    return network_of_path(F.col("_metadata.file_path"))
+
+
 def _lines(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(paths).select(network_of_file().alias("network"), F.trim("value").alias("line")).where("line != '' and not line like '#%' and not line like '\\%%'")
 
@@ -159,7 +164,8 @@ def with_attributes(vertices: DataFrame, attributes: DataFrame, contiguous: bool
 
 def read_attributes(spark: SparkSession, paths, name: str = "value", sep: str = ",") -> DataFrame:
     """network, v, name: a value in each line is that of vertex 0, 1, ...; or lines of a vertex and its value."""
-    rows = spark.read.text(paths, wholetext=True).select(network_of_file().alias("network"), F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("i", "line")).where("trim(line) != ''")
+    lines = numbered_lines(spark, paths)
+    rows = lines.select(network_of_path(F.col("file")).alias("network"), F.col("idx").alias("i"), F.col("value").alias("line")).where("trim(line) != ''")
     f = F.split(F.trim("line"), re.escape(sep))
     return rows.select("network", F.when(F.size(f) > 1, f[0].try_cast("long")).otherwise(F.col("i")).cast("long").alias("v"), F.element_at(f, -1).try_cast("double").alias(name))
 

@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import read_removals, write_removals
 from ..schema import RUN
+from .places import with_places
 
 
 def read_runs(spark: SparkSession, files: list[str], include_removals: bool = True, exclude: tuple[str, ...] = (), expected: tuple[str, ...] = (), raise_on_missing: bool = True, at_least_one: bool = False, callback: Callable[[DataFrame], DataFrame] | None = None, bookkeeping: bool = False) -> DataFrame:
-    """The rows of run files (.csv or Parquet), only the columns asked for; with bookkeeping also file and idx (place within the file's task).
+    """The rows of run files (.csv or Parquet), only the columns asked for; with bookkeeping also file, idx (the row's number in its file, from 0) and place (over the files of a folder, by path).
 
     A file's missing columns are null. Missing files raise, or are passed over; without any file an empty table, or an error.
     """
@@ -27,14 +28,16 @@ def read_runs(spark: SparkSession, files: list[str], include_removals: bool = Tr
         if f.endswith(".csv"):
             text = T.StructType([T.StructField(x.name, T.StringType() if x.name == "removals" else x.dataType) for x in RUN])
             df = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"').schema(T.StructType([next((x for x in text if x.name == c), T.StructField(c, T.StringType())) for c in columns_of(spark, f)])).csv(f)
-            if "removals" in df.columns:
-                df = df.withColumn("removals", read_removals(F.col("removals")))
         else:
             df = spark.read.schema(_names_as_text(spark.read.parquet(f).schema)).parquet(f)
+        if bookkeeping:
+            df = with_places(df)
+        if f.endswith(".csv") and "removals" in df.columns:
+            df = df.withColumn("removals", read_removals(F.col("removals")))
         for name in expected:
             if name not in df.columns:
                 raise ValueError(f"{f} has no column {name}")
-        df = df.select(*(F.col(x.name).cast(x.dataType).alias(x.name) if x.name in df.columns else F.lit(None).cast(x.dataType).alias(x.name) for x in RUN), *(c for c in df.columns if c not in RUN.names), *([F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("idx")] if bookkeeping else []))
+        df = df.select(*(F.col(x.name).cast(x.dataType).alias(x.name) if x.name in df.columns else F.lit(None).cast(x.dataType).alias(x.name) for x in RUN), *(c for c in df.columns if c not in RUN.names))
         parts.append(callback(df) if callback else df)
     if not parts and at_least_one:
         raise FileNotFoundError("no run file")
