@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("convert", help="edge lists of network files")
     c.add_argument("-i", "--input", required=True)
     c.add_argument("-o", "--output", required=True)
-    c.add_argument("-eo", "--to", default="edgelist", choices=("edgelist", "csv", "graphml", "parquet"))
+    c.add_argument("-eo", "--to", default="edgelist", choices=("edgelist", "csv", "adjacency", "pajek", "graphml", "parquet"))
     return p
 
 
@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         runs.append_runs(report.best_runs(runs.read_runs(spark, a.file)), a.output)
     else:
         edges = graphs.load_networks(spark, a.input)
-        {"edgelist": graphs.write_edge_list, "csv": lambda e, o: graphs.write_edge_list(e, o, ","), "graphml": graphs.write_graphml, "parquet": lambda e, o: e.write.partitionBy("network").parquet(o)}[a.to](edges, a.output)
+        {"edgelist": graphs.write_edge_list, "csv": lambda e, o: graphs.write_edge_list(e, o, ","), "adjacency": graphs.write_adjacency, "pajek": graphs.write_pajek, "graphml": graphs.write_graphml, "parquet": lambda e, o: e.write.partitionBy("network").parquet(o)}[a.to](edges, a.output)
 
 
 if __name__ == "__main__":

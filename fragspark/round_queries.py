@@ -20,6 +20,7 @@ from .operators.graph import both_ways, clean_edges, vertices_of
 from .operators.reinsertion import reinserted
 from .queries import ADAPTIVE, Whole, curve_sql, degree_scores, edges_cte, graph, query, rounded, table, whole_sql
 from .source_queries import stored
+from .sources import graphs as IO
 from .sources.places import with_places
 from .tables import written
 
@@ -223,3 +224,19 @@ def numbered_rows(spark, d):
     rows = written(with_places(spark.read.schema("o_orderkey long, o_custkey long, o_totalprice double").csv(at)), "rows")
     first = rows.groupBy("file").agg(F.min("place").alias("first"))
     return rows.join(first, "file").select("o_orderkey", "place", (F.col("idx") == F.col("place") - F.col("first")).alias("in_file"))
+
+
+@query(whole_sql(f"WITH {edges_cte('sp50')}, i AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM d) SELECT x.i AS a, y.i AS b FROM e JOIN i x ON x.v = src JOIN i y ON y.v = dst"))
+def pajek_written(spark, d):
+    """The graph of all suppliers and parts, written as a Pajek file of several parts and read back: its edges by the vertices' numbers."""
+    at = stored(spark, "pajek")
+    IO.write_pajek(graph(spark, Whole(d), "sp50"), at)
+    return IO.pajek(spark, f"{at}/*").where("a != b").select("a", "b")
+
+
+@query(whole_sql(f"WITH {edges_cte('partco')} SELECT src, dst FROM e"))
+def adjacency_written(spark, d):
+    """The graph of all parts bought together, written as adjacency lists and read back."""
+    at = stored(spark, "adjacency")
+    IO.write_adjacency(graph(spark, Whole(d), "partco"), at)
+    return IO.adjacency_list(spark, f"{at}/*").select(F.col("a").alias("src"), F.col("b").alias("dst"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import clean_edges, with_isolated, zero_based
+from ..operators.ranges import numbered as places
+from ..tables import written
 from .places import numbered_lines
 
 EXTENSIONS = ("graphml", "gt", "csv", "el", "edge", "edges", "edgelist", "txt", "adj", "adjacency", "net", "pajek", "parquet")
@@ -175,6 +177,38 @@ def write_edge_list(edges: DataFrame, path: str, sep: str = " ") -> None:
     edges.select(F.when(F.col("src") == F.col("dst"), F.col("src").cast("string")).otherwise(F.concat_ws(sep, "src", "dst")).alias("value"), "network").write.partitionBy("network").text(path)
 
 
+#: Vertices that one line of an adjacency list spans: a hub's neighbours take several lines.
+SPAN = 1000
+
+
+def write_adjacency(edges: DataFrame, path: str) -> None:
+    """Lines of a vertex and its higher neighbours, those of one span of ids in a line; a vertex without edges is a line of its own."""
+    lines = edges.groupBy("network", "src", F.floor(F.col("dst") / SPAN).alias("span")).agg(F.array_sort(F.collect_set("dst")).alias("ends"))
+    others = F.filter("ends", lambda x: x != F.col("src"))
+    lines.select(F.concat_ws(" ", F.col("src").cast("string"), F.transform(others, lambda x: x.cast("string"))).alias("value"), "network").write.partitionBy("network").text(path)
+
+
+def pajek_lines(edges: DataFrame) -> DataFrame:
+    """network, k, i, j, value: Pajek's headings, vertices (numbered from 1 by their ids, which are their labels) and edges, to be sorted by the columns before the last."""
+    ids = written(places(edges.select("network", F.explode(F.array("src", "dst")).alias("v")).distinct(), ["network", "v"]), "vertices")
+    first = ids.groupBy("network").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = ids.join(first, "network").select("network", "v", "n", (F.col("place") - F.col("first") + 1).alias("i"))
+    pairs = edges.where("src != dst").join(named.select("network", F.col("v").alias("src"), F.col("i").alias("a")), ["network", "src"]).join(named.select("network", F.col("v").alias("dst"), F.col("i").alias("b")), ["network", "dst"])
+    none = F.lit(0).cast("long")
+    return (
+        first.select("network", F.lit(0).alias("k"), none.alias("i"), none.alias("j"), F.format_string("*Vertices %d", "n").alias("value"))
+        .union(named.select("network", F.lit(1), "i", none, F.format_string('%d "%d"', "i", "v")))
+        .union(first.select("network", F.lit(2), none, none, F.lit("*Edges")))
+        .union(pairs.select("network", F.lit(3), "a", "b", F.format_string("%d %d", "a", "b")))
+    )
+
+
+def write_pajek(edges: DataFrame, path: str) -> None:
+    """A folder per network whose files, by name, hold its Pajek text in order: a large network takes several."""
+    order = ["network", "k", "i", "j"]
+    pajek_lines(edges).repartitionByRange(*order).sortWithinPartitions(*order).select("network", "value").write.partitionBy("network").text(path)
+
+
 def graphml_lines(edges: DataFrame) -> DataFrame:
     """network, value: the lines of each network's GraphML text, those of a network in order within one task."""
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="undirected">'
