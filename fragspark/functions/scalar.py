@@ -10,15 +10,19 @@ POWERS = [(3, "K"), (6, "M"), (9, "B"), (12, " trillion"), (15, " quadrillion"),
 REMOVALS = "array<struct<removal_num int, id bigint, prediction double, lcc double, slcc double>>"
 
 
-def intword(value: Column) -> Column:
-    """1500 -> '1.5K', 1000000 -> '1M': one decimal, zeros and the point stripped, the next suffix where the figure rounds to 1000; below 1000 as it is."""
+def intword(value: Column, largest: str | None = None) -> Column:
+    """1500 -> '1.5K', 1000000 -> '1M': one decimal, zeros and the point stripped, the next suffix where the figure rounds to 1000; below 1000 as it is.
+
+    No suffix goes beyond `largest`, where one is given: with 'M' 2340000000 is '2340M'.
+    """
+    powers = POWERS if largest is None else POWERS[: [name for _, name in POWERS].index(largest) + 1]
     out = value.cast("string")
-    for i, (power, suffix) in enumerate(POWERS):
+    for i, (power, suffix) in enumerate(powers):
         chop = value / F.lit(10.0**power)
         text = F.format_string("%.1f", chop)
-        if i + 1 < len(POWERS):
-            rolled = F.when(text == "1000.0", F.lit("1.0") if i + 1 < len(POWERS) else text).otherwise(text)
-            name = F.when(text == "1000.0", POWERS[i + 1][1]).otherwise(suffix)
+        if i + 1 < len(powers):
+            rolled = F.when(text == "1000.0", F.lit("1.0")).otherwise(text)
+            name = F.when(text == "1000.0", powers[i + 1][1]).otherwise(suffix)
         else:
             rolled, name = text, F.lit(suffix)
         out = F.when(F.abs(value) >= F.lit(10.0**power), F.concat(F.regexp_replace(rolled, r"\.0$", ""), name)).otherwise(out)

@@ -107,6 +107,22 @@ def test_scalars(spark):
         one.select(S.pretty_network(F.col("o"))).collect()
 
 
+def test_suffixes_up_to_the_largest(spark):
+    rows = spark.createDataFrame([(999_960,), (999_960_000,), (1_000_000_000,), (2_340_000_000,)], "x long")
+    assert [r[0] for r in rows.select(S.intword(F.col("x"), "M")).collect()] == ["1M", "1000M", "1000M", "2340M"]
+
+
+def test_intword_equals_its_sql_beyond_a_thousand_million(spark, tmp_path):
+    import duckdb
+
+    from fragspark.queries import ORACLES, QUERIES
+
+    spark.range(15_000, 90_000, 7).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert sorted(tuple(r) for r in QUERIES["intword"](spark, str(tmp_path)).collect()) == sorted(db.sql(ORACLES["intword"]).fetchall())
+
+
 def test_run_files(spark, tmp_path):
     e = edges(spark, BRIDGED)
     runs = M.run_methods(e, ["degree"], 0.4)
