@@ -7,6 +7,7 @@ import pytest
 
 from fragspark.operators import kernels as K
 from fragspark.operators import live as L
+from fragspark.operators import replay as R
 
 EDGE = "network string, src long, dst long"
 
@@ -44,6 +45,16 @@ def test_orders_equal_recomputed_degrees(spark, block):
         assert [got[net][i] for i in range(1, len(vertices) + 1)] == want
 
 
+@pytest.mark.parametrize("candidates", [3, 7, 1000])
+def test_leaps_are_few_and_change_no_order(spark, candidates, monkeypatch):
+    e = spark.createDataFrame(random_edges(7, 60, 150) + random_edges(8, 30, 40, "h") + [("h", 99, 99)], EDGE)
+    leaps, leap = [], L._leap
+    monkeypatch.setattr(L, "_leap", lambda *a: leaps.append(1) or leap(*a))
+    got = sorted(tuple(r) for r in L.adaptive_degree(e, 0.2, 2, candidates).select("network", "removal_num", "id", "lcc", "slcc").collect())
+    want = sorted(tuple(r) for r in R.adaptive_degree_curve(e, 0.2, 2).select("network", "removal_num", "id", "lcc", "slcc").collect())
+    assert got == want and (candidates < 1000 or len(leaps) <= 2)
+
+
 def test_batches_read_only_the_components_they_touch(spark):
     rows = random_edges(3, 20, 30) + [("g", 100 + a, 100 + b) for _, a, b in random_edges(4, 20, 30)]
     e = spark.createDataFrame(rows, EDGE)
