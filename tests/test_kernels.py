@@ -142,3 +142,33 @@ def test_attention_forward_by_hand():
     weights = {"conv": [{"w": np.ones((1, 1, 1)), "left": np.zeros((1, 1)), "right": np.zeros((1, 1)), "linear": np.zeros((1, 1))}], "full": [{"w": np.ones((1, 1)), "b": np.zeros(1)}]}
     got = K.gat_forward(x, np.array([0, 1]), np.array([1, 0]), weights)
     assert np.allclose(got, 1 / (1 + np.exp(-1.5)))
+
+
+def test_removals_cost_what_they_cut_off():
+    """A long ring with hubs: relabelling the whole component at each removal would take far longer."""
+    import time
+
+    n, rnd = 20_000, np.random.default_rng(1)
+    ring = np.arange(n)
+    g = K.Graph(np.r_[ring, ring[: n // 2]], np.r_[(ring + 1) % n, rnd.integers(0, n, n // 2)])
+    began = time.process_time()
+    rows = K.forward_curve(g, np.argsort([-len(x) for x in g.near], kind="stable").tolist(), "lcc", n // 10)
+    assert rows[-1][1] <= n // 10 and time.process_time() - began < 15
+
+
+def test_live_components_equal_searched_ones():
+    for seed in range(20):
+        rnd = np.random.default_rng(seed)
+        g = K.Graph(*rnd.integers(0, 25, (2, 35)), range(25))
+        live, left = K.Live(g), set(range(25))
+        for v in rnd.permutation(25).tolist():
+            live.remove(v)
+            left.discard(v)
+            union = K.Union(25)
+            for x in left:
+                for y in g.near[x] & left:
+                    union.join(x, y)
+            want = {frozenset(y for y in range(25) if union.find(y) == union.find(x)) for x in range(25)}
+            assert {frozenset(m) for m in live.members.values()} == want and all(x in live.members[live.label[x]] for x in range(25))
+            top = max(map(len, want))
+            assert live.sizes.top("multiset")[0] == top and min(live.members[live.largest()]) == min(min(m) for m in want if len(m) == top)
