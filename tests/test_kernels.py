@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -172,3 +173,54 @@ def test_live_components_equal_searched_ones():
             assert {frozenset(m) for m in live.members.values()} == want and all(x in live.members[live.label[x]] for x in range(25))
             top = max(map(len, want))
             assert live.sizes.top("multiset")[0] == top and min(live.members[live.largest()]) == min(min(m) for m in want if len(m) == top)
+
+
+def plain_immunization(g, stop, sigma, candidates):
+    """Every candidate scored in every step."""
+    union, out, degree = K.Union(g.n), set(range(g.n)), g.degree()
+    mix = [((v + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1) for v in range(g.n)]
+    effective = [d if d <= 6 else max(1, sum(1 for y in g.near[v] if degree[y] <= 6)) for v, d in enumerate(degree)]
+    clusters = lambda v: sorted(union.size[r] for r in {union.find(y) for y in g.near[v] - out})
+
+    def score(v):
+        c = clusters(v)
+        return effective[v] + sum(np.sqrt(s) - 1 for s in c) if sigma == 1 else len(c) + (c[-2] / g.n if len(c) > 1 else 0)
+
+    left = sorted(out, key=lambda v: (mix[v] ^ (mix[v] >> 29), v))
+    while left:
+        v = min(left[:candidates], key=lambda v: (score(v), v))
+        if 1 + sum(clusters(v)) > stop:
+            fits = [y for y in left if 1 + sum(clusters(y)) <= stop]
+            if not fits:
+                break
+            v = min(fits, key=lambda y: (score(y), y))
+        left.remove(v)
+        out.discard(v)
+        for y in g.near[v] - out:
+            union.join(v, y)
+    return sorted(out, key=lambda v: (-degree[v], v))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 20), st.sampled_from([1, 2]), st.sampled_from([1, 5, 1000]), st.integers(10, 120))
+def test_immunization_equals_scoring_every_candidate(seed, stop, sigma, candidates, m):
+    g = random_graph(seed, 30, m)
+    assert K.explosive_immunization(g, stop, sigma, candidates) == plain_immunization(g, stop, sigma, candidates)
+
+
+def test_immunization_of_a_large_network_ends():
+    n = 20_000
+    g = graph([(i, (i + 1) % n) for i in range(n)] + [(i, (i * 7919 + 13) % n) for i in range(0, n, 3)])
+    began = time.time()
+    for sigma in (1, 2):
+        assert sizes_after_fast(g, K.explosive_immunization(g, n // 10, sigma)) <= n // 10
+    assert time.time() - began < 30
+
+
+def sizes_after_fast(g, out):
+    union, out = K.Union(g.n), set(out)
+    for v in range(g.n):
+        for y in g.near[v]:
+            if v not in out and y not in out:
+                union.join(v, y)
+    return max(union.size)
