@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import clean_edges, with_isolated, zero_based
@@ -33,10 +33,12 @@ def list_networks(spark: SparkSession, location: str, pattern: str = "*", extens
 
 
 def network_of_path(path: Column) -> Column:
-    """The stem of the file; of a folder with a known ending, as Spark writes, that of the folder."""
-    folder = F.regexp_extract(path, rf"([^/]+)\.(?:{'|'.join(EXTENSIONS)})/[^/]+$", 1)
-    stem = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^(.*?)(\.[^.]*)?(\.(gz|bz2|xz|zst))?$", 1)
-    return F.when(folder != "", folder).otherwise(stem)
+    """The stem of the file; of a folder with a known ending, as Spark writes, that of the folder. Every line asks, so the path is cut without patterns that search all of it."""
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    ending = F.substring_index(folder, ".", -1)
+    known = path.contains("/") & ending.isin(*EXTENSIONS) & (F.length(folder) > F.length(ending) + 1)
+    stem = F.regexp_extract(F.substring_index(path, "/", -1), r"^(.*?)(\.[^.]*)?(\.(gz|bz2|xz|zst))?$", 1)
+    return F.when(known, F.substring(folder, F.lit(1), F.length(folder) - F.length(ending) - 1)).otherwise(stem)
 
 
 def network_of_file() -> Column:
@@ -51,21 +53,34 @@ def numbered(pairs: DataFrame, vertices: DataFrame | None = None) -> tuple[DataF
     """Pairs (network, a, b, ...) and vertices (network, v) with names in place of ids -> the same with whole numbers.
 
     Where all names of a network are whole numbers, or all are n and a number, these are the ids; else its names are
-    numbered from 0 in their order. A null name stays null.
+    numbered from 0 in their order. A null name stays null. One reading tells a network's kind; ids that stand in the
+    names need no join, only names of other networks are gathered and numbered, over ranges.
     """
-    names = pairs.select("network", F.explode(F.array("a", "b")).alias("name"))
+    plain, dotted = (lambda c, form=form: F.coalesce(F.col(c).rlike(form), F.lit(True)) for form in (r"^-?\d{1,18}$", r"^n\d{1,18}$"))
+    seen = pairs.groupBy("network").agg(F.every(plain("a") & plain("b")).alias("plain"), F.every(dotted("a") & dotted("b")).alias("dotted"))
     if vertices is not None:
-        names = names.unionByName(vertices.select("network", F.col("v").alias("name")))
-    names = names.where("name is not null").distinct()
-    kinds = names.groupBy("network").agg(F.every(F.col("name").rlike(r"^-?\d{1,18}$")).alias("plain"), F.every(F.col("name").rlike(r"^n\d{1,18}$")).alias("dotted"))
-    place = F.row_number().over(Window.partitionBy("network").orderBy("name")) - 1
-    ids = names.join(kinds, "network").select("network", "name", F.when(F.col("plain"), F.col("name").try_cast("long")).when(F.col("dotted"), F.substring("name", 2, 18).try_cast("long")).otherwise(place.cast("long")).alias("id"))
-    out = pairs
-    for c in ("a", "b"):
-        out = out.join(ids.withColumnsRenamed({"name": c, "id": f"{c}_id"}), ["network", c], "left")
+        seen = seen.unionByName(vertices.groupBy("network").agg(F.every(plain("v")).alias("plain"), F.every(dotted("v")).alias("dotted")))
+    kinds = written(seen.groupBy("network").agg(F.every("plain").alias("plain"), F.every("dotted").alias("dotted")), "kinds")  # one row per network
+    other = kinds.where("not plain and not dotted").select("network")
+    ids = None
+    if not other.isEmpty():
+        names = pairs.select("network", F.explode(F.array("a", "b")).alias("name"))
+        if vertices is not None:
+            names = names.unionByName(vertices.select("network", F.col("v").alias("name")))
+        placed = written(places(names.join(F.broadcast(other), "network", "left_semi").where("name is not null").distinct(), ["network", "name"]), "names")
+        first = placed.groupBy("network").agg(F.min("place").alias("first"))
+        ids = placed.join(F.broadcast(first), "network").select("network", "name", (F.col("place") - F.col("first")).cast("long").alias("id"))
+
+    def with_ids(rows: DataFrame, column: str) -> DataFrame:
+        found = F.when(F.col("plain"), F.col(column).try_cast("long")).when(F.col("dotted"), F.substring(column, 2, 18).try_cast("long"))
+        if ids is None:
+            return rows.withColumn(column, found)
+        return rows.join(ids.withColumnRenamed("name", column), ["network", column], "left").withColumn(column, found.otherwise(F.col("id"))).drop("id")
+
     rest = [c for c in pairs.columns if c not in ("network", "a", "b")]
-    alone = None if vertices is None else vertices.withColumnRenamed("v", "name").join(ids, ["network", "name"]).select("network", F.col("id").alias("v"))
-    return out.select("network", F.col("a_id").alias("a"), F.col("b_id").alias("b"), *rest), alone
+    out = with_ids(with_ids(pairs.join(F.broadcast(kinds), "network"), "a"), "b").select("network", "a", "b", *rest)
+    alone = None if vertices is None else with_ids(vertices.where("v is not null").join(F.broadcast(kinds), "network"), "v").select("network", "v")
+    return out, alone
 
 
 def edge_list(spark: SparkSession, paths, sep: str | None = None, one_based: bool = False) -> DataFrame:
