@@ -51,3 +51,39 @@ def test_cycles_raise_and_no_edges_give_nothing(spark):
     with pytest.raises(ValueError, match="cycle"):
         T.subtree_sizes(ring, components(ring))
     assert T.broken_trees(ring.limit(0), spark.createDataFrame([("g", 1)], "network string, most long")).count() == 0
+
+
+def test_shallow_trees_are_not_toured(spark, monkeypatch):
+    def toured(*_, **__):
+        raise AssertionError("toured")
+
+    monkeypatch.setattr(T, "tours", toured)
+    pairs = [(0, i) for i in range(1, 6)] + [(i, 10 * i + j) for i in range(1, 6) for j in range(8)] + [(500, 501)]
+    e = spark.createDataFrame([("g", a, b) for a, b in pairs], EDGE)
+    got = T.centroids(e, components(e)).collect()
+    assert sorted((r.component, r.v, r.worst, r.size) for r in got) == [(0, 0, 9, 46), (500, 500, 1, 2)]
+
+
+@pytest.mark.parametrize("leaves", [0.0, 0.125, 2.0])
+def test_leaves_and_tours_give_the_same_centroids(spark, monkeypatch, leaves):
+    graphs = {"path": [(i, i + 1) for i in range(25)], "bush": tree(1, 30, 30), "comb": [(i, i + 1) for i in range(12)] + [(i, 100 + 10 * i + j) for i in range(13) for j in range(i % 4)]}
+    rows = [(g, a, b) for g, pairs in graphs.items() for a, b in pairs]
+    e = spark.createDataFrame(rows, EDGE)
+    want = {}
+    for g, pairs in graphs.items():
+        vertices = sorted({v for p in pairs for v in p})
+
+        def worst(gone, pairs=pairs, vertices=vertices):
+            label = {v: v for v in vertices}
+            for _ in vertices:
+                for a, b in pairs:
+                    if gone not in (a, b):
+                        label[a] = label[b] = min(label[a], label[b])
+            return max(list(label.values()).count(c) for v, c in label.items() if v != gone)
+
+        want[g] = min((worst(v), v) for v in vertices) + (len(vertices),)
+    monkeypatch.setattr(T, "LEAVES", leaves)
+    assert {r.network: (r.worst, r.v, r.size) for r in T.centroids(e, components(e)).collect()} == want
+    ring = spark.createDataFrame([("g", 0, 1), ("g", 1, 2), ("g", 0, 2), ("g", 2, 3)], EDGE)
+    with pytest.raises(ValueError, match="cycle"):
+        T.centroids(ring, components(ring))
