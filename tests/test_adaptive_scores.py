@@ -53,3 +53,34 @@ def test_adaptive_closeness_searches_from_few_vertices(monkeypatch):
     removals = len(K.adaptive(g, "closeness", 20))
     assert removals > 50
     assert len(asked) < 0.2 * removals * g.n
+
+
+def plain_betweenness(near: list[set[int]]) -> np.ndarray:
+    total = np.zeros(len(near))
+    for s in range(len(near)):
+        order, dist, paths, part = [s], {s: 0}, {s: 1.0}, {}
+        for x in order:
+            for y in near[x]:
+                if y not in dist:
+                    dist[y], paths[y] = dist[x] + 1, 0.0
+                    order.append(y)
+                if dist[y] == dist[x] + 1:
+                    paths[y] += paths[x]
+        for y in reversed(order[1:]):
+            for x in near[y]:
+                if dist[x] == dist[y] - 1:
+                    part[x] = part.get(x, 0.0) + paths[x] / paths[y] * (1 + part.get(y, 0.0))
+            total[y] += part.get(y, 0.0)
+    return total
+
+
+def test_betweenness_by_blocks_of_sources(monkeypatch):
+    rng = np.random.default_rng(7)
+    graphs = [random_graph(rng, n, m) for n, m in ((4, 3), (15, 14), (30, 45), (40, 160))] + [K.Graph(range(12), range(1, 13))]
+    for cost in (0.01, 8, 1e6):  # rows of all sources, both, single cells
+        for cells in (50, 1 << 22):
+            monkeypatch.setattr(K, "SPARSE_COST", cost)
+            monkeypatch.setattr(K, "BLOCK_CELLS", cells)
+            for g in graphs:
+                assert np.allclose(K.live_betweenness(g.near), plain_betweenness(g.near), atol=1e-9)
+                assert [r[:2] for r in K.adaptive(g, "betweenness", 0)] == plainly(g, plain_betweenness)
