@@ -3,21 +3,25 @@
 Each vertex of the 2-core has a time: 0 for removed (cost 1), else the round in which it falls as a leaf, when at most one
 neighbour has its time or a later one. A message of an edge tells its end what the part behind it costs at each time:
 `before`, when the end's time is later, and `after`, when it is the one neighbour with the same or a later time. Messages
-are rows of a table of directed edges with one array each. A round is an aggregation of the messages into each vertex
-(sums, and the two least of what one exception gains), combined batch by batch before the shuffle so that a hub is as
-many rows as there are tasks, and one join that brings the totals back to the edges, where each message's own part is
-taken off again. A reinforcement pulls vertices to their best time, and the rounds end when no time changes any more.
+are rows of a table of directed edges with one array each. A round is one shuffle that brings the messages to their
+vertex: there they are added up (sums, and the two least of what one exception gains), and each message's answer is the
+total without its own part. What a task holds is bounded: a hub's messages wait in a file until their total is known.
+A reinforcement pulls vertices to their best time, and the rounds end when no time changes any more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from tempfile import TemporaryFile
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import discard, written
+from ..tables import written
 from .components import components, k_core
 from .graph import both_ways, degrees
 
@@ -26,24 +30,29 @@ FAR = 1e9
 
 def arrays(column: pa.Array, width: int) -> np.ndarray:
     """Rows of `width` doubles from a column of binaries of that length."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, width)
+    if not len(column):
+        return np.empty((0, width))
+    _, offsets, data = column.buffers()
+    first = np.frombuffer(offsets, np.int32)[column.offset]
+    return np.frombuffer(data, "<f8", len(column) * width, first).reshape(-1, width)
 
 
 def binaries(x: np.ndarray) -> pa.Array:
-    raw, step = np.ascontiguousarray(x, "<f8").tobytes(), 8 * x.shape[1]
-    return pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * np.int32(8 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x, "<f8"))])
 
 
 def parts(messages: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each incoming message: the cost of a removed end, the cost of the part falling earlier, what it gains as the one exception."""
-    before, after = messages[:, :t], messages[:, t:]
-    zero = before.min(1)
+    columns = np.ascontiguousarray(messages.T)  # by time: numpy's loops run along the messages
+    before, after = columns[:t], columns[t:]
+    zero = before.min(0)
     earlier, later = np.full(before.shape, FAR), np.full(before.shape, FAR)
-    earlier[:, 1:] = np.minimum.accumulate(np.concatenate([before[:, :1], after[:, 1:]], 1), 1)[:, :-1]
-    later[:, 1:] = after[:, 1:]
-    tail = np.minimum.accumulate(before[:, :0:-1], 1)[:, ::-1]
-    later[:, 1:-1] = np.minimum(later[:, 1:-1], tail[:, 1:])
-    return zero, earlier, np.minimum(0, later - earlier)
+    earlier[1:] = np.minimum.accumulate(np.concatenate([before[:1], after[1:]]), 0)[:-1]
+    later[1:] = after[1:]
+    tail = np.minimum.accumulate(before[:0:-1], 0)[::-1]
+    later[1:-1] = np.minimum(later[1:-1], tail[1:])
+    return zero, np.ascontiguousarray(earlier.T), np.ascontiguousarray(np.minimum(0, later - earlier).T)
 
 
 def merged(key: np.ndarray, rows: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,86 +73,134 @@ def merged(key: np.ndarray, rows: np.ndarray, t: int) -> tuple[np.ndarray, np.nd
     return key[at], out
 
 
-def _gathered(messages: DataFrame, t: int) -> DataFrame:
-    """network, v, total: the messages of each batch of rows, by the vertex they come to."""
+def totals(found: tuple[np.ndarray, np.ndarray, np.ndarray], key: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """merged() of the parts of incoming messages by the vertex they come to."""
+    zero, earlier, gain = found
+    return merged(key, np.concatenate([zero[:, None], earlier, gain, np.ones(gain.shape), np.zeros(gain.shape)], 1), t)
+
+
+def answers(found: tuple[np.ndarray, np.ndarray, np.ndarray], sent: np.ndarray, total: np.ndarray, bias: np.ndarray, t: int, damp: float) -> np.ndarray:
+    """To each incoming message, given by its parts, the one that goes back, without that message's own part of the total."""
+    zero, earlier, gain = found
+    first, times, second = (total[:, 1 + t * i : 1 + t * (i + 1)] for i in (1, 2, 3))
+    other = np.where((gain <= first) & (times == 1), second, first)
+    after = bias + total[:, 1 : 1 + t] - earlier
+    before = after + other
+    after[:, 0] = before[:, 0] = bias[:, 0] + total[:, 0] - zero
+    new = np.concatenate([before, after], 1)
+    new -= np.ascontiguousarray(new.T).min(0)[:, None]
+    return damp * sent + (1 - damp) * new
+
+
+#: Rows of a round: a vertex (other null, message its pull) or a message that came to v from other, with what v sent last.
+ROUND = "network string, v long, other long, message binary, sent binary, moved double, time int, still int"
+_ROUND = pa.schema([("network", pa.string()), ("v", pa.int64()), ("other", pa.int64()), ("message", pa.binary()), ("sent", pa.binary()), ("moved", pa.float64()), ("time", pa.int32()), ("still", pa.int32())])
+#: Messages of one vertex that a task holds; those of a larger hub wait in a file.
+HELD_ROWS = 100_000
+
+
+def _vertex_rows(own: pa.RecordBatch, total: np.ndarray, bias: np.ndarray, t: int, pull: float) -> pa.RecordBatch:
+    """The vertices after a round: the next pull, their times and how long these stand."""
+    cost = bias + total[:, 1 : 1 + t] + total[:, 1 + t : 1 + 2 * t]
+    cost[:, 0] = bias[:, 0] + total[:, 0]
+    time = cost.argmin(1)
+    still = np.where(time == own.column("time").to_numpy(), own.column("still").to_numpy() + 1, 0)
+    pulled = bias + np.minimum(50, pull * (cost - cost.min(1, keepdims=True)))
+    none = [pa.nulls(len(time), _ROUND.field(c).type) for c in ("sent", "moved")]
+    columns = [own.column("network"), own.column("v"), own.column("other"), binaries(pulled), *none, pa.array(time.astype(np.int32)), pa.array(still.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, schema=_ROUND)
+
+
+def _message_rows(got: pa.RecordBatch, found: tuple[np.ndarray, np.ndarray, np.ndarray], total: np.ndarray, bias: np.ndarray, t: int, damp: float) -> pa.RecordBatch:
+    sent = arrays(got.column("sent"), 2 * t)
+    new = answers(found, sent, total, bias, t, damp)
+    none = [pa.nulls(len(new), pa.int32())] * 2
+    columns = [got.column("network"), got.column("other"), got.column("v"), binaries(new), got.column("message"), pa.array(np.ascontiguousarray(np.abs(new - sent).T).max(0)), *none]
+    return pa.RecordBatch.from_arrays(columns, schema=_ROUND)
+
+
+def _kinds(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    vertex = rows.column("other").is_null()
+    return rows.filter(vertex), rows.filter(pc.invert(vertex))
+
+
+def _whole_vertices(rows: pa.RecordBatch, t: int, pull: float, damp: float, send: bool) -> Iterator[pa.RecordBatch]:
+    """A round of vertices all of whose messages are among the rows."""
+    of = np.cumsum(rows.column("other").is_null().to_numpy(False)) - 1  # a vertex comes before its messages
+    own, got = _kinds(rows)
+    mine = of[rows.column("other").is_valid().to_numpy(False)]
+    total, bias = np.zeros((own.num_rows, 1 + 4 * t)), arrays(own.column("message"), t)
+    found = parts(arrays(got.column("message"), 2 * t), t)
+    key, sums = totals(found, mine, t)
+    total[key] = sums
+    yield _vertex_rows(own, total, bias, t, pull)
+    if send and got.num_rows:
+        yield _message_rows(got, found, total[mine], bias[mine], t, damp)
+
+
+def _hub(chunks: Callable[[], Iterator[pa.RecordBatch]], t: int, pull: float, damp: float, send: bool) -> Iterator[pa.RecordBatch]:
+    """The same of one vertex whose rows come in chunks, twice."""
+    own, total = None, np.empty((0, 1 + 4 * t))
+    for rows in chunks():
+        vertex, got = _kinds(rows)
+        own = vertex if vertex.num_rows else own
+        total = np.concatenate([total, totals(parts(arrays(got.column("message"), 2 * t), t), np.zeros(got.num_rows, int), t)[1]])
+        total = merged(np.zeros(len(total), int), total, t)[1]
+    bias = arrays(own.column("message"), t)
+    yield _vertex_rows(own, total, bias, t, pull)
+    for rows in chunks() if send else ():
+        got = _kinds(rows)[1]
+        if got.num_rows:
+            found = parts(arrays(got.column("message"), 2 * t), t)
+            yield _message_rows(got, found, np.repeat(total, got.num_rows, 0), np.repeat(bias, got.num_rows, 0), t, damp)
+
+
+def _round(rows: DataFrame, t: int, pull: float, damp: float, send: bool = True) -> DataFrame:
+    """The rows after a round: messages meet their vertex in one shuffle, which gives it a new time, and its answers go out from there (without send: only times)."""
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            zero, earlier, gain = parts(arrays(b.column("message"), 2 * t), t)
-            rows = np.concatenate([zero[:, None], earlier, gain, np.ones(gain.shape), np.zeros(gain.shape)], 1)
-            names, place = np.unique(np.array(b.column("network").to_pylist(), object), return_inverse=True)
-            v, at = np.unique(b.column("v").to_numpy(), return_inverse=True)
-            key, out = merged(place.reshape(-1) * len(v) + at.reshape(-1), rows, t)
-            yield pa.RecordBatch.from_arrays([pa.array(names[key // len(v)], pa.string()), pa.array(v[key % len(v)]), binaries(out)], names=["network", "v", "total"])
-
-    return messages.mapInArrow(run, "network string, v long, total binary")
-
+        held, n, file = [], 0, None  # rows of the last vertex seen, which may go on
 
-def _settled_times(gathered: DataFrame, states: DataFrame, t: int, pull: float) -> DataFrame:
-    """Each vertex's state after a round: total and pull (for its outgoing messages), the next pull, its time and how long that stands."""
-    keys = ["network", "v"]
-    rows = gathered.select(*keys, "total", F.lit(None).cast("binary").alias("bias"), F.lit(0).alias("time"), F.lit(0).alias("still"), F.lit(1).alias("kind"))
-    rows = rows.unionByName(states.select(*keys, F.lit(None).cast("binary").alias("total"), F.col("next").alias("bias"), "time", "still", F.lit(0).alias("kind")))
+        def spilled() -> Iterator[pa.RecordBatch]:
+            file.seek(0)
+            yield from pa.ipc.open_stream(file)
+            yield from held
 
-    def run(batches):
-        held = None
-        for b in batches:
-            new = b.to_pandas()
-            held = new if held is None else pd.concat([held, new])
-            last = (held["network"] == held["network"].iloc[-1]) & (held["v"] == held["v"].iloc[-1])
-            done, held = held[~last], held[last]
-            if len(done):
-                yield close(done)
-        if held is not None and len(held):
-            yield close(held)
-
-    def close(rows: pd.DataFrame) -> pa.RecordBatch:
-        place = rows.groupby(keys, sort=False).ngroup().to_numpy()
-        own = rows[rows["kind"] == 0]
-        mine = place[(rows["kind"] == 0).to_numpy()]
-        got = (rows["kind"] == 1).to_numpy()
-        key, found = merged(place[got], np.frombuffer(b"".join(rows["total"][got]), "<f8").reshape(-1, 1 + 4 * t), t)
-        total = np.zeros((place.max() + 1, 1 + 4 * t))
-        total[key] = found
-        total, bias = total[mine], np.frombuffer(b"".join(own["bias"]), "<f8").reshape(-1, t)
-        cost = bias + total[:, 1 : 1 + t] + total[:, 1 + t : 1 + 2 * t]
-        cost[:, 0] = bias[:, 0] + total[:, 0]
-        time = cost.argmin(1)
-        still = np.where(time == own["time"].to_numpy(), own["still"].to_numpy() + 1, 0)
-        pulled = bias + np.minimum(50, pull * (cost - cost.min(1, keepdims=True)))
-        names = ["network", "v", "total", "bias", "next", "time", "still"]
-        columns = [pa.array(own["network"].tolist(), pa.string()), pa.array(own["v"].to_numpy()), binaries(total), binaries(bias), binaries(pulled), pa.array(time.astype(np.int32)), pa.array(still.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "network string, v long, total binary, bias binary, next binary, time int, still int")
-
-
-def _sent(messages: DataFrame, states: DataFrame, t: int, damp: float) -> DataFrame:
-    """The answers to all messages: from v to the vertex that each came from, without that vertex's own part; moved says by how much one changed."""
+        def closed() -> Iterator[pa.RecordBatch]:
+            if file is not None:
+                writer.close()
+                yield from _hub(spilled, t, pull, damp, send)
+                file.close()
+            elif held:
+                yield from _whole_vertices(pa.Table.from_batches(held).combine_chunks().to_batches()[0], t, pull, damp, send)
 
-    def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            got, sent = arrays(b.column("message"), 2 * t), arrays(b.column("sent"), 2 * t)
-            total, bias = arrays(b.column("total"), 1 + 4 * t), arrays(b.column("bias"), t)
-            zero, earlier, gain = parts(got, t)
-            first, times, second = (total[:, 1 + t * i : 1 + t * (i + 1)] for i in (1, 2, 3))
-            other = np.where((gain <= first) & (times == 1), second, first)
-            after = bias + total[:, 1 : 1 + t] - earlier
-            before = after + other
-            after[:, 0] = before[:, 0] = bias[:, 0] + total[:, 0] - zero
-            new = np.concatenate([before, after], 1)
-            new -= new.min(1, keepdims=True)
-            new = damp * sent + (1 - damp) * new
-            columns = [b.column("network"), b.column("other"), b.column("v"), binaries(new), b.column("message"), pa.array(np.abs(new - sent).max(1))]
-            yield pa.RecordBatch.from_arrays(columns, names=["network", "v", "other", "message", "sent", "moved"])
-
-    joined = messages.select("network", "v", "other", "message", "sent").join(states.select("network", "v", "total", "bias"), ["network", "v"])
-    return joined.mapInArrow(run, "network string, v long, other long, message binary, sent binary, moved double")
+            begins = np.flatnonzero(b.column("other").is_null().to_numpy(False))
+            if file is not None and len(begins):  # a hub ends here
+                held.append(b.slice(0, begins[0]))
+                yield from closed()
+                b, begins, held, file = b.slice(begins[0]), begins - begins[0], [], None
+            if len(begins):
+                held.append(b.slice(0, begins[-1]))
+                if sum(x.num_rows for x in held):
+                    yield from closed()
+                held, n = [b.slice(begins[-1])], b.num_rows - begins[-1]
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n > HELD_ROWS:
+                if file is None:
+                    file = TemporaryFile()
+                    writer = pa.ipc.new_stream(file, b.schema)
+                for x in held:
+                    writer.write_batch(x)
+                held, n = [], 0
+        yield from closed()
+
+    dealt = rows.repartition("network", "v").sortWithinPartitions("network", "v", "other")  # nulls, the vertices, come first
+    return dealt.mapInArrow(run, ROUND)
 
 
 def message_times(core: DataFrame, depth: int = 12, rounds: int = 10_000, force: float = 0.02, ramp: int = 20, damp: float = 0.1, noise: float = 1e-3, still: int = 5, tolerance: float = 1e-5) -> DataFrame:
@@ -161,20 +218,19 @@ def message_times(core: DataFrame, depth: int = 12, rounds: int = 10_000, force:
         a[:, 0] += 1
         return pd.Series([r.tobytes() for r in np.ascontiguousarray(a, "<f8")])
 
-    states = written(degrees(core).select("network", "v", field(*(share(i) for i in range(t))).alias("next"), F.lit(-1).alias("time"), F.lit(0).alias("still")), "times")
-    none = bytes(16 * t)
-    messages = written(both_ways(core).select("network", F.col("src").alias("v"), F.col("dst").alias("other"), F.lit(none).alias("message"), F.lit(none).alias("sent"), F.lit(FAR).alias("moved")), "messages")
+    null = lambda kind: F.lit(None).cast(kind)
+    vertices = degrees(core).select("network", "v", null("long").alias("other"), field(*(share(i) for i in range(t))).alias("message"), null("binary").alias("sent"), null("double").alias("moved"), F.lit(-1).alias("time"), F.lit(0).alias("still"))
+    none = F.lit(bytes(16 * t))
+    ways = both_ways(core).select("network", F.col("src").alias("v"), F.col("dst").alias("other"), none.alias("message"), none.alias("sent"), F.lit(FAR).alias("moved"), null("int").alias("time"), null("int").alias("still"))
+    now = vertices.unionByName(ways)
+    before: list[DataFrame] = []
     for r in range(rounds):
-        pull = force * min(r / ramp, 50)
-        states = written(_settled_times(_gathered(messages, t), states, t, pull), "times", states)
-        last = states.agg(F.min("still").alias("still")).first()
-        if last.still is None or last.still >= still:
-            break
-        messages = written(_sent(messages, states, t, damp), "messages", messages)
-        if messages.agg(F.max("moved")).first()[0] <= tolerance:
+        now = written(_round(now, t, force * min(r / ramp, 50), damp, r < rounds - 1), "messages", *before, dictionary=False)
+        before = [now]
+        last = now.agg(F.min("still").alias("still"), F.max("moved").alias("moved")).first()
+        if last.still is None or last.still >= still or last.moved is None or last.moved <= tolerance:
             break
-    discard(messages)
-    return states.select("network", "v", "time")
+    return written(now.where("other is null").select("network", "v", "time"), "times", *before)
 
 
 def without(edges: DataFrame, gone: DataFrame) -> DataFrame:

@@ -69,3 +69,42 @@ def test_few_rounds_still_leave_forests_and_empty_tables_nothing(spark):
     assert acyclic(rows, {tuple(r) for r in gone.collect()})
     assert D.cycles_left(e, gone).first().cycles == 0
     assert D.message_decycling(e.limit(0), rounds=2).count() == 0
+
+
+def test_a_hub_of_more_rows_than_a_task_holds(spark, monkeypatch):
+    """A hub's messages that wait in a file give the same round as those held at once."""
+    wheel = [("g", 0, i) for i in range(1, 30)] + [("g", i, i + 1) for i in range(1, 29)]
+    near = sorted([(a, b) for _, a, b in wheel] + [(b, a) for _, a, b in wheel])
+    rnd, t = np.random.default_rng(3), 5
+    rows = [("g", v, None, rnd.random(t).tobytes(), None, None, 1, 2) for v in range(30)]
+    rows += [("g", v, u, rnd.random(2 * t).tobytes(), rnd.random(2 * t).tobytes(), 1.0, None, None) for v, u in near]
+    table = spark.createDataFrame(rows, D.ROUND)
+
+    def after():
+        got = D._round(table, t, 0.1, 0.1).collect()
+        assert len(got) == len(rows)
+        return {(r.v, r.other): (np.frombuffer(r.message), r.moved, r.time, r.still) for r in got}
+
+    held = after()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    monkeypatch.setattr(D, "HELD_ROWS", 6)
+    try:
+        filed = after()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert held.keys() == filed.keys()
+    for key, (message, moved, time, still) in held.items():
+        assert np.allclose(message, filed[key][0]) and (time, still) == filed[key][2:]
+        assert moved is None and filed[key][1] is None or abs(moved - filed[key][1]) < 1e-9
+    # What goes back is what the totals of the other messages say: left out one by one.
+    hub = {r[2]: r for r in rows if r[1] == 0 and r[2] is not None}
+    bias = np.frombuffer(rows[0][3])[None]
+    for u in (1, 15):
+        others = np.stack([np.frombuffer(r[3]) for k, r in hub.items() if k != u])
+        total = D.totals(D.parts(others, t), np.zeros(len(others), int), t)[1]
+        after_ = bias + total[:, 1 : 1 + t]
+        before = after_ + total[:, 1 + t : 1 + 2 * t]
+        after_[:, 0] = before[:, 0] = bias[:, 0] + total[:, 0]
+        new = np.concatenate([before, after_], 1)
+        new -= new.min()
+        assert np.allclose(held[u, 0][0], 0.1 * np.frombuffer(hub[u][4]) + 0.9 * new[0])
