@@ -43,3 +43,31 @@ def test_networks_above_the_old_bound(spark):
     assert len(got) == 2100 + 3 + 1
     small = by_dense_spectra(K.Graph([0, 1], [1, 2]), 0.9)
     assert np.allclose([got["small", v] for v in range(3)], small, atol=1e-9)
+
+
+def by_cliques(g, v):
+    """Vertex entanglement as defined: entropies over 199 times of the eigenvalues changed to first order by v's clique."""
+    full = K.laplacian(g)
+    values, vectors = np.linalg.eigh(full)
+    second = values[values > 1e-9].min()
+    members = [v, *sorted(g.near[v])]
+    adjacent = np.array([[float(y in g.near[x]) for y in members] for x in members])
+    k = len(members) - 1
+    change = adjacent.sum() / (k * (k + 1)) * (1 - np.eye(k + 1)) - adjacent
+    local = np.diag(change.sum(1)) - change
+    moved = values + np.einsum("ik,ij,jk->k", vectors[members], local, vectors[members])
+    return -min(K.entropy(moved, t) - K.entropy(values, t) for t in np.linspace(0, 10 / second, 199))
+
+
+def test_vertex_entanglement_as_defined():
+    g = random_graph(5, 40, 110)
+    got = K.vertex_entanglement(g, list(range(g.n)))
+    assert np.allclose(got, [by_cliques(g, v) if g.near[v] else 0 for v in range(g.n)], atol=1e-9)
+
+
+def test_vertex_entanglement_above_the_old_bound(spark):
+    rnd = np.random.default_rng(3)
+    ends = {(min(a, b), max(a, b)) for a, b in [*rnd.integers(0, 2050, (4000, 2)).tolist(), *((i, i + 1) for i in range(2049))] if a != b}
+    got = {r.v: r.score for r in M.scores_of("vertex_entanglement", spark.createDataFrame([("g", a, b) for a, b in sorted(ends)], "network string, src long, dst long")).collect()}
+    g = K.Graph(*zip(*sorted(ends), strict=True))
+    assert len(got) == 2050 and abs(got[7] - by_cliques(g, 7)) < 1e-9
