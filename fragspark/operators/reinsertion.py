@@ -7,20 +7,80 @@ of which it is the home, as many as have room; any other component goes to its l
 removed neighbour that comes before it waits. So what a round joins are stars of components about one home each.
 
 The tables hold only what lies around removed vertices: which components touch them, with their sizes, and the edges
-between removed ones. The edges of the rest are read once, for the components to start with.
+between removed ones. The edges of the rest are read once, for the components to start with. Once these tables have few
+rows left for each network, its task brings back the other vertices one after the other.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import discard, written
+from . import kernels as K
 from .components import component_sizes, components
 from .graph import both_ways, vertices_of
 
 #: Parts of a home's claimants of like growth that enter whole or not at all.
 PARTS = 64
+#: Rows around a network's removed vertices that one task takes.
+TASK_ROWS = 5_000_000
+#: A vertex waits when it would make a component larger by this than it was taken for.
+WAITS = 1.25
+
+
+def _stay(n: int, target: int, size: np.ndarray, touch: tuple[np.ndarray, np.ndarray], near: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which of the removed vertices 0 to n - 1 stay out: the one that makes about the least component comes back first, ties to the lowest.
+
+    touch: pairs of a removed vertex and a component, of sizes size; near: pairs of removed vertices, both ways. A vertex
+    is looked at again only when its component has grown by a quarter since, so that each is seen a few times.
+    """
+    union = K.Union(len(size) + n)
+    for i, x in enumerate(size.tolist()):
+        union.size[n + i] = x
+    of, to = np.r_[touch[0], near[0]], np.r_[touch[1] + n, near[1]]
+    order = np.argsort(of, kind="stable")
+    begin, ends = np.r_[0, np.cumsum(np.bincount(of, minlength=n))], to[order]
+    total = 1 + np.bincount(touch[0], size[touch[1]], n).astype(np.int64)
+    heap = [(t, v) for v, t in enumerate(total.tolist()) if t < target]
+    heapq.heapify(heap)
+    out = bytearray([1]) * n
+    while heap:
+        was, v = heapq.heappop(heap)
+        around = {union.find(x) for x in ends[begin[v] : begin[v + 1]].tolist() if x >= n or not out[x]}
+        now = 1 + sum(union.size[x] for x in around)
+        if now >= target:  # components only grow
+            continue
+        if now > WAITS * was and heap and heap[0] < (now, v):
+            heapq.heappush(heap, (now, v))
+            continue
+        out[v] = 0
+        for x in around:
+            union.join(v, x)
+    return np.flatnonzero(np.frombuffer(out, np.uint8))
+
+
+def _at_once(gone: DataFrame, touch: DataFrame, near: DataFrame) -> DataFrame:
+    """network, v: which of gone (network, v, target) stay out, one task a network."""
+    none = F.lit(None).cast("long")
+    rows = gone.select("network", F.lit(0).alias("kind"), "v", none.alias("to"), F.col("target").cast("long").alias("number"))
+    rows = rows.unionByName(touch.select("network", F.lit(1).alias("kind"), "v", F.col("component").alias("to"), F.col("size").cast("long").alias("number")))
+    rows = rows.unionByName(near.select("network", F.lit(2).alias("kind"), "v", F.col("w").alias("to"), none.alias("number")))
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, v = table["kind"].to_numpy(), table["v"].to_numpy()
+        to, number = (table[c].fill_null(0).to_numpy() for c in ("to", "number"))
+        ids = np.unique(v[kind == 0])
+        part, link = kind == 1, kind == 2
+        _, first, component = np.unique(to[part], return_index=True, return_inverse=True)
+        stays = _stay(len(ids), int(number[kind == 0][0]) if len(ids) else 0, number[part][first], (np.searchsorted(ids, v[part]), component), (np.searchsorted(ids, v[link]), np.searchsorted(ids, to[link])))
+        return pa.table({"network": pa.array([table["network"][0].as_py()] * len(stays), pa.string()), "v": pa.array(ids[stays], pa.int64())})
+
+    return rows.groupBy("network").applyInArrow(run, "network string, v long")
 
 
 def reinserted(edges: DataFrame, removed: DataFrame, target: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -42,6 +102,10 @@ def reinserted(edges: DataFrame, removed: DataFrame, target: DataFrame, most_rou
     near = written(ways.join(gone.select("network", F.col("v").alias("w")), ["network", "w"], "left_semi").select(*key, "w"), "near", ways)
     stays = None
     for _ in range(most_rounds):
+        held = touch.select("network").unionAll(near.select("network")).groupBy("network").count().agg(F.max("count")).first()[0] or 0
+        if held <= TASK_ROWS:
+            rest = written(_at_once(gone, touch, near), "rest")
+            return rest if stays is None else stays.unionByName(rest)
         home = F.max(F.struct("size", "component")).alias("home")
         around = touch.groupBy(*key).agg((F.sum("size") + 1).alias("total"), home)
         now = gone.join(around, key, "left").withColumn("total", F.coalesce("total", F.lit(1)))

@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from fragspark.operators import kernels as K
+from fragspark.operators import reinsertion as R
 from fragspark.operators.reinsertion import reinserted
 
 
@@ -56,3 +60,19 @@ def test_empty_tables_repeated_rows_nulls_and_vertices_without_edges(spark):
     e = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 5, 5)], edge)
     out = spark.createDataFrame([("g", 2), ("g", 2), ("g", None), ("g", 5), ("other", 1)], vertex)
     assert [r.v for r in reinserted(e, out, target).collect()] == [2]
+
+
+@pytest.mark.parametrize("rows, rounds", [(-1, True), (20, True), (1_000_000, False)])
+def test_the_last_rows_go_to_one_task(spark, rows, rounds, monkeypatch):
+    monkeypatch.setattr(R, "TASK_ROWS", rows)
+    tables, write = [], R.written
+    monkeypatch.setattr(R, "written", lambda df, name, *done: tables.append(name) or write(df, name, *done))
+    test_no_component_reaches_the_target_and_none_more_could_return(spark)
+    assert ("free" in tables) == rounds and ("rest" in tables) == (rows >= 0)
+
+
+def test_vertices_that_wait_are_few():
+    """A chain of removed vertices around one growing component: none is looked at again for every vertex that comes back."""
+    n = 20_000
+    out = R._stay(n, 15_000, np.array([5]), (np.arange(n), np.zeros(n, np.int64)), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert len(out) == n - (15_000 - 5 - 1) and out.tolist() == list(range(n - len(out), n))
